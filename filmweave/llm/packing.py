@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmweave.llm.common import documents, number_rows, text_rows
+from filmweave.llm.common import documents, number_rows, stage, text_rows
 from filmweave.llm.tokens import encoder, place
 
 CAPACITY = 2048
@@ -100,9 +100,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         encode, end, step = encoder(tokenizer_path, spaced), np.uint32(end_id).tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch.column(1)
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                raw = encode(texts[k].as_py()) + end
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                raw = encoded + end
                 for p in range(0, len(raw), step):
                     part = raw[p : p + step]
                     rows.append((doc_id, p // step, p // 4, len(part) // 4, zlib.crc32(part), part))
@@ -117,7 +116,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``length`` from 1 to ``capacity``."""
     columns = cut.columns
     keys = ["length", *(c for c in ("doc_id", "piece") if c in columns)]
-    numbered = number_rows(cut, keys, "pieces", "_row")
+    numbered = number_rows(stage(cut, "cut"), keys, "pieces", "_row")
     histogram = {r["length"]: r["n"] for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
     placed, _ = plan_bins(histogram, capacity)
     first, at = {}, 0

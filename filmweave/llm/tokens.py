@@ -1,25 +1,28 @@
 """Memoised encoding with a public tokenizer.
 
-Encoding is split where the tokenizer itself always splits: for a byte-level BPE
-before a single space between two non-blank characters and around a single line
-break, for a word BPE at blanks. Each piece is encoded by the tokenizers library
-once per worker and remembered; a text with any other blank, a run of blanks, or
-a special token's opening goes to the library whole. Ids equal those of encoding
-the whole text, which the tests check.
+A text is split only where the tokenizer always splits it: for a word BPE at
+ASCII blanks, for a byte-level BPE before a space that a non-blank follows and
+around a lone line break. Pieces not yet known are encoded by the tokenizers
+library, many in one call with a special token between them, and remembered; a
+text whose blanks are of another shape, or that holds the opening of a special
+token, goes to the library whole. Ids equal those of encoding the whole text,
+which the tests check.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
-from filmweave.llm.common import WordCache, keep
+from filmweave.llm.common import chunks, keep
 
-#: Blanks other than single inner spaces and line breaks, or an opening of a special token.
-ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|<\|")
+#: A space before a blank or the end; a line break beside a blank.
+SPACE, BREAK = re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:(?<=\s\n)|(?=\s))")
+#: Pieces that a worker remembers; pieces in one call of the library.
+CACHE_PIECES, CALL = 800_000, 2000
 
 
 def tokenizer(path: str):
@@ -30,30 +33,60 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Text -> ids as little-endian unsigned 32-bit bytes."""
+    """Texts -> ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, spaced: bool):
-        """``spaced``: a piece's leading space is part of it (byte-level BPE)."""
-        self.raw, self.spaced = tokenizer(path), spaced
-        self.cache = WordCache(self.whole)
+        """``spaced``: a piece's leading space is part of it (byte-level BPE); else blanks and ASCII case don't matter."""
+        self.raw, self.spaced, self.known = tokenizer(path), spaced, {}
+        special = [(i, t.content) for i, t in self.raw.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")]
+        self.mark = min(special, default=None)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.raw.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if ODD.search(text):
-            return self.whole(text)
-        if self.spaced:
-            pieces = text.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0")
+    def pieces(self, text: str) -> list | None:
+        """The pieces of a text, or None if it must stay whole."""
+        if "<|" in text:
+            return None
+        if not self.spaced:
+            return text.encode("utf-8", "surrogatepass").lower().split()
+        if "\0" in text or SPACE.search(text) or BREAK.search(text):
+            return None
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def learn(self, new: Sequence) -> dict:
+        """Ids of pieces, by one call for many."""
+        found = {}
+        texts = [p.decode("utf-8", "surrogatepass") if isinstance(p, bytes) else p for p in new]
+        if self.mark is None:
+            return {p: self.whole(t) for p, t in zip(new, texts, strict=True)}
+        number, content = self.mark
+        for some, words in zip(chunks(new, CALL), chunks(texts, CALL), strict=True):
+            ids = np.asarray(self.raw.encode_batch_fast([content.join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == number).tolist()
+            raw = ids.tobytes()
+            for piece, a, b in zip(some, [-1, *ends], [*ends, len(ids)], strict=True):
+                found[piece] = raw[4 * a + 4 : 4 * b]
+        return found
+
+    def batch(self, texts: Sequence[str | None]) -> list[bytes]:
+        split = [self.pieces(t) if t else [] for t in texts]
+        new = list(set().union(*(p for p in split if p)) - self.known.keys())
+        found = self.learn(new)
+        room = CACHE_PIECES - len(self.known)
+        if room >= len(new):
+            self.known.update(found)
+            get = self.known.__getitem__
         else:
-            pieces = text.split()
-        return b"".join(map(self.cache.__getitem__, pieces))
+            if room > 0:
+                self.known.update((p, found[p]) for p in new[:room])
+            known = self.known
+            get = lambda p: known[p] if p in known else found[p]
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split, strict=True)]
 
 
-def encoder(path: str, spaced: bool) -> Callable[[str | None], bytes]:
-    return keep(f"encoder {path} {spaced}", lambda: Encoder(path, spaced))
+def encoder(path: str, spaced: bool) -> Callable[[Sequence[str | None]], list[bytes]]:
+    return keep(f"encoder {path} {spaced}", lambda: Encoder(path, spaced)).batch
 
 
 def place(name: str) -> str:

@@ -189,9 +189,9 @@ def encode_files(docs: DataFrame, out_dir: str, tokenizer_path: str, spaced: boo
 
         first = None
         for batch in batches:
-            at, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            at, ids, encoded = batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode(batch.column(2).to_pylist())
             for k in range(len(ids)):
-                raw = encode(texts[k].as_py()) + end
+                raw = encoded[k] + end
                 first = at[k] if first is None else first
                 names.append(ids[k])
                 lengths.append(len(raw) // 4)

@@ -6,12 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filmweave.llm.jaccard_join import op10_jaccard_join
+from filmweave.llm.language_id import op9_language_id, page_language
 from filmweave.llm.mixing import op2_mixing
+from filmweave.llm.neighbours import op7_nn_descent
 from filmweave.llm.packing import op8_packing
+from filmweave.llm.quality_model import op4_quality
 from filmweave.llm.resharding import op1_resharding
+from filmweave.llm.toxicity import op3_toxicity
 from filmweave.llm.wavelet import op6_wavelet
+from filmweave.llm.weak_rules import op5_weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_resharding, op2_mixing, op6_wavelet, op8_packing)
+    f.__name__: f
+    for f in (
+        op1_resharding,
+        op2_mixing,
+        op3_toxicity,
+        op4_quality,
+        op5_weak_rules,
+        op6_wavelet,
+        op7_nn_descent,
+        op8_packing,
+        op9_language_id,
+        op10_jaccard_join,
+        page_language,
+    )
 }
+#: None of these is plain SQL: each learns, draws, encodes or iterates. tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch that carries whole texts (bounds worker memory).
 TEXT_BATCH_ROWS = 500
 #: Distinct words that a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _fallback: dict[str, str] = {}
 

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmweave.llm.common import CACHE_WORDS, documents, keep, maybe_broadcast, stage, text_rows
+from filmweave.llm.common import documents, keep, maybe_broadcast, stage, text_rows
 from filmweave.session import prepare
 
 #: Texts of a declared language in the sample; declared languages; trigram buckets; independent trigrams of a text at most.
@@ -54,6 +54,10 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+#: Words that a worker remembers (a row of one number per language each).
+CACHE_WORDS = 800_000
+
+
 class TrigramModel:
     """``table[bucket, language]``: log probability against even spread."""
 
@@ -73,31 +77,40 @@ class TrigramModel:
 
 
 class Scorer:
-    """Words -> summed log likelihoods; a word's row is kept once seen."""
+    """Texts -> summed log likelihoods; a word's row is kept once seen, as long as there is room."""
 
     def __init__(self, model: TrigramModel):
-        self.model, self.rows, self.at = model, np.zeros((4096, len(model.languages) + 1)), {}
-
-    def word(self, word: str) -> np.ndarray:
-        g = trigrams(word)
-        return np.append(self.model.table[g].sum(0), len(g))
+        self.model, self.at = model, {}
+        self.rows = np.zeros((4096, len(model.languages) + 1))
+
+    def learn(self, new: list[str]) -> None:
+        """Rows of new words: sums over their trigrams, and how many those are."""
+        found = [trigrams(w) for w in new]
+        sizes = np.array([len(g) for g in found])
+        flat = self.model.table[[g for gs in found for g in gs]]
+        some = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[some]
+        first = len(self.at)
+        while first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if some.any():
+            self.rows[first + np.flatnonzero(some), :-1] = np.add.reduceat(flat, starts, axis=0)
+        self.rows[first : first + len(new), -1] = sizes
+        self.at.update(zip(new, range(first, first + len(new)), strict=True))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, int]:
         """(summed log likelihoods, trigrams)."""
         words, at = words_of(text), self.at
-        extra = np.zeros(self.rows.shape[1])
-        for w in set(words) - at.keys():
-            row = self.word(w)
-            if len(at) < CACHE_WORDS:
-                if len(at) == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[len(at)] = row
-                at[w] = len(at)
-            else:
-                extra += row * words.count(w)
-        ids = [at[w] for w in words] if not extra.any() else [at[w] for w in words if w in at]
-        total = self.rows[ids].sum(0) + extra
-        return total[:-1], int(total[-1])
+        new = list(set(words) - at.keys())
+        if new and len(at) + len(new) <= CACHE_WORDS:
+            self.learn(new)
+            new = []
+        if not new:
+            total = self.rows[[at[w] for w in words]].sum(0) if words else np.zeros(self.rows.shape[1])
+            return total[:-1], int(total[-1])
+        total = self.rows[[at[w] for w in words if w in at]].sum(0)
+        grams = [g for w in words if w not in at for g in trigrams(w)]
+        return total[:-1] + self.model.table[grams].sum(0), int(total[-1]) + len(grams)
 
 
 def train(docs: DataFrame, declared: str = "lang") -> TrigramModel:

@@ -101,7 +101,7 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[np.ndarray, int]:
         """(summed log likelihoods, trigrams)."""
         words, at = words_of(text), self.at
-        new = list(set(words) - at.keys())
+        new = [w for w in set(words) if w not in at]
         if new and len(at) + len(new) <= CACHE_WORDS:
             self.learn(new)
             new = []

@@ -71,7 +71,8 @@ class Encoder:
 
     def batch(self, texts: Sequence[str | None]) -> list[bytes]:
         split = [self.pieces(t) if t else [] for t in texts]
-        new = list(set().union(*(p for p in split if p)) - self.known.keys())
+        known = self.known
+        new = [p for p in set().union(*(p for p in split if p)) if p not in known]
         found = self.learn(new)
         room = CACHE_PIECES - len(self.known)
         if room >= len(new):
@@ -80,7 +81,6 @@ class Encoder:
         else:
             if room > 0:
                 self.known.update((p, found[p]) for p in new[:room])
-            known = self.known
             get = lambda p: known[p] if p in known else found[p]
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split, strict=True)]
 

@@ -11,9 +11,9 @@ Voronoi regions of exactly those shingles, and no link crosses regions.
 Inside the regions the join goes on with document pivots:
 
 1. texts with equal sets are one class; only its smallest id goes on;
-2. every region picks a pivot document; each member is held against the pivot
-   (a join on pairs, so a hot region is spread over tasks), and links are
-   verified on the whole sets;
+2. every region picks a pivot document; each member is held against one pivot
+   that sizes and sketches leave open (a join on pairs, so a hot region is
+   spread over tasks), and links are verified on the whole sets;
 3. regions whose members all are in one component by then are done, since no
    further link could change a component. The others are joined again member by
    member, only across components, pruned by size and by a parity sketch (the
@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmweave.llm.common import WordCache, documents, keep, maybe_broadcast, stage, text_rows
+from filmweave.llm.common import WordCache, documents, drop_staged, keep, maybe_broadcast, stage, text_rows
 from filmweave.llm.components import connected_components
 
 #: Sketch bits; members of a region that one task compares; documents of the frequency sample; sample count of a frequent shingle.
@@ -237,19 +237,24 @@ def regions(nodes: DataFrame) -> DataFrame:
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); staged."""
     docs = docs.select("doc_id", "text")
-    told = stage(describe(docs, words, percent), "described")
-    classes = stage(
-        told.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes"
-    )
+    full = stage(describe(docs, words, percent), "described")
+    told = stage(full.select("doc_id", "n", "print"), "prints")
+    classes = stage(told.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    nodes = stage(told.where("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "n", "sketch", "prefix"), "nodes")
+    nodes = stage(full.where("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "n", "sketch", "prefix"), "nodes")
+    drop_staged(full)
     shared = regions(nodes)
-    flat = nodes.select("doc_id", "n", "sketch")
+    flat = stage(nodes.select("doc_id", "n", "sketch"), "sketches")
+    drop_staged(nodes)
     stars = shared.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stage(verify(stage(sketch_filter(stars, flat, percent), "star-pairs"), docs, words, percent), "star-links")
+    open_stars = sketch_filter(stars, flat, percent)
+    # of a member's open pivots one is verified now; what that leaves open is across components and comes next
+    one = stage(open_stars.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")), "star-pairs")
+    links = stage(verify(one, docs, words, percent), "star-links")
     first = stage(connected_components(links), "star-components")
-    labelled = shared.where("members > 2").join(first, F.col("doc_id") == F.col("node"), "left").select("s", "doc_id", "members", F.coalesce("component", "doc_id").alias("component"))
+    labelled = shared.join(first, F.col("doc_id") == F.col("node"), "left").select("s", "doc_id", "members", F.coalesce("component", "doc_id").alias("component"))
     labelled = stage(labelled, "labelled")
+    drop_staged(shared)
     open_ = labelled.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("s")
     parts = F.greatest(F.lit(1), F.ceil(F.col("members") / (REGION_ROWS // 2))).cast("int") if REGION_ROWS else F.lit(1)
     parts = F.when(F.col("members") > REGION_ROWS, parts).otherwise(F.lit(1))

@@ -22,7 +22,7 @@ from filmweave.llm.common import chunks, keep
 #: A space before a blank or the end; a line break beside a blank.
 SPACE, BREAK = re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:(?<=\s\n)|(?=\s))")
 #: Pieces that a worker remembers; pieces in one call of the library.
-CACHE_PIECES, CALL = 800_000, 2000
+CACHE_PIECES, CALL = 300_000, 1000
 
 
 def tokenizer(path: str):

@@ -30,7 +30,7 @@ MAGIC = b"WVMX1\0\0\0"
 #: Bits between two stored counts of ones.
 STEP = 512
 #: Ids after which a shard file is closed (a document is never split).
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 END_ID = 2
 
 

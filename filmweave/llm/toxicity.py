@@ -33,9 +33,10 @@ from filmweave.llm.common import WordCache, documents, fold, keep, sample_labels
 from filmweave.session import prepare
 
 #: Labelled texts of a class; hash buckets (a power of two); vector size; n-gram lengths; passes; texts in a step; learning rate.
-PER_CLASS, BUCKETS, DIM, GRAMS, EPOCHS, BATCH, RATE = 2000, 1 << 18, 6, (3, 4, 5), 12, 64, 0.05
-#: Training texts that a bucket must occur in, as a share and at least (rarer ones would only learn texts by heart); pull of all vectors towards 0.
-RARE, RARE_LEAST, SHRINK = 0.012, 4, 1e-2
+PER_CLASS, BUCKETS, DIM, GRAMS, EPOCHS, BATCH, RATE = 2000, 1 << 18, 6, (3, 4, 5), 20, 64, 0.05
+#: Training texts that a bucket must occur in, as a share and at least (rarer ones would only learn texts by heart); pull of all vectors towards 0;
+#: damping of steps, so that buckets that say little move little.
+RARE, RARE_LEAST, SHRINK, DAMP = 0.005, 4, 1e-3, 1e-3
 #: Factor on a text's mean vector before the softmax, since a few words among hundreds carry the class.
 SCALE = 30.0
 
@@ -112,7 +113,7 @@ class SubwordModel:
                     m += 0.1 * g
                     v *= 0.999
                     v += 0.001 * g * g
-                    param -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+                    param -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + DAMP)
         pull = np.zeros(BUCKETS, np.float32)
         pull[used] = SCALE * (vectors @ (out[1] - out[0]))
         return cls(pull, float(bias[1] - bias[0]))

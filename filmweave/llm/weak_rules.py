@@ -50,18 +50,18 @@ START = {BAD: (0.25, 0.65, 0.10), GOOD: (0.002, 0.938, 0.06)}
 LEAN = 0.05
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.8, lean: float = LEAN) -> tuple[np.ndarray, float]:
+def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.8, lean: float = LEAN, start: dict = START) -> tuple[np.ndarray, float]:
     """(table[rule, class, vote], share of good) by expectation-maximisation on counted vote patterns."""
     rules = len(next(iter(patterns))) if patterns else 0
     v = np.array([[int(c) for c in p] for p in patterns], dtype=int).reshape(len(patterns), rules)
     weight = np.array(list(patterns.values()), dtype=float)
     total = weight.sum()
-    start = np.stack([np.tile(START[c], (rules, 1)) for c in (BAD, GOOD)], 1)
-    table, share = start, prior
+    origin = np.stack([np.tile(start[c], (rules, 1)) for c in (BAD, GOOD)], 1)
+    table, share = origin, prior
     for _ in range(rounds if total else 0):
         good = posterior(v, table, share)
         seen = np.stack([[np.bincount(v[:, r], weights=mass, minlength=3) for r in range(rules)] for mass in (weight * (1 - good), weight * good)], 1)
-        table = seen + start * np.array([(1 - prior), prior])[None, :, None] * (lean * total + 1)
+        table = seen + origin * np.array([(1 - prior), prior])[None, :, None] * (lean * total + 1)
         table /= table.sum(2, keepdims=True)
         # a bad vote must speak for bad and a good vote for good
         for vote, to in ((BAD, BAD), (GOOD, GOOD)):

@@ -57,7 +57,7 @@ def test_em_finds_planted_accuracies():
     for row in v:
         key = "".join(map(str, row))
         patterns[key] = patterns.get(key, 0) + 1
-    table, share = R.fit(patterns, lean=0.001)
+    table, share = R.fit(patterns, lean=0.001, start={R.BAD: (0.6, 0.2, 0.2), R.GOOD: (0.1, 0.7, 0.2)})
     assert abs(share - good.mean()) < 0.05
     assert ((R.posterior(v, table, share) > 0.5) == good).mean() > 0.93
     found = table[:, R.GOOD, R.GOOD] / (table[:, R.GOOD, R.GOOD] + table[:, R.GOOD, R.BAD])

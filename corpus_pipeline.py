@@ -35,9 +35,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every component stays; of rows that share an id, one."""
+    """The smallest id of every component stays (five-word shingles, similarity 0.8); of rows that share an id, one."""
     prepare(spark)
-    told = stage(jaccard_join.join(docs), "near-duplicates")
+    told = stage(jaccard_join.join(docs, words=5, percent=80), "near-duplicates")
     kept = told.where("component_id is null or component_id = doc_id").select("doc_id")
     rows = _keep(docs, kept)
     repeated = told.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()

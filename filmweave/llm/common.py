@@ -43,7 +43,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs one task."""
-    spark = df.sparkSession
+    spark = prepare(df.sparkSession)
     path = fresh_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -102,7 +102,7 @@ def word_count(text: F.Column | str) -> F.Column:
 
 def text_rows(df: DataFrame) -> DataFrame:
     """Bound the rows of each Arrow batch before whole texts go to Python."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
+    prepare(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
     return df
 
 

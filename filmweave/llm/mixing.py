@@ -150,12 +150,11 @@ def sized_rows(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, dropped ones gone; same columns."""
-    columns = docs.columns
-    sized = sized_rows(docs.drop("size", "occ"))
-    narrow = stage(sized.select("doc_id", "source", "occ", "size"), "mix-sizes")
-    taken = decide(narrow).where("copies > 0").select("doc_id", "occ", "copies")
-    mixed = sized.join(taken, (sized["doc_id"].eqNullSafe(taken["doc_id"])) & (sized["occ"] == taken["occ"])).drop(taken["doc_id"], taken["occ"])
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([c for c in columns if c in mixed.columns])
+    rows = sized_rows(docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))).drop("text")
+    narrow = stage(rows.select("doc_id", "source", "occ", "size"), "mix-sizes")
+    taken = decide(narrow).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("occ").alias("_occ"), "copies")
+    mixed = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("occ") == F.col("_occ")))
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -113,7 +113,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows with ``length`` from 1 to ``capacity``."""
+    """Add (or replace) ``sequence_id`` and ``offset`` of rows with ``length`` from 1 to ``capacity``."""
+    cut = cut.drop("sequence_id", "offset", "_row")
     columns = cut.columns
     keys = ["length", *(c for c in ("doc_id", "piece") if c in columns)]
     numbered = number_rows(stage(cut, "cut"), keys, "pieces", "_row")

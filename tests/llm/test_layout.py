@@ -101,11 +101,11 @@ def test_settle_keeps_expectations():
 
 
 def test_mix_repeats_rows(spark):
-    df = docs(spark, ["a b c", "d", None, "e f"] * 4).unionByName(docs(spark, ["a b c"]))
+    df = docs(spark, ["a b c", "d", None, "e f"] * 4).unionByName(docs(spark, ["a b c"])).selectExpr("*", "slot as size", "slot as occ")
     mixed = M.mix(df)
     assert mixed.columns == df.columns
     want = {}
-    for x in M.decide(M.sized_rows(df.drop("slot")).drop("text")).collect():
+    for x in M.decide(M.sized_rows(df.select("doc_id", "source", "text")).drop("text")).collect():
         want[x["doc_id"]] = want.get(x["doc_id"], 0) + x["copies"]
     got = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in want.items() if v}

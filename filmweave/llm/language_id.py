@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from filmweave.llm.common import documents, keep, maybe_broadcast, stage, text_rows
 from filmweave.session import prepare
@@ -116,13 +116,18 @@ class Scorer:
 def train(docs: DataFrame, declared: str = "lang") -> TrigramModel:
     """From at most PER_LANGUAGE texts (smallest id hashes) of each of the LANGUAGES most declared languages."""
     common = docs.where(F.col(declared).isNotNull()).groupBy(declared).count().orderBy(F.desc("count"), declared).limit(LANGUAGES).collect()
+    known = docs.where(F.col(declared).isin([r[0] for r in common]) & F.col("doc_id").isNotNull()).select("doc_id", F.col(declared).alias("said"))
+    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("said").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= PER_LANGUAGE)
+    picked = [tuple(r) for r in ranked.select("doc_id", "said").distinct().collect()]  # PER_LANGUAGE times LANGUAGES at most
+    if not picked:
+        return TrigramModel.fit({})
+    ids = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, said string"))
+    found = docs.select("doc_id", "text").join(ids, "doc_id").select("said", "doc_id", "text").toArrow().sort_by([("said", "ascending"), ("doc_id", "ascending")])
     texts: dict[str, list[str]] = {}
-    for row in common:
-        ids = docs.where(F.col(declared) == row[0]).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LANGUAGE)
-        picked = F.broadcast(docs.sparkSession.createDataFrame([(r[0],) for r in ids.collect()], "doc_id long"))
-        found = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").toArrow().sort_by("doc_id")
-        texts[row[0]] = [t for t in found.column("text").to_pylist() if t]
-    return TrigramModel.fit({k: v for k, v in texts.items() if v})
+    for said, text in zip(found.column("said").to_pylist(), found.column("text").to_pylist(), strict=True):
+        if text:
+            texts.setdefault(said, []).append(text)
+    return TrigramModel.fit(texts)
 
 
 def likelihoods(docs: DataFrame, model: TrigramModel) -> DataFrame:

@@ -16,9 +16,9 @@ Inside the regions the join goes on with document pivots:
    spread over tasks), and links are verified on the whole sets;
 3. regions whose members all are in one component by then are done, since no
    further link could change a component. The others are joined again member by
-   member, only across components, pruned by size and by a parity sketch (the
+   member, only across components, pruned by size and by parity sketches (the
    number of differing sketch bits never exceeds the symmetric difference, so
-   nothing is lost). A region of more than ``REGION_ROWS`` members is dealt out
+   nothing is lost; a pair meets narrow sketches first, then wide ones). A region of more than ``REGION_ROWS`` members is dealt out
    in parts that are each compared with the parts after them;
 4. what is left is verified on whole sets, and links become components.
 
@@ -89,7 +89,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, print (of the whole set), sketch, prefix (the shingles whose regions it visits)."""
+    """Per row: doc_id, n, print (of the whole set), sketch (BITS bits), wide (about a bit per shingle), prefix (the
+    shingles whose regions it visits)."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
 
@@ -98,7 +99,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         known, counts = frequent.value
         for batch in batches:
-            n, prints, sketches, prefixes = [], [], [], []
+            n, prints, sketches, wides, prefixes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_hashes(text, words)
                 first = s
@@ -107,11 +108,28 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     first = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sketches.append(np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes())
+                wide = parity_sketch(s)
+                sketches.append(fold_sketch(wide, BITS).tobytes())
+                wides.append(wide.tobytes())
                 prefixes.append(first[: len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "print": pa.array(prints, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "print": pa.array(prints, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "wide": pa.array(wides, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
-    return text_rows(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, n long, print binary, sketch binary, prefix array<long>")
+    return text_rows(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, n long, print binary, sketch binary, wide binary, prefix array<long>")
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Bit b tells whether an odd number of shingles hash to b; as many bits as shingles, rounded up, BITS at least."""
+    bits = max(BITS, 1 << (max(1, len(s)) - 1).bit_length())
+    at = (s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1).view(np.uint64)
+
+
+def fold_sketch(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """The narrower sketch of the same set: halves combine by exclusive or."""
+    while 64 * len(sketch) > bits:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 def may_link(n1: np.ndarray, s1: np.ndarray, n2: np.ndarray, s2: np.ndarray, percent: int) -> np.ndarray:
@@ -125,18 +143,26 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def sketch_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches leave open."""
-    left = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
-    right = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+    """Pairs (a, b) that sizes and wide sketches leave open. ``nodes``: doc_id, n, wide."""
+    left = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("s1"))
+    right = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("s2"))
+
+    def differ(x: bytes, y: bytes) -> int:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        bits = 64 * min(len(a), len(b))
+        return int(np.bitwise_count(fold_sketch(a, bits) ^ fold_sketch(b, bits)).sum(dtype=np.int64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                open_ = may_link(x.column(2).to_numpy(), _sketches(x.column(3)), x.column(4).to_numpy(), _sketches(x.column(5)), percent)
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(open_))
+                n1, n2 = x.column(2).to_numpy(), x.column(4).to_numpy()
+                ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+                for k in np.flatnonzero(ok):
+                    ok[k] = (100 + percent) * differ(x.column(3)[k].as_py(), x.column(5)[k].as_py()) <= (100 - percent) * (n1[k] + n2[k])
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "s1", "n2", "s2")
-    return joined.mapInArrow(work, "a long, b long")
+    joined = pairs.join(left, "a").join(right, "b").where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    return joined.select("a", "b", "n1", "s1", "n2", "s2").mapInArrow(work, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -241,10 +267,10 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     told = stage(full.select("doc_id", "n", "print"), "prints")
     classes = stage(told.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    nodes = stage(full.where("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "n", "sketch", "prefix"), "nodes")
+    nodes = stage(full.where("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "n", "sketch", "wide", "prefix"), "nodes")
     drop_staged(full)
     shared = regions(nodes)
-    flat = stage(nodes.select("doc_id", "n", "sketch"), "sketches")
+    flat = stage(nodes.select("doc_id", "n", "sketch", "wide"), "sketches")
     drop_staged(nodes)
     stars = shared.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     open_stars = sketch_filter(stars, flat, percent)
@@ -260,7 +286,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     parts = F.when(F.col("members") > REGION_ROWS, parts).otherwise(F.lit(1))
     dealt = (
         labelled.join(open_, "s")
-        .join(flat, "doc_id")
+        .join(flat.drop("wide"), "doc_id")
         .withColumn("parts", parts)
         .withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         .withColumn("part", F.explode(F.sequence("home", F.col("parts") - 1)))
@@ -269,6 +295,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         .sortWithinPartitions("s", "part", F.desc("own"), "doc_id")
     )
     more = stage(compare_regions(dealt, percent).distinct(), "open-pairs")
+    more = stage(sketch_filter(more, flat, percent), "narrowed-pairs")
     found = links.unionByName(verify(more, docs, words, percent))
     component = stage(connected_components(found), "components")
     by_class = classes.join(component, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))

@@ -77,13 +77,17 @@ def test_jaccard_join_of_nothing(spark):
 
 def test_sketch_never_rules_out_a_link():
     rng = np.random.default_rng(0)
-    for n in (5, 40, 400):
+    for n in (5, 40, 400, 5000):
         a = rng.integers(0, 2**63, n).astype(np.uint64)
         b = a.copy()
         b[: int(n * 0.08)] = rng.integers(0, 2**63, int(n * 0.08)).astype(np.uint64)
-        sketch = lambda s: (np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(J.BITS - 1)).astype(int), minlength=J.BITS) & 1)).view(np.uint64)
+        wide_a, wide_b = J.parity_sketch(a), J.parity_sketch(b)
+        assert 64 * len(wide_a) >= max(n, J.BITS)
+        narrow = lambda s: (np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(J.BITS - 1)).astype(int), minlength=J.BITS) & 1)).view(np.uint64)
+        assert (J.fold_sketch(wide_a, J.BITS) == narrow(a)).all()
         link = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
-        assert not link or J.may_link(np.array([n]), sketch(a)[None], np.array([n]), sketch(b)[None], 85)[0]
+        for x, y in ((wide_a, wide_b), (narrow(a), narrow(b))):
+            assert not link or J.may_link(np.array([n]), x[None], np.array([n]), y[None], 85)[0]
 
 
 def test_components(spark):

@@ -33,9 +33,9 @@ from filmweave.llm.common import drop_staged, stage
 from filmweave.session import prepare
 
 #: Neighbours kept; sign codes; rows of a start chunk; rounds of descent; new neighbours a member learns in one meeting.
-K, CODES, CHUNK, ROUNDS, LEARN = 20, 4, 1024, 3, 4
+K, CODES, CHUNK, ROUNDS, LEARN = 20, 8, 1024, 4, 4
 #: Beam of a query; members expanded in a round; entry points.
-BEAM, EXPAND, ENTRIES = 160, 32, 64
+BEAM, EXPAND, ENTRIES = 320, 64, 64
 SEED = 7
 
 LISTS = "id long, ids array<long>, ds array<double>, fresh array<boolean>"

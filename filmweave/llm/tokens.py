@@ -22,7 +22,7 @@ from filmweave.llm.common import chunks, keep
 #: A space before a blank or the end; a line break beside a blank.
 SPACE, BREAK = re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:(?<=\s\n)|(?=\s))")
 #: Pieces that a worker remembers; pieces in one call of the library.
-CACHE_PIECES, CALL = 300_000, 1000
+CACHE_PIECES, CALL = 800_000, 1000
 
 
 def tokenizer(path: str):
@@ -35,9 +35,9 @@ def tokenizer(path: str):
 class Encoder:
     """Texts -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, limit: int | None = None):
         """``spaced``: a piece's leading space is part of it (byte-level BPE); else blanks and ASCII case don't matter."""
-        self.raw, self.spaced, self.known = tokenizer(path), spaced, {}
+        self.raw, self.spaced, self.known, self.limit = tokenizer(path), spaced, {}, limit or CACHE_PIECES
         special = [(i, t.content) for i, t in self.raw.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")]
         self.mark = min(special, default=None)
 
@@ -74,7 +74,7 @@ class Encoder:
         known = self.known
         new = [p for p in set().union(*(p for p in split if p)) if p not in known]
         found = self.learn(new)
-        room = CACHE_PIECES - len(self.known)
+        room = self.limit - len(self.known)
         if room >= len(new):
             self.known.update(found)
             get = self.known.__getitem__
@@ -85,8 +85,8 @@ class Encoder:
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split, strict=True)]
 
 
-def encoder(path: str, spaced: bool) -> Callable[[Sequence[str | None]], list[bytes]]:
-    return keep(f"encoder {path} {spaced}", lambda: Encoder(path, spaced)).batch
+def encoder(path: str, spaced: bool, limit: int | None = None) -> Callable[[Sequence[str | None]], list[bytes]]:
+    return keep(f"encoder {path} {spaced} {limit}", lambda: Encoder(path, spaced, limit)).batch
 
 
 def place(name: str) -> str:

@@ -32,6 +32,8 @@ STEP = 512
 #: Ids after which a shard file is closed (a document is never split).
 SHARD_IDS = 1_000_000
 END_ID = 2
+#: Pieces that a worker remembers here, where sorting needs memory beside it.
+PIECES = 500_000
 
 
 class WaveletMatrix:
@@ -174,7 +176,7 @@ def encode_files(docs: DataFrame, out_dir: str, tokenizer_path: str, spaced: boo
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, spaced)
+        encode = encoder(tokenizer_path, spaced, PIECES)
         files, base = _filesystem(out_dir)
         files.create_dir(base, recursive=True)
         end = struct.pack("<I", end_id)

@@ -2,18 +2,20 @@
 
 Start lists come from a few random sign codes: vectors sorted by code and dealt
 into equal chunks get their exact neighbours within the chunk. NN-descent then
-improves them in rounds of joins: around each vector its neighbours and some of
+improves them in rounds of joins: around each vector its neighbours and ``K`` of
 those it is a neighbour of meet (neighbours of neighbours), and each learns of
-the closest it didn't know. Only meetings with at least one new edge count, and
-only distances below a member's present radius are passed on.
+all that are nearer than its present radius and not in its list. Pairs that met
+there before are left out. An edge counts as met at either end only once it took
+part there; those beyond the ``K`` wait for a later round. Rounds go on until few
+entries change.
 
 A query holds a beam of the nearest found, expands its best unexpanded members
 through the graph by joins, and ends when all of its beam is expanded. Distances
 are Euclidean in double precision on the original vectors throughout, so scores
 are exact; what is approximate is which neighbours are found.
 
-Lists of the graph are bounded by design (``K`` out, ``K`` in); every vector is
-indexed. Recall against brute force is measured in the tests and the README.
+Lists of the graph are bounded by design, the search follows all edges both
+ways; every vector is indexed. Recall against brute force is measured in the tests and the README.
 
 Defined results: null and zero vectors, vectors with null or non-finite
 components or of another than the most frequent dimension, and null ids take no
@@ -29,16 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filmweave.llm.common import drop_staged, stage
+from filmweave.llm.common import drop_staged, stage, text_rows
 from filmweave.session import prepare
 
-#: Neighbours kept; sign codes; rows of a start chunk; rounds of descent; new neighbours a member learns in one meeting.
-K, CODES, CHUNK, ROUNDS, LEARN = 20, 8, 1024, 4, 4
+#: Neighbours kept; sign codes; rows of a start chunk; share of changed entries that ends the descent.
+K, CODES, CHUNK, SETTLED = 20, 8, 1024, 0.001
 #: Beam of a query; members expanded in a round; entry points.
 BEAM, EXPAND, ENTRIES = 320, 64, 64
 SEED = 7
 
-LISTS = "id long, ids array<long>, ds array<double>, fresh array<boolean>"
+#: What an edge has yet to take part in: meetings around its start and around its end.
+AHEAD, BACK = 1, 2
+LISTS = "id long, ids array<long>, ds array<double>, fresh array<int>"
 
 
 def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
@@ -78,7 +82,12 @@ def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     np.fill_diagonal(d, np.inf)
     k = min(k, len(x) - 1)
     at = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return at, np.sqrt(np.maximum(np.take_along_axis(d, at, 1), 0))
+    return at, np.stack([_distances(x[i], x[at[i]]) for i in range(len(x))])
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Without the cancellation of the product form, so that a pair has one distance wherever it meets."""
+    return np.sqrt(((x - y) ** 2).sum(1))
 
 
 def start_lists(vectors: DataFrame, dtype: str) -> DataFrame:
@@ -100,7 +109,7 @@ def start_lists(vectors: DataFrame, dtype: str) -> DataFrame:
         def solve(t: pa.Table) -> pa.RecordBatch:
             ids = t.column("id").to_numpy()
             at, d = _nearest(_matrix(t.column("v").combine_chunks(), dtype), K) if len(ids) > 1 else (np.empty((len(ids), 0), int), np.empty((len(ids), 0)))
-            return pa.RecordBatch.from_arrays([pa.array(ids), _lists(list(ids[at]), pa.int64()), _lists(list(d), pa.float64()), _lists([np.ones(len(r), bool) for r in d], pa.bool_())], names=["id", "ids", "ds", "fresh"])
+            return pa.RecordBatch.from_arrays([pa.array(ids), _lists(list(ids[at]), pa.int64()), _lists(list(d), pa.float64()), _lists([np.full(len(r), AHEAD | BACK) for r in d], pa.int32())], names=["id", "ids", "ds", "fresh"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -118,21 +127,21 @@ def start_lists(vectors: DataFrame, dtype: str) -> DataFrame:
 
 
 def merge(lists: DataFrame, k: int = K) -> DataFrame:
-    """One list per id: the ``k`` nearest of all its lists; an edge known to any list as old stays old. Staged."""
+    """One list per id: the ``k`` nearest of all its lists; an edge that took part in any list's meetings did. Staged."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, out = b.column(0).to_pylist(), ([], [], [])
             for r, own in enumerate(names):
                 ids, ds, fresh = (np.concatenate([np.asarray(x) for x in b.column(c)[r].values.to_numpy(zero_copy_only=False)] or [np.empty(0)]) for c in (1, 2, 3))
-                order = np.lexsort((fresh.astype(bool), ids))
-                ids, ds, fresh = ids[order].astype(np.int64), ds[order], fresh[order].astype(bool)
+                order = np.lexsort((fresh, ids))
+                ids, ds, fresh = ids[order].astype(np.int64), ds[order], fresh[order]
                 one = np.concatenate([[True], ids[1:] != ids[:-1]]) & (ids != own) if len(ids) else np.empty(0, bool)
                 ids, ds, fresh = ids[one], ds[one], fresh[one]
                 best = np.lexsort((ids, ds))[:k]
                 for to, x in zip(out, (ids, ds, fresh), strict=True):
                     to.append(x[best])
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out[0], pa.int64()), _lists(out[1], pa.float64()), _lists(out[2], pa.bool_())], names=["id", "ids", "ds", "fresh"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out[0], pa.int64()), _lists(out[1], pa.float64()), _lists(out[2], pa.int32())], names=["id", "ids", "ds", "fresh"])
 
     gathered = lists.groupBy("id").agg(F.collect_list("ids").alias("ids"), F.collect_list("ds").alias("ds"), F.collect_list("fresh").alias("fresh"))
     return stage(gathered.mapInArrow(work, LISTS), "graph")
@@ -142,27 +151,29 @@ def _edges(graph: DataFrame) -> DataFrame:
     return graph.select("id", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("id", F.col("e.ids").alias("other"), F.col("e.fresh").alias("fresh"))
 
 
-def _both_ways(graph: DataFrame, turn: int) -> DataFrame:
-    """(at, member, fresh): neighbours of ``at``, and K of those that have it as a neighbour.
+def _visitors(graph: DataFrame, turn: int) -> DataFrame:
+    """(at, member, fresh): K of those that have ``at`` as a neighbour, first those that haven't met there; staged.
 
     The limit by rank runs before the shuffle too, so a vector that is near to very many sends K rows a task.
     """
-    out = _edges(graph)
-    back = out.select(F.col("other").alias("at"), F.col("id").alias("member"), "fresh").withColumn(
-        "r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("fresh"), F.xxhash64("member", F.lit(turn))))
-    )
-    both = out.select(F.col("id").alias("at"), F.col("other").alias("member"), "fresh").unionByName(back.where(F.col("r") <= K).drop("r"))
-    return both.groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
+    back = _edges(graph).select(F.col("other").alias("at"), F.col("id").alias("member"), (F.col("fresh").bitwiseAND(BACK) != 0).alias("fresh"))
+    ranked = back.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("fresh"), F.xxhash64("member", F.lit(turn)))))
+    return stage(ranked.where(F.col("r") <= K).drop("r"), "visitors")
 
 
 def descend(graph: DataFrame, vectors: DataFrame, dtype: str, turn: int) -> DataFrame:
     """A round: members that meet around a vector learn of each other."""
-    known = graph.select("id", F.when(F.size("ids") >= K, F.element_at("ds", -1)).otherwise(F.lit(float("inf"))).alias("radius")).join(vectors, "id")
+    known = graph.select("id", "ids", F.when(F.size("ids") >= K, F.element_at("ds", -1)).otherwise(F.lit(float("inf"))).alias("radius")).join(vectors, "id")
+    visitors = _visitors(graph, turn)
     met = (
-        _both_ways(graph, turn)
+        _edges(graph)
+        .select(F.col("id").alias("at"), F.col("other").alias("member"), (F.col("fresh").bitwiseAND(AHEAD) != 0).alias("fresh"))
+        .unionByName(visitors)
+        .groupBy("at", "member")
+        .agg(F.max("fresh").alias("fresh"))
         .join(known, F.col("member") == F.col("id"))
         .groupBy("at")
-        .agg(F.collect_list("member").alias("m"), F.collect_list("radius").alias("r"), F.collect_list("fresh").alias("f"), F.collect_list("v").alias("v"))
+        .agg(F.collect_list("member").alias("m"), F.collect_list("radius").alias("r"), F.collect_list("fresh").alias("f"), F.collect_list("v").alias("v"), F.collect_list("ids").alias("l"))
         .where("exists(f, x -> x)")
     )
 
@@ -171,41 +182,56 @@ def descend(graph: DataFrame, vectors: DataFrame, dtype: str, turn: int) -> Data
             names, ids, ds = [], [], []
             for r in range(b.num_rows):
                 m, radius, fresh = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-                x, fresh = _matrix(b.column(4)[r].values, dtype), fresh.astype(bool)
+                x, fresh, lists = _matrix(b.column(4)[r].values, dtype), fresh.astype(bool), b.column(5)[r].values
                 sq = (x * x).sum(1)
                 d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2.0 * (x @ x.T), 0))
                 d[~(fresh[:, None] | fresh[None, :])] = np.inf
                 np.fill_diagonal(d, np.inf)
-                n = min(LEARN, len(m) - 1)
-                if n < 1:
-                    continue
-                at = np.argpartition(d, n - 1, axis=1)[:, :n]
-                near = np.take_along_axis(d, at, 1)
-                ok = near < radius[:, None]
-                for i in np.flatnonzero(ok.any(1)):
-                    names.append(m[i])
-                    ids.append(m[at[i][ok[i]]])
-                    ds.append(near[i][ok[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(ids, pa.int64()), _lists(ds, pa.float64()), _lists([np.ones(len(x), bool) for x in ids], pa.bool_())], names=["id", "ids", "ds", "fresh"])
-
-    learned = met.select("at", "m", "r", "f", "v").mapInArrow(work, LISTS)
-    old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
-    return merge(old.unionByName(learned))
-
-
-def build_graph(vectors: DataFrame, dtype: str, rounds: int = ROUNDS) -> DataFrame:
-    """(id, ids, ds, fresh): the K nearest found of every vector, nearest first."""
-    graph = merge(start_lists(vectors, dtype))
-    for turn in range(rounds):
+                listed, order = lists.flatten().to_numpy(zero_copy_only=False), np.argsort(m)
+                place = np.minimum(np.searchsorted(m, listed, sorter=order), len(m) - 1)
+                here = m[order[place]] == listed
+                d[np.repeat(np.arange(len(m)), lists.value_lengths().to_numpy(zero_copy_only=False))[here], order[place[here]]] = np.inf
+                i, j = np.nonzero(d < radius[:, None])
+                exact = _distances(x[i], x[j])
+                ok = exact < radius[i]
+                i, j, exact = i[ok], j[ok], exact[ok]
+                first = np.flatnonzero(np.diff(i, prepend=-1))
+                names.extend(m[i[first]])
+                ids.extend(np.split(m[j], first[1:]) if len(i) else [])
+                ds.extend(np.split(exact, first[1:]) if len(i) else [])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(ids, pa.int64()), _lists(ds, pa.float64()), _lists([np.full(len(x), AHEAD | BACK) for x in ids], pa.int32())], names=["id", "ids", "ds", "fresh"])
+
+    learned = text_rows(met.select("at", "m", "r", "f", "v", "l")).mapInArrow(work, LISTS)
+    seen = visitors.where("fresh").groupBy(F.col("member").alias("id")).agg(F.collect_list("at").alias("seen"))
+    waits = lambda other, fresh: (fresh.bitwiseAND(BACK) != 0) & ~F.coalesce(F.array_contains("seen", other), F.lit(False))
+    aged = graph.join(seen, "id", "left").select("id", "ids", "ds", F.zip_with("ids", "fresh", lambda o, f: F.when(waits(o, f), BACK).otherwise(0)).alias("fresh"))
+    better = merge(aged.unionByName(learned))
+    drop_staged(visitors)
+    return better
+
+
+def _changed(better: DataFrame, graph: DataFrame) -> float:
+    """The share of entries that the graph before didn't have."""
+    both = better.join(graph.select("id", F.col("ids").alias("was")), "id")
+    new, all_ = both.agg(F.sum(F.size(F.array_except("ids", "was"))), F.sum(F.size("ids"))).first()
+    return new / all_ if all_ else 0.0
+
+
+def build_graph(vectors: DataFrame, dtype: str, rounds: int | None = None) -> DataFrame:
+    """(id, ids, ds, fresh): the K nearest found of every vector, nearest first; ``rounds`` only bounds trials."""
+    graph, turn, changed = merge(start_lists(vectors, dtype)), 0, 1.0
+    while changed > SETTLED and turn != rounds:
         better = descend(graph, vectors, dtype, turn)
+        changed = _changed(better, graph)
         drop_staged(graph)
-        graph = better
+        graph, turn = better, turn + 1
     return graph
 
 
 def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dtype: str, k: int) -> DataFrame:
     """The ``k`` nearest found for each of ``queries`` (query_id, q; members of the index start at their own node)."""
-    near = stage(_both_ways(graph, 99).groupBy("at").agg(F.collect_list("member").alias("to")), "adjacent")
+    out = _edges(graph).select(F.col("id").alias("at"), F.col("other").alias("member"))
+    near = stage(out.unionByName(out.select(F.col("member").alias("at"), F.col("at").alias("member"))).distinct(), "adjacent")
     entries = vectors.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).toArrow()
     ids0, x0 = entries.column("id").to_numpy(), _matrix(entries.column("v").combine_chunks(), dtype)
     STATE = "query_id long, q binary, ids array<long>, ds array<double>, done array<boolean>"
@@ -250,7 +276,7 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, dtype: str,
         reached = (
             now.select("query_id", F.explode(todo).alias("e"))
             .join(near, F.col("e.ids") == F.col("at"))
-            .select("query_id", F.explode("to").alias("member"))
+            .select("query_id", "member")
             .distinct()
             .where("member <> query_id")
         )

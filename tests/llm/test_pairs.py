@@ -142,3 +142,34 @@ def test_neighbours_of_odd_vectors(spark):
     assert got == [(0, 1, 7, 0.0), (0, 2, 8, 0.0), (0, 3, 100, s), (100, 1, 0, s), (100, 2, 7, s), (100, 3, 8, s)]
     empty, dtype = N.usable(df.limit(0))
     assert N.search(empty.selectExpr("id as query_id", "v as q"), N.build_graph(empty, dtype, 1), empty, dtype, 3).count() == 0
+
+
+def ring(spark, n, offsets):
+    """A graph in which i has i + offsets as its list and n - 1 or fewer have it, with random vectors; nothing has met."""
+    x = np.random.default_rng(5).normal(size=(n, 8))
+    vectors = spark.createDataFrame([(i, v.astype("<f8").tobytes()) for i, v in enumerate(x)], "id long, v binary")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    lists = {i: sorted(offsets(i), key=lambda j: (d[i, j], j)) for i in range(n)}
+    rows = [(i, to, [float(d[i, j]) for j in to], [N.AHEAD | N.BACK] * len(to)) for i, to in lists.items()]
+    return lists, d, vectors, spark.createDataFrame(rows, N.LISTS)
+
+
+def test_neighbours_meeting_passes_on_all_that_are_nearer(spark):
+    n = 90
+    lists, d, vectors, graph = ring(spark, n, lambda i: [(i + s) % n for s in range(1, N.K + 1)])
+    want = {i: set(to) for i, to in lists.items()}
+    for at in range(n):
+        members = set(lists[at]) | {i for i in lists if at in lists[i]}
+        for i in members:
+            want[i] |= members - {i}
+    got = {r["id"]: r["ids"] for r in N.descend(graph, vectors, "<f8", 0).collect()}
+    assert got == {i: sorted(to, key=lambda j: (d[i, j], j))[: N.K] for i, to in want.items()}
+
+
+def test_neighbours_edges_that_were_cut_wait(spark):
+    n = 70
+    _, _, vectors, graph = ring(spark, n, lambda i: [0] if i else [1])
+    after = {r["id"]: dict(zip(r["ids"], r["fresh"], strict=True)) for r in N.descend(graph, vectors, "<f8", 0).collect()}
+    waiting = sum(to.get(0) == N.BACK for to in after.values())
+    met = sum(to.get(0) == 0 for to in after.values())
+    assert met <= N.K and waiting + met + sum(0 not in to for i, to in after.items() if i) == n - 1 and waiting >= n - 1 - 2 * N.K

@@ -166,6 +166,48 @@ def crawl_films(spark, d):
     return _crawled(spark, d)[1].select("film", "level")
 
 
+SEEDS = "p_partkey < 5"
+BFS_ALL = f"""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS f FROM lineitem),
+  b AS (SELECT p_partkey AS p, 0 AS level FROM part WHERE {SEEDS} UNION
+        SELECT y.p, b.level + 1 FROM b JOIN e x ON b.p = x.p JOIN e y ON x.f = y.f WHERE b.level < 3),
+  person AS (SELECT p, min(level) AS level FROM b GROUP BY p) """
+#: The default frontier: a level opens only if some known film's first actor isn't known.
+BFS_LEADS = (
+    f"""WITH e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS f FROM lineitem), lead AS (SELECT l_orderkey AS f, arg_min(l_partkey, l_linenumber) AS p FROM lineitem GROUP BY 1),
+  p0 AS (SELECT p_partkey AS p, 0 AS level FROM part WHERE {SEEDS})"""
+    + "".join(
+        f""", f{k} AS (SELECT DISTINCT f FROM e JOIN p{k} USING (p)),
+  p{k + 1} AS (SELECT * FROM p{k} UNION ALL SELECT DISTINCT p, {k + 1} FROM e JOIN f{k} USING (f) WHERE p NOT IN (SELECT p FROM p{k})
+    AND EXISTS (SELECT 1 FROM lead JOIN f{k} USING (f) WHERE lead.p NOT IN (SELECT p FROM p{k})))"""
+        for k in range(3)
+    )
+    + " "
+)
+
+
+def crawl_credits(spark, d, seeds: str = SEEDS, full_frontier: bool = True):
+    """The crawl over all credits from the parts that ``seeds`` selects."""
+    credit = read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("name"), F.col("l_orderkey").cast("string").alias("film"), F.col("l_linenumber").alias("pos"))
+    start = read(spark, d, "part").where(seeds).select(F.col("p_partkey").cast("string").alias("name"))
+    casts = credit.select("film", "pos", F.col("name").alias("actor"), F.lit(False).alias("nested"))
+    return crawl.crawl(start, credit.select("name", "film"), casts, full_frontier=full_frontier)
+
+
+@query(BFS_ALL + "SELECT p::VARCHAR AS name, level FROM person")
+def bfs_levels_all(spark, d):
+    return crawl_credits(spark, d)[0].select("name", "level")
+
+
+@query(BFS_ALL + "SELECT f::VARCHAR AS film, min(level) AS level FROM person JOIN e ON person.p = e.p GROUP BY 1")
+def crawl_films_all(spark, d):
+    return crawl_credits(spark, d)[1].select("film", "level")
+
+
+@query(BFS_LEADS + "SELECT p::VARCHAR AS name, level FROM p3")
+def bfs_levels_leads(spark, d):
+    return crawl_credits(spark, d, full_frontier=False)[0].select("name", "level")
+
+
 @query(
     """WITH RECURSIVE r AS (SELECT o_orderkey AS k, o_orderkey + 1 AS goal, 1 AS hops FROM orders WHERE o_orderkey % 4 <> 3 UNION ALL
     SELECT r.k, r.goal + 1, r.hops + 1 FROM r JOIN orders o ON r.goal = o.o_orderkey WHERE r.goal % 4 <> 3),

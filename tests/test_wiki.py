@@ -1,8 +1,10 @@
 """Pages, redirects, sections, crawl, records, graph: one small case per rule."""
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from filmweave.operators import cast, crawl, graph, infobox, lookup, predicates, records, sections, tables
+from filmweave.plans import queries
 from filmweave.sources import sinks, wiki
 from filmweave.streaming.pages import fact_stream
 
@@ -134,3 +136,22 @@ def test_graph(spark):
     assert [(r["p1"], r["p2"], r["film_count"], r["films"], r["collaboration_types"], r["school"], r["weight"]) for r in pairs] == [("a", "b", 1, ["f"], ["actor-director"], "S", 1.5)]
     assert [r[0] for r in graph.isolated(nodes, graph.collaborations(nodes, edges)).collect()] == ["c"]
     assert {r["measure"]: r["n"] for r in graph.counts(nodes, made, edges, graph.collaborations(nodes, edges)).collect()} == {"nodes": 5, "edges": 4, "actor_credits": 5, "director_credits": 1, "collaboration_nodes": 3, "collaboration_edges": 1}
+
+
+def test_crawl_of_all_credits(spark):
+    rows = [r[:3] for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber").collect()]
+    of, cast_of = {}, {}
+    for p, f, pos in rows:
+        of.setdefault(p, set()).add(f)
+        cast_of.setdefault(f, []).append((pos, p))
+    for full in (True, False):
+        persons = {p: 0 for p in (1, 2)}
+        films = {f: 0 for p in persons for f in of.get(p, ())}
+        for level in (1, 2, 3):
+            if full or any(min(cast_of[f])[1] not in persons for f in films):
+                new = {p for f in films for _, p in cast_of[f]} - set(persons)
+                persons |= dict.fromkeys(new, level)
+                films |= dict.fromkeys({f for p in new for f in of[p]} - set(films), level)
+        got = queries.crawl_credits(spark, SMALL, "p_partkey IN (1, 2)", full)
+        assert {int(r["name"]): r["level"] for r in got[0].collect()} == persons
+        assert {int(r["film"]): r["level"] for r in got[1].collect()} == films and len(films) > 1000

@@ -127,13 +127,26 @@ def node_counts(spark, d):
 ORDERED = "SELECT DISTINCT c_name AS person, o_orderpriority AS film FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 400000"
 
 
+def _alone(spark, d, orders: DataFrame) -> DataFrame:
+    edge = read(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_name").alias("person"), F.col("o_orderpriority").alias("film"))
+    people = read(spark, d, "customer").select(F.col("c_name").alias("id"), F.lit("person").alias("type"), F.create_map().cast("map<string,string>").alias("info"))
+    return graph.alone(people, edge)
+
+
 @query(f"WITH e AS ({ORDERED}) SELECT c_name AS name FROM customer WHERE c_name NOT IN (SELECT person FROM e)")
 def isolated_persons(spark, d):
     """Customers without a large order in common with anyone: links by priority of large orders."""
-    large = read(spark, d, "orders").where("o_totalprice > 400000")
-    edge = read(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_name").alias("person"), F.col("o_orderpriority").alias("film"), F.lit("actor").alias("role")).distinct()
-    people = read(spark, d, "customer").select(F.col("c_name").alias("id"), F.lit("person").alias("type"), F.create_map().cast("map<string,string>").alias("info"))
-    return graph.isolated(people, graph.film_pairs(edge))
+    return _alone(spark, d, read(spark, d, "orders").where("o_totalprice > 400000"))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT c_name AS person, o_orderpriority AS film FROM customer JOIN orders ON c_custkey = o_custkey),
+  shared AS (SELECT film FROM e GROUP BY film HAVING count(*) > 1)
+  SELECT c_name AS name FROM customer WHERE c_name NOT IN (SELECT person FROM e JOIN shared USING (film))"""
+)
+def isolated_persons_all(spark, d):
+    """Customers without any order's priority in common with anyone."""
+    return _alone(spark, d, read(spark, d, "orders"))
 
 
 # -- crawl, redirects, pages ----------------------------------------------------

@@ -155,3 +155,12 @@ def test_crawl_of_all_credits(spark):
         got = queries.crawl_credits(spark, SMALL, "p_partkey IN (1, 2)", full)
         assert {int(r["name"]): r["level"] for r in got[0].collect()} == persons
         assert {int(r["film"]): r["level"] for r in got[1].collect()} == films and len(films) > 1000
+
+
+def test_alone_makes_no_pairs(spark):
+    people = spark.createDataFrame([(x, "person", {}) for x in "abcd"] + [("f", "film", {})], "id string, type string, info map<string,string>")
+    edges = spark.createDataFrame([("a", "f"), ("b", "f"), ("b", "f"), ("c", "g"), ("c", "g"), ("a", "h"), ("other", "g")], "person string, film string")
+    assert sorted(r[0] for r in graph.alone(people, edges).collect()) == ["c", "d"]
+    hot = spark.range(100_000).selectExpr("cast(id as string) as person", "'one' as film")
+    crowd = hot.selectExpr("person as id", "'person' as type", "cast(map() as map<string,string>) as info").unionByName(people)
+    assert graph.alone(crowd, hot).where("name not in ('a', 'b', 'c', 'd')").count() == 0

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filmweave.functions.text import strip
-
-#: Redirect hops that are followed.
-MAX_HOPS = 10
+from filmweave.staging import stage
 
 
 def redirect_target(text: Column, any_case: bool = False) -> Column:
@@ -27,18 +25,24 @@ def lookup(titles: DataFrame, pages: DataFrame, title: str = "title") -> DataFra
 def resolve_redirects(hops: DataFrame) -> DataFrame:
     """(title, final_title, hops, redirect_status) for redirects (title, target).
 
-    Chains double at every step, so four joins on the redirects alone follow up to 16 hops; more than MAX_HOPS, and
-    cycles among them, are ``too_deep``.
+    Titles are unique. Chains double at every step, on the redirects alone, so a chain of any length ends after the
+    logarithm of its hops. Once a doubling ends no further title, what is still open runs into a cycle (the tail of a
+    longer chain would have ended) and is ``too_deep``.
     """
     step = hops.select("title", "target").where("target is not null")
-    now = step.select("title", F.col("target").alias("at"), F.lit(1).alias("hops"))
-    for _ in range(4):
-        onward = now.select(F.col("title").alias("_t"), F.col("at").alias("_at"), F.col("hops").alias("_h"))
-        now = now.join(onward, F.col("at") == F.col("_t"), "left").select(
-            "title", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")
+    heads = step.select(F.col("title").alias("_t")).distinct()
+    now = stage(step.join(heads, F.col("target") == F.col("_t"), "left").select("title", F.col("target").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("_t").isNotNull().alias("open")), "redirects")
+    left, before = now.where("open").count(), -1
+    while left and left != before:
+        onward = now.select(F.col("title").alias("_t"), F.col("at").alias("_at"), F.col("hops").alias("_h"), F.col("open").alias("_o"))
+        now = stage(
+            now.join(onward, F.col("at") == F.col("_t"), "left").select(
+                "title", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.coalesce("_o", F.lit(False)).alias("open")
+            ),
+            "redirects",
         )
-    deep = F.col("hops") > MAX_HOPS
-    return now.select("title", F.when(~deep, F.col("at")).alias("final_title"), "hops", F.when(deep, "too_deep").otherwise("resolved").alias("redirect_status"))
+        before, left = left, now.where("open").count()
+    return now.select("title", F.when(~F.col("open"), F.col("at")).alias("final_title"), "hops", F.when(F.col("open"), "too_deep").otherwise("resolved").alias("redirect_status"))
 
 
 def resolved_pages(pages: DataFrame, any_case: bool = False) -> DataFrame:

@@ -164,3 +164,11 @@ def test_alone_makes_no_pairs(spark):
     hot = spark.range(100_000).selectExpr("cast(id as string) as person", "'one' as film")
     crowd = hot.selectExpr("person as id", "'person' as type", "cast(map() as map<string,string>) as info").unionByName(people)
     assert graph.alone(crowd, hot).where("name not in ('a', 'b', 'c', 'd')").count() == 0
+
+
+def test_redirects_of_any_length(spark):
+    chain = [(f"c{i}", f"#redirect [[c{i + 1}]]") for i in range(40)] + [("c40", "end")]
+    ring = [(f"r{i}", f"#redirect [[r{(i + 1) % 3}]]") for i in range(3)] + [("t1", "#redirect [[t2]]"), ("t2", "#redirect [[r0]]"), ("s", "#redirect [[s]]")]
+    got = {r["title"]: tuple(r)[1:] for r in lookup.resolved_pages(spark.createDataFrame(chain + ring, "title string, text string")).collect()}
+    assert all(got[f"c{i}"] == ("c40", "end", "resolved") for i in range(40))
+    assert all(got[t] == (None, "", "too_deep") for t, _ in ring) and len(got) == 47

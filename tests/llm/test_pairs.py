@@ -173,3 +173,23 @@ def test_neighbours_edges_that_were_cut_wait(spark):
     waiting = sum(to.get(0) == N.BACK for to in after.values())
     met = sum(to.get(0) == 0 for to in after.values())
     assert met <= N.K and waiting + met + sum(0 not in to for i, to in after.items() if i) == n - 1 and waiting >= n - 1 - 2 * N.K
+
+
+def test_jaccard_join_of_the_pipeline(spark):
+    """Five words and 80 %, as corpus_pipeline.near_duplicates joins."""
+    rows = near_copies(6) + [(900, None), (901, "just three words"), (902, "just three words")]
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[i]] == root[i] for i in root):
+            break
+    got = sorted(tuple(r) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect())
+    assert [(i, n) for i, n, _ in got] == [(i, len(sets[i])) for i in sorted(sets)]
+    assert {i: c for i, _, c in got} == root

@@ -1,34 +1,34 @@
 """Exact n-gram Jaccard join in a metric space, down to components.
 
 Jaccard distance is a metric, so a pivot bounds what may lie near a document.
-Documents as pivots don't help at first: unrelated texts are all at distance 1.
-Single shingles do: a document is nearer to the one-shingle sets it contains,
-ties go by one global order (rare before frequent, then by hash), and by the
-triangle inequality a partner within 0.15 must contain one of the document's
-first ``n - ceil(0.85 n) + 1`` shingles. So a document is replicated to the
-Voronoi regions of exactly those shingles, and no link crosses regions.
-
-Inside the regions the join goes on with document pivots:
-
-1. texts with equal sets are one class; only its smallest id goes on;
-2. every region picks a pivot document; each member is held against one pivot
-   that sizes and sketches leave open (a join on pairs, so a hot region is
-   spread over tasks), and links are verified on the whole sets;
-3. regions whose members all are in one component by then are done, since no
-   further link could change a component. The others are joined again member by
-   member, only across components, pruned by size and by parity sketches (the
-   number of differing sketch bits never exceeds the symmetric difference, so
-   nothing is lost; a pair meets narrow sketches first, then wide ones). A region of more than ``REGION_ROWS`` members is dealt out
-   in parts that are each compared with the parts after them;
-4. what is left is verified on whole sets, and links become components.
-
-Nothing is capped or sampled; the sample of documents only decides which
-shingles count as frequent in the order, which changes cost and not results.
-Shingles are told apart by 64-bit hashes, in verification by 48 bits of them.
+The join goes down in three levels, each exact (``regions`` has the theory):
+
+1. One-shingle sets are the first pivots. Whole documents can't be: unrelated
+   texts are all at distance 1, every window would hold everything. A document is
+   nearer to the one-shingle sets that it contains, ties go by one global order
+   (rare before frequent, then by hash), and a partner must contain one of the
+   document's first ``n - ceil(0.85 n) + 1`` shingles. Regions that have one pivot
+   document (the least hash among their members) become one cell.
+2. The cells are joined by document pivots, Voronoi cells and windows under the
+   Hamming distance of parity sketches, which never exceeds the symmetric
+   difference: no link is lost, and a cell gives a forest of open pairs, fewer
+   than its members.
+3. Documents that open pairs reach from each other are one region, every document
+   in one at most. Whole sets travel to it once, and it is joined recursively and
+   exactly by document pivots under the Jaccard distance itself. Its links, again
+   a forest, become components.
+
+Texts with equal sets are one class; only its smallest id takes part. Nothing is
+capped or sampled; the sample of documents only decides which shingles count as
+frequent in the order, which changes cost and not results. Shingles are told
+apart by 64-bit hashes, in the last level by 48 bits of them.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; fewer words than a shingle make one shingle; rows that share an id
-count as one document; a null id links with nothing; an empty table stays empty.
+count as one document; a null id links with nothing (its component is the least
+id of an equal text, else null); very long texts count whole; similarities of
+exactly the threshold link; other columns, whatever their names, are not read;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -41,9 +41,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from filmweave.llm.common import WordCache, documents, drop_staged, keep, maybe_broadcast, stage, text_rows
 from filmweave.llm.components import connected_components
+from filmweave.llm.regions import Sets, Sketches, region_links
 
-#: Sketch bits; members of a region that one task compares; documents of the frequency sample; sample count of a frequent shingle.
-BITS, REGION_ROWS, SAMPLE, FREQUENT = 1024, 2048, 4096, 4
+#: Members of a cell and shingles of a region that one task takes; documents of the frequency sample; sample count of a frequent shingle.
+CELL_ROWS, REGION_SHINGLES, SAMPLE, FREQUENT = 4096, 4_000_000, 4096, 4
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -89,8 +90,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, print (of the whole set), sketch (BITS bits), wide (about a bit per shingle), prefix (the
-    shingles whose regions it visits)."""
+    """Per row: doc_id, n, print (of the whole set), sketch, prefix (the shingles whose regions it visits)."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
 
@@ -99,7 +99,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         known, counts = frequent.value
         for batch in batches:
-            n, prints, sketches, wides, prefixes = [], [], [], [], []
+            n, prints, sketches, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_hashes(text, words)
                 first = s
@@ -108,156 +108,36 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     first = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                wide = parity_sketch(s)
-                sketches.append(fold_sketch(wide, BITS).tobytes())
-                wides.append(wide.tobytes())
+                sketches.append(Sketches.of(s))
                 prefixes.append(first[: len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "print": pa.array(prints, pa.binary()), "sketch": pa.array(sketches, pa.binary()), "wide": pa.array(wides, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            ends = np.cumsum([0, *map(len, prefixes)])
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), prefix], names=["doc_id", "n", "print", "sketch", "prefix"])
 
-    return text_rows(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, n long, print binary, sketch binary, wide binary, prefix array<long>")
+    return text_rows(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, n long, print binary, sketch binary, prefix array<long>")
 
 
-def parity_sketch(s: np.ndarray) -> np.ndarray:
-    """Bit b tells whether an odd number of shingles hash to b; as many bits as shingles, rounded up, BITS at least."""
-    bits = max(BITS, 1 << (max(1, len(s)) - 1).bit_length())
-    at = (s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits) & 1).view(np.uint64)
-
-
-def fold_sketch(sketch: np.ndarray, bits: int) -> np.ndarray:
-    """The narrower sketch of the same set: halves combine by exclusive or."""
-    while 64 * len(sketch) > bits:
-        half = len(sketch) // 2
-        sketch = sketch[:half] ^ sketch[half:]
-    return sketch
-
-
-def may_link(n1: np.ndarray, s1: np.ndarray, n2: np.ndarray, s2: np.ndarray, percent: int) -> np.ndarray:
-    """False only where sizes or sketches (rows of 64-bit words) rule a link out."""
-    differ = np.bitwise_count(s1 ^ s2).sum(-1, dtype=np.int64)
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * differ <= (100 - percent) * (n1 + n2))
-
-
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-
-
-def sketch_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and wide sketches leave open. ``nodes``: doc_id, n, wide."""
-    left = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("s1"))
-    right = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("s2"))
-
-    def differ(x: bytes, y: bytes) -> int:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        bits = 64 * min(len(a), len(b))
-        return int(np.bitwise_count(fold_sketch(a, bits) ^ fold_sketch(b, bits)).sum(dtype=np.int64))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                n1, n2 = x.column(2).to_numpy(), x.column(4).to_numpy()
-                ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-                for k in np.flatnonzero(ok):
-                    ok[k] = (100 + percent) * differ(x.column(3)[k].as_py(), x.column(5)[k].as_py()) <= (100 - percent) * (n1[k] + n2[k])
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    joined = pairs.join(left, "a").join(right, "b").where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-    return joined.select("a", "b", "n1", "s1", "n2", "s2").mapInArrow(work, "a long, b long")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, by their whole sets. Only documents that occur in a pair are shingled again."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
+def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, data): whole sets of the documents in ``ids`` (doc_id), shingled again from their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.ascontiguousarray(shingle_hashes(t, words)).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "set"])
-
-    def read(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // 6, 8), np.uint8)
-        wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return wide.view(np.uint64).ravel()
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            links = []
-            for p, q in zip(x.column(2), x.column(3), strict=True):
-                a, b = read(p.as_py()), read(q.as_py())
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                links.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(links, pa.bool_()))
+            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([Sets.of(s) for s in found], pa.binary())], names=["doc_id", "n", "data"])
 
-    needed = docs.select("doc_id", "text").join(maybe_broadcast(ids), "doc_id", "left_semi")
-    whole = stage(text_rows(needed).mapInArrow(sets, "doc_id long, set binary"), "sets")
-    joined = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("set").alias("s1")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("set").alias("s2")), "b")
-    return joined.select("a", "b", "s1", "s2").mapInArrow(work, "a long, b long")
+    return text_rows(docs.select("doc_id", "text").join(maybe_broadcast(ids), "doc_id", "left_semi")).mapInArrow(sets, "doc_id long, n long, data binary")
 
 
-def compare_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """Open pairs across components within regions. ``rows``: s, part, own, doc_id, n, component, sketch.
+def cells(nodes: DataFrame) -> DataFrame:
+    """(cell, doc_id): documents by the pivot documents of the shingle regions that they visit, the pivot included.
 
-    A region's rows of its own part come first and are held; rows of earlier parts stream past them in chunks.
+    A shingle's region has the member with the least hash as its pivot; both a region's members meet in its cell, and
+    a document enters a cell once, however many shingles lead there.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, done = [], None, set()
-
-        def across(a, b, same: bool):
-            ok = may_link(a[1][:, None], a[3][:, None, :], b[1][None, :], b[3][None, :, :], percent) & (a[2][:, None] != b[2][None, :])
-            i, j = np.nonzero(np.triu(ok, 1) if same else ok)
-            return np.minimum(a[0][i], b[0][j]), np.maximum(a[0][i], b[0][j])
-
-        def cut(block, size=256):
-            return [tuple(c[i : i + size] for c in block) for i in range(0, len(block[0]), size)]
-
-        def emit(left, right=None):
-            out = []
-            parts = cut(left)
-            for k, x in enumerate(parts):
-                out += [across(x, y, x is y) for y in (parts[k:] if right is None else cut(right))]
-            a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-            return pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-        def close():
-            if held:
-                members = hash(held[0][0].tobytes())
-                if len(held[0][0]) > 1 and members not in done:
-                    if len(done) < 1_000_000:
-                        done.add(members)
-                    yield emit(held[0])
-
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pa.concat_batches([rest, batch])
-            if not rest.num_rows:
-                continue
-            s, part, own = (rest.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            block = tuple(rest.column(i).to_numpy() for i in (3, 4, 5)) + (_sketches(rest.column(6)),)
-            edges = np.flatnonzero((np.diff(s) != 0) | (np.diff(part) != 0) | (np.diff(own.astype(np.int8)) != 0)) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(s)]])
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                now, piece = (s[a], part[a]), tuple(c[a:b] for c in block)
-                if own[a]:
-                    if key == now:
-                        held = [tuple(np.concatenate(x) for x in zip(held[0], piece, strict=True))]
-                    else:
-                        yield from close()
-                        held, key = [piece], now
-                elif key == now:
-                    yield emit(held[0], piece)
-            rest = None
-        yield from close()
-
-    return rows.mapInArrow(work, "a long, b long")
-
-
-def regions(nodes: DataFrame) -> DataFrame:
-    """Rows (s, doc_id, members, pivot) of every region with at least two members, staged."""
     rows = nodes.select("doc_id", F.explode("prefix").alias("s"))
     mark = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
-    shared = rows.groupBy("s").agg(F.count("*").alias("members"), F.min(mark).getField("doc_id").alias("pivot")).where("members > 1")
-    return stage(rows.join(shared, "s"), "regions")
+    shared = rows.groupBy("s").agg(F.min(mark).getField("doc_id").alias("cell"), F.max(mark).getField("doc_id").alias("last")).where("cell <> last").drop("last")
+    return rows.join(shared, "s").select("cell", "doc_id").distinct()
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -267,37 +147,19 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     told = stage(full.select("doc_id", "n", "print"), "prints")
     classes = stage(told.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    nodes = stage(full.where("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "n", "sketch", "wide", "prefix"), "nodes")
+    nodes = stage(full.where("n > 0").join(reps, "doc_id", "left_semi").select("doc_id", "n", "sketch", "prefix"), "nodes")
     drop_staged(full)
-    shared = regions(nodes)
-    flat = stage(nodes.select("doc_id", "n", "sketch", "wide"), "sketches")
-    drop_staged(nodes)
-    stars = shared.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    open_stars = sketch_filter(stars, flat, percent)
-    # of a member's open pivots one is verified now; what that leaves open is across components and comes next
-    one = stage(open_stars.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")), "star-pairs")
-    links = stage(verify(one, docs, words, percent), "star-links")
-    first = stage(connected_components(links), "star-components")
-    labelled = shared.join(first, F.col("doc_id") == F.col("node"), "left").select("s", "doc_id", "members", F.coalesce("component", "doc_id").alias("component"))
-    labelled = stage(labelled, "labelled")
-    drop_staged(shared)
-    open_ = labelled.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("s")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / (REGION_ROWS // 2))).cast("int") if REGION_ROWS else F.lit(1)
-    parts = F.when(F.col("members") > REGION_ROWS, parts).otherwise(F.lit(1))
-    dealt = (
-        labelled.join(open_, "s")
-        .join(flat.drop("wide"), "doc_id")
-        .withColumn("parts", parts)
-        .withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        .withColumn("part", F.explode(F.sequence("home", F.col("parts") - 1)))
-        .select("s", "part", (F.col("part") == F.col("home")).alias("own"), "doc_id", "n", "component", "sketch")
-        .repartition("s", "part")
-        .sortWithinPartitions("s", "part", F.desc("own"), "doc_id")
-    )
-    more = stage(compare_regions(dealt, percent).distinct(), "open-pairs")
-    more = stage(sketch_filter(more, flat, percent), "narrowed-pairs")
-    found = links.unionByName(verify(more, docs, words, percent))
-    component = stage(connected_components(found), "components")
+    visited = stage(cells(nodes), "cells")
+    members = stage(visited.join(nodes.select("doc_id", "n", F.col("sketch").alias("data")), "doc_id").select("cell", "doc_id", "n", "data"), "cell-members")
+    for gone in (nodes, visited):
+        drop_staged(gone)
+    open_pairs = stage(region_links(members, Sketches, percent, CELL_ROWS, lambda: F.lit(1)), "open-pairs")
+    regions = stage(connected_components(open_pairs).select(F.col("component").alias("cell"), F.col("node").alias("doc_id")), "regions")
+    sets = stage(whole_sets(docs, regions.select("doc_id"), words), "sets")
+    whole = stage(regions.join(sets, "doc_id").select("cell", "doc_id", "n", "data"), "region-members")
+    drop_staged(sets)
+    links = stage(region_links(whole, Sets, percent, REGION_SHINGLES, lambda: F.col("n")), "links")
+    component = stage(connected_components(links), "components")
     by_class = classes.join(component, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     return told.select("doc_id", F.col("n").alias("n_shingles"), "print").join(by_class, "print", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")

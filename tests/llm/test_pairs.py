@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from filmweave.llm import jaccard_join as J, neighbours as N
+from filmweave.llm import jaccard_join as J, neighbours as N, regions as R
 from filmweave.llm.components import connected_components
 
 
@@ -63,12 +63,79 @@ def test_jaccard_join(spark, seed):
     assert got == brute(rows)
 
 
-def test_jaccard_join_deals_out_hot_regions(spark, monkeypatch):
-    monkeypatch.setattr(J, "REGION_ROWS", 4)
-    rows = near_copies(3, groups=4, size=14)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_join_divides_large_regions(spark, monkeypatch, seed):
+    """Limits so small that pivots divide regions on the cluster, and what they can't divide meets block by block."""
+    monkeypatch.setattr(J, "CELL_ROWS", 6)
+    monkeypatch.setattr(J, "REGION_SHINGLES", 400)
+    rows = near_copies(seed, groups=4, size=14)
     assert sorted((tuple(r) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
 
 
+def hub(seed, size, words=100, edits=3):
+    """Copies of one text that all link to it and hardly to each other, the text itself among them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(size - 1):
+        text = list(base)
+        for at in r.sample(range(2, words - 3), edits):
+            text[at] = word()
+        out.append(" ".join(text))
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("edits", [2, 4, 6])
+def test_one_large_group_of_near_copies(spark, edits):
+    rows = hub(edits, 300, edits=edits)
+    pairs = []
+    joined = J.region_links
+
+    def counted(*args):
+        pairs.append(joined(*args))
+        return pairs[-1]
+
+    J.region_links = counted
+    try:
+        got = sorted((tuple(r) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    finally:
+        J.region_links = joined
+    assert got == brute(rows)
+    assert sum(x.count() for x in pairs[1:]) < len(rows)  # a forest, not all pairs
+
+
+@pytest.mark.parametrize("leaf", [4, 64])
+def test_regions_join_like_all_pairs(monkeypatch, leaf):
+    monkeypatch.setattr(R, "LEAF", leaf)
+    rng = np.random.default_rng(leaf)
+    for spread in (0, 6, 12, 30):
+        sets = []
+        for _ in range(25):
+            base = rng.integers(1, 2**63, rng.integers(20, 90)).astype(np.uint64) << np.uint64(16)
+            for _ in range(12):
+                s = base.copy()
+                s[: rng.integers(0, spread + 1)] = rng.integers(1, 2**47, 1).astype(np.uint64) << np.uint64(16)
+                sets.append(np.unique(s))
+        n = np.array([len(s) for s in sets])
+        linked = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+        exact = R.join_region(R.Sets(n, [R.Sets.of(s) for s in sets], 85), len(sets))
+        assert {(max(x), min(x)) for x in exact} <= linked and len(exact) < len(sets)
+        loose = R.join_region(R.Sketches(n, [R.Sketches.of(s) for s in sets], 85), len(sets))
+
+        def groups(edges):
+            label = list(range(len(sets)))
+            for a, b in edges:
+                x, y = label[a], label[b]
+                label = [x if v == y else v for v in label]
+            return label
+
+        want, got, open_ = groups(linked), groups(exact), groups(loose)
+        assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+        assert all(open_[a] == open_[b] for a, b in linked)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert J.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = J.join(spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")).collect()
@@ -81,13 +148,14 @@ def test_sketch_never_rules_out_a_link():
         a = rng.integers(0, 2**63, n).astype(np.uint64)
         b = a.copy()
         b[: int(n * 0.08)] = rng.integers(0, 2**63, int(n * 0.08)).astype(np.uint64)
-        wide_a, wide_b = J.parity_sketch(a), J.parity_sketch(b)
-        assert 64 * len(wide_a) >= max(n, J.BITS)
-        narrow = lambda s: (np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(J.BITS - 1)).astype(int), minlength=J.BITS) & 1)).view(np.uint64)
-        assert (J.fold_sketch(wide_a, J.BITS) == narrow(a)).all()
+        raw = [R.Sketches.of(a), R.Sketches.of(b)]
+        assert 8 * len(raw[0]) >= max(n, R.Sketches.BITS)
+        narrow = (np.packbits(np.bincount((a >> np.uint64(20) & np.uint64(R.Sketches.BITS - 1)).astype(int), minlength=R.Sketches.BITS) & 1)).view(np.uint64)
+        two = R.Sketches(np.array([n, n]), raw, 85)
+        assert (two.narrow[0] == narrow).all()
         link = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
-        for x, y in ((wide_a, wide_b), (narrow(a), narrow(b))):
-            assert not link or J.may_link(np.array([n]), x[None], np.array([n]), y[None], 85)[0]
+        assert not link or two.links(0, np.array([1])).tolist() == [1]
+        assert two.distance(0, np.array([1]))[0] <= len(np.setxor1d(a, b))
 
 
 def test_components(spark):

@@ -3,38 +3,43 @@
 Every document of a source has the same expected number of copies, target over
 source size. Its whole part is taken at once; the fractional parts are rounded
 dependently: two documents meet, probability mass (weighted by their words, so
-the source's total stays put) moves from one to the other at random until one of
-them is 0 or 1, and the other meets the next. Each block of a source leaves at
-most one fractional document; blocks combine in a reduction tree of bounded
-fan-in, level by level, until the root rounds the last one to the nearer side.
-Plain pairs would leave the largest document to the end, so a document pairs
-with the bundle of all smaller ones of its block: what is left is small, and a
-source's taken words miss its target by at most half of it. Reruns agree
-because blocks and draws depend on ids alone.
-
-Defined results: null or blank texts have size 0 and are rounded last, to the
-nearer side, without moving words; a null source is a source of its own, last in
-order; a source without words has target 0 and takes nothing; repeated rows are
-told apart by their order of size within an id; an empty table stays empty.
+the source's total stays put) moves from one to the other, up or down with the
+odds that keep both expectations, until one of them is 0 or 1; the other meets
+the next. Each block of a source goes from its largest document to its smallest
+and leaves at most one fractional; these residuals combine in a reduction tree
+of bounded fan-in, level by level. At the root one document of a source may be
+left: it is rounded to the nearer side, and what that adds or takes away is made
+up by turning smaller documents of the same run, the largest that fit first.
+Reruns agree: blocks and draws depend on the rows' contents alone.
+
+A row is known by a hash of its contents, so null or repeated ids are spread like
+any others, and only rows that are equal throughout are told apart by number.
+
+Defined results: null or blank texts have size 0 and are rounded to the nearer
+side without moving words; a null source is a source of its own, last in order; a
+source without words has target 0 and takes nothing; rows of equal contents and
+rows of one id are taken each for itself; ties in size go by the draw; very long
+texts count whole; extra columns are carried along; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filmweave.llm.common import maybe_broadcast, stage, word_count
+from filmweave.llm.common import documents, maybe_broadcast, stage, word_count
 
 #: Documents that a block of the first level holds on average, and blocks that meet at the next.
-BLOCK_ROWS, FAN_IN = 256, 64
+BLOCK_ROWS, FAN_IN = 2048, 64
 #: Copies of a document at most.
 MOST = 3
 #: Decides the draws; another value gives another mix of the same expectation.
 SEED = 20_261
 
-SCHEMA = "doc_id long, source string, occ long, size long, source_size long, target double, whole int, p double, blocks long, block long, draw long, resolved boolean, copies int"
+SCHEMA = "doc_id long, source string, row long, occ long, size long, source_size long, target double, whole int, p double, blocks long, block long, draw long, resolved boolean, copies int"
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> dict[str | None, float]:
@@ -56,33 +61,38 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
     return found
 
 
-def settle(run: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """Round one run of fractional rows, largest first: each row pairs with the bundle of those after it.
-
-    Mass moves between the row and its bundle (spread by the room each member has), up or down with the odds that keep
-    every expectation, until the row or the whole bundle is integral. What may stay fractional is thus a small document.
-    """
-    size, p = run["size"].to_numpy(float), run["p"].to_numpy(float).copy()
-    luck = (run["draw"].to_numpy("int64") & 0xFFFFFFFF) / 2.0**32
-    for i in range(len(p) - 1):
-        if not 0 < p[i] < 1:
+def pair(size: list[float], p: list[float], luck: list[float]) -> int | None:
+    """Round ``p`` in place, in the order given, by single pairs; the one that stays fractional, if any."""
+    left = None
+    for j in range(len(p)):
+        if not 0 < p[j] < 1:
             continue
-        s, q = size[i + 1 :], p[i + 1 :]
-        held, room = float(s @ q), float(s @ (1 - q))
-        rise, fall = min(size[i] * (1 - p[i]), held), min(size[i] * p[i], room)
-        if rise + fall <= 0:
+        if left is None:
+            left = j
             continue
-        if luck[i] * (rise + fall) < fall:
-            p[i] += rise / size[i]
-            q *= 1 - rise / held if held > 0 else 1
-        else:
-            p[i] -= fall / size[i]
-            q += (1 - q) * (fall / room if room > 0 else 0)
-        p[p < 1e-9], p[p > 1 - 1e-9] = 0, 1
-    if last:
-        p = (p >= 0.5).astype(float)
-    whole = run["whole"].to_numpy("int64")
-    return run.assign(p=p, resolved=(p == 0) | (p == 1), copies=whole + (p == 1))
+        i = left
+        # words that may move to i, and from i, until one of the two is integral
+        rise, fall = min(size[i] * (1 - p[i]), size[j] * p[j]), min(size[i] * p[i], size[j] * (1 - p[j]))
+        moved = rise if luck[j] * (rise + fall) < fall else -fall
+        p[i], p[j] = p[i] + moved / size[i], p[j] - moved / size[j]
+        for k in (i, j):
+            p[k] = 0.0 if p[k] < 1e-9 else 1.0 if p[k] > 1 - 1e-9 else p[k]
+        left = i if 0 < p[i] < 1 else j if 0 < p[j] < 1 else None
+    return left
+
+
+def settle(run: pd.DataFrame, last: bool) -> pd.DataFrame:
+    """Round one run of fractional rows, largest first; the ``last`` run of a source leaves none fractional."""
+    size, p = run["size"].astype(float).tolist(), run["p"].astype(float).tolist()
+    left = pair(size, p, ((run["draw"].to_numpy("int64") & 0xFFFFFFFF) / 2.0**32).tolist())
+    if last and left is not None:
+        to = float(p[left] >= 0.5)
+        missing, p[left] = size[left] * (p[left] - to), to
+        for k in range(len(p)):
+            if k != left and 0 < size[k] <= abs(missing) and p[k] == float(missing < 0):
+                p[k], missing = 1 - p[k], missing + (size[k] if missing < 0 else -size[k])
+    done = np.array(p)
+    return run.assign(p=done, resolved=(done == 0) | (done == 1), copies=run["whole"].to_numpy("int64") + (done == 1))
 
 
 def pivotal(batches: Iterator[pd.DataFrame], last: bool) -> Iterator[pd.DataFrame]:
@@ -99,21 +109,21 @@ def pivotal(batches: Iterator[pd.DataFrame], last: bool) -> Iterator[pd.DataFram
 
 
 def decide(sized: DataFrame) -> DataFrame:
-    """Copies of each row of (doc_id, source, occ, size): adds source_size, target, copies."""
+    """Copies of each row of (doc_id, source, row, occ, size): adds source_size, target, copies."""
     spark = sized.sparkSession
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     want = targets([(r["source"], r["source_size"]) for r in per_source])
     rows = [(r["source"], r["source_size"], want[r["source"]], -(-r["n"] // BLOCK_ROWS)) for r in per_source]
     of = spark.createDataFrame(rows, "src string, source_size long, target double, blocks long")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.xxhash64("doc_id", "occ", "size", F.lit(SEED))
+    draw = F.xxhash64("row", "occ", F.lit(SEED))
     level = (
         sized.join(maybe_broadcast(of), F.col("source").eqNullSafe(F.col("src")))
         .drop("src")
         .withColumn("x", F.when(F.abs(expected - F.round(expected)) < 1e-9, F.round(expected)).otherwise(expected))
         .withColumn("whole", F.floor("x").cast("int"))
         .withColumn("p", F.col("x") - F.col("whole"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.col("blocks")))
+        .withColumn("block", F.pmod(F.xxhash64("row", "occ", F.lit(SEED + 1)), F.col("blocks")))
         .withColumns({"draw": draw, "resolved": (F.col("p") == 0) | (F.col("size") == 0), "copies": F.col("whole") + ((F.col("size") == 0) & (F.col("p") >= 0.5)).cast("int")})
         .select([c.split()[0] for c in SCHEMA.split(", ")])
     )
@@ -125,7 +135,7 @@ def decide(sized: DataFrame) -> DataFrame:
         last = most == 1
         run = (
             open_.repartition("source", "block")
-            .sortWithinPartitions("source", "block", F.desc("size"), "draw", "doc_id", "occ")
+            .sortWithinPartitions("source", "block", F.desc("size"), "draw", "row", "occ")
             .mapInPandas(lambda batches, last=last: pivotal(batches, last), SCHEMA)
         )
         run = stage(run, f"mix-{k}")
@@ -138,28 +148,37 @@ def decide(sized: DataFrame) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     assert out.columns == names
-    return out.select("doc_id", "source", "occ", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "source", "row", "occ", "size", "source_size", "target", "copies")
 
 
-def sized_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` (words) and ``occ``, the number of a row among those of its id."""
-    return docs.withColumn("size", word_count("text")).withColumn(
-        "occ", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source")).cast("long")
-    )
+def known_rows(docs: DataFrame) -> DataFrame:
+    """(doc, row): each row whole, and a hash of all its columns (of those that have no hash, their JSON)."""
+    hashed = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return docs.select(F.struct("*").alias("doc"), F.xxhash64(*hashed).alias("row"))
+
+
+def sized_rows(known: DataFrame) -> DataFrame:
+    """(doc_id, source, row, size, occ) of known rows; ``occ`` numbers rows of equal contents. Staged, without texts."""
+    narrow = stage(known.select("doc.doc_id", "doc.source", "row", word_count("doc.text").alias("size")), "mix-sizes")
+    return narrow.withColumn("occ", F.row_number().over(Window.partitionBy("row", "doc_id", "source", "size").orderBy("row")).cast("long"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it is taken, dropped ones gone; same columns."""
-    rows = sized_rows(docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))).drop("text")
-    narrow = stage(rows.select("doc_id", "source", "occ", "size"), "mix-sizes")
-    taken = decide(narrow).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("occ").alias("_occ"), "copies")
-    mixed = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("occ") == F.col("_occ")))
-    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
+    """``docs`` as the mix takes them: each row as often as it is taken, dropped ones gone; same columns.
+
+    Texts meet the decisions in one join by the hash of the row. Rows of equal contents are one row there, taken as
+    often as all of them together.
+    """
+    known = known_rows(docs)
+    taken = decide(sized_rows(known)).groupBy("row").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("same"))
+    taken = stage(taken.where("copies > 0"), "mix-taken")
+    mixed = known.join(maybe_broadcast(taken), "row")
+    if taken.where("same > 1").limit(1).count():
+        mixed = mixed.where("same = 1").unionByName(mixed.where("same > 1").dropDuplicates(["row"]))
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of all documents, weights 1, 2, 3 repeating over the sources."""
-    from filmweave.llm.common import documents
-
-    narrow = stage(sized_rows(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"), "mix-sizes")
-    return decide(narrow).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+    known = known_rows(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return decide(sized_rows(known)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")

@@ -1,16 +1,24 @@
 """Minimum-cost-flow resharding.
 
-Old shards are cut into blocks of rows in order of size. A flow network (old
-block -> new shard) in which staying is free and moving costs the block's mean
-bytes per row gives the transfers that move the fewest bytes for the new
-capacities. Rows of an old shard leave in order of size, so what moves is always
-the cheapest part. The network has ``old * BLOCKS`` block nodes, whatever the
-number of rows; rows are numbered by a distributed sort, never in one task.
-
-Defined results: a null text counts 0 bytes plus the fixed 8; null keys form a
-shard like any other; repeated rows are separate rows; an empty table gives an
-empty table; columns of the input whose names clash with the added ones
-(``old_shard``, ``shard``, ``slot``, ``size``) are replaced.
+The old layout is a folder of shards, each with files of its own. Rows of an old
+shard leave in order of size (then id, file and place in the file), so what moves
+is always the cheapest part. A shard that holds more rows than its new capacity
+has only two ways to be cut, one row apart, for capacities differ by one at most;
+the ranks between these cuts are the blocks of a flow network (old block -> new
+shard) in which staying is free and moving costs a block's bytes. The network has
+three block nodes per old shard, whatever the number of rows, and its optimum is
+the exact least number of bytes.
+
+Ranks come from a distributed sort of narrow rows (no texts). The plan goes back to
+the texts as one range of sort keys per transfer, so files are rewritten by a map:
+no text is shuffled. Only shards that rows leave are rewritten; a shard that only
+receives keeps its files and gains some; all others stay as they are.
+
+Defined results: a null text counts 0 bytes plus the fixed 8; rows with a null key
+form an old shard of their own (-1) that every row leaves; null and repeated ids and
+repeated rows are separate rows, ties go by file and place; very long texts are rows
+like others; an empty table gives an empty layout; columns of the input whose names
+clash with the added ones (``old_shard``, ``shard``, ``size``) are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +28,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from filmweave.llm.common import fresh_path, number_rows
+from filmweave.llm.common import documents, fresh_path, number_rows, stage
 
-#: Cost blocks that an old shard is cut into.
-BLOCKS = 16
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 8
 
@@ -101,13 +107,13 @@ class Plan:
                 at += n
         return found
 
-    def affected(self) -> set[int]:
-        """New shards whose files change; every other shard keeps its old files."""
-        return {j for i, to in self.moves.items() for j, _ in to} | {i for i, to in self.moves.items() if to}
+    def rewritten(self) -> set[int]:
+        """Old shards that rows leave: only their files are written anew."""
+        return {i for i, to in self.moves.items() if to}
 
 
 def plan_transfers(blocks: list[tuple[int, int, int, int]], new_shards: int) -> Plan:
-    """Transfers of fewest bytes. ``blocks``: (old shard, block number by size, rows, bytes).
+    """Transfers of fewest bytes. ``blocks``: (old shard, block number by size, rows, bytes), cut as by ``cuts``.
 
     Capacities are equal row counts, at most one apart; which shards take the extra row is part of the optimum.
     """
@@ -153,61 +159,81 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], new_shards: int) ->
     return plan
 
 
-def reshard(docs: DataFrame, old_shard: F.Column, new_shards: int, text: str = "text") -> tuple[DataFrame, Plan]:
-    """Lay ``docs`` out by old shard, plan, rewrite the affected shards' files, and read the new layout back.
+def cuts(n: int, each: int) -> list[int]:
+    """Ranks at which a shard of ``n`` rows may be cut: all before one of them leave."""
+    return [x for x in (n - each - 1, n - each) if 0 < x < n]
 
-    Returns the rows of the new layout (input columns, ``size``, ``old_shard``, ``shard``, ``slot``) and the plan. The
-    rows travel once, sorted by old shard, size and id; since transfers are ranges of that order, the rewrite needs no
-    further shuffle and each of its tasks writes to a few shards only.
+
+#: What rows of an old shard are sorted by; file and place make it unique.
+KEY = ["size", "_id", "_file", "_place"]
+
+
+def write_shards(docs: DataFrame, shard: F.Column, folder: str) -> DataFrame:
+    """Write ``docs`` as a layout, one directory of files per shard, by a map; the layout read back."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("old_shard", "shard", "size")]
+    laid = docs.select(*own, F.coalesce(shard.cast("int"), F.lit(-1)).alias("old_shard"))
+    laid.write.option("compression", "zstd").partitionBy("old_shard").parquet(folder)
+    return docs.sparkSession.read.schema(laid.schema).parquet(folder)
+
+
+def _keyed(laid: DataFrame, text: str) -> DataFrame:
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
+    return laid.withColumns({"size": size, "_id": F.coalesce("doc_id", F.lit(-(2**63))), "_file": F.col("_metadata.file_name"), "_place": F.col("_metadata.row_index")})
+
+
+def reshard(laid: DataFrame, new_shards: int, text: str = "text") -> tuple[DataFrame, Plan]:
+    """From a layout (``write_shards``) to ``new_shards`` shards of equal row counts: the new layout's rows and the plan.
+
+    The rows have the layout's columns, ``size``, ``old_shard`` and ``shard``, read from the files that the new layout
+    consists of: rewritten ones, and untouched ones of the old folder.
     """
-    spark = docs.sparkSession
-    sized = docs.drop("old_shard", "shard", "slot", "size").withColumns(
-        {"old_shard": old_shard.cast("int"), "size": (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")}
-    )
-    laid = number_rows(sized, ["old_shard", "size", "doc_id"], "old-layout", "_row")
-    counts = {r["old_shard"]: r["n"] for r in laid.groupBy("old_shard").agg(F.count("*").alias("n")).collect()}
+    spark = laid.sparkSession
+    keyed = _keyed(laid, text)
+    ranked = number_rows(keyed.select("old_shard", *KEY), ["old_shard", *KEY], "old-ranks", "_row")
+    counts = {r["old_shard"]: r["n"] for r in ranked.groupBy("old_shard").agg(F.count("*").alias("n")).collect()}
     start, at = {}, 0
     for i in sorted(counts):
         start[i], at = at, at + counts[i]
-    shards = F.broadcast(spark.createDataFrame([(i, start[i], counts[i]) for i in counts] or [(0, 0, 1)], "old_shard int, _first long, _n long"))
-    ranked = laid.join(shards, "old_shard").withColumn("_rank", F.col("_row") - F.col("_first"))
-    blocks = (
-        ranked.groupBy("old_shard", F.floor(F.col("_rank") * BLOCKS / F.col("_n")).alias("block"))
-        .agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-        .collect()
-    )
-    plan = plan_transfers([(r["old_shard"], int(r["block"]), r["n"], r["bytes"]) for r in blocks], new_shards)
-    affected = sorted(plan.affected())
-    steps = plan.intervals()
-    lookup = F.broadcast(spark.createDataFrame([(i, a, b, j, s) for i, a, b, j, s in steps] or [(0, 0, 0, 0, 0)], "old_shard int, _a long, _b long, shard int, _slot long"))
-    placed = (
-        ranked.join(lookup, "old_shard")
-        .where((F.col("_rank") >= F.col("_a")) & (F.col("_rank") < F.col("_b")))
-        .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_a"))
-        .drop("_row", "_first", "_n", "_rank", "_a", "_b", "_slot")
-    )
-    moved = placed.where(F.col("shard").isin(affected)) if affected else placed.limit(0)
+    each = at // new_shards
+    bounds = [(i, start[i], [start[i] + c for c in (cuts(counts[i], each) if 0 <= i < new_shards else [])]) for i in sorted(counts)]
+    shards = F.broadcast(spark.createDataFrame(bounds or [(0, 0, [])], "old_shard int, _first long, _cuts array<long>"))
+    ranked = ranked.join(shards, "old_shard")
+    block = F.size(F.filter("_cuts", lambda c: c <= F.col("_row")))
+    blocks = ranked.groupBy("old_shard", block.alias("block")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
+    plan = plan_transfers([(r["old_shard"], r["block"], r["n"], r["bytes"]) for r in blocks], new_shards)
+    gone = sorted(plan.rewritten())
+    columns = [c for c in laid.columns if c != "old_shard"] + ["size", "old_shard", "shard"]
+    stay = keyed.where(~F.col("old_shard").isin(gone) if gone else F.lit(True)).withColumn("shard", F.col("old_shard")).select(columns)
+    if not gone:
+        return stay, plan
+    # one range of sort keys per transfer: from the key at its first rank to that of the next
+    steps = [(i, start[i] + a, j) for i, a, _, j, _ in plan.intervals() if i in gone]
+    at_rank = F.broadcast(spark.createDataFrame(steps, "old_shard int, _row long, shard int"))
+    keys = ranked.join(at_rank, ["old_shard", "_row"]).select("old_shard", "_row", "shard", *KEY).orderBy("old_shard", "_row").collect()
+    ranges = [(r["old_shard"], r["shard"], tuple(r[k] for k in KEY), tuple(after[k] for k in KEY) if after and after["old_shard"] == r["old_shard"] else None) for r, after in zip(keys, [*keys[1:], None], strict=True)]
+    key = "struct<size: long, _id: long, _file: string, _place: long>"
+    lookup = F.broadcast(spark.createDataFrame(ranges, f"old_shard int, shard int, _from {key}, _to {key}"))
+    mine = F.struct(*KEY)
+    placed = keyed.where(F.col("old_shard").isin(gone)).join(lookup, "old_shard").where((mine >= F.col("_from")) & (F.col("_to").isNull() | (mine < F.col("_to"))))
+    moved = placed.select(columns)
     path = fresh_path(spark, "new-layout")
     moved.write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    columns = placed.columns
-    rewritten = spark.read.schema(moved.schema).parquet(path).select(columns)
-    kept = placed.where(~F.col("shard").isin(affected)) if affected else placed
-    return rewritten.unionByName(kept.select(columns)) if set(range(new_shards)) - set(affected) else rewritten, plan
+    return spark.read.schema(moved.schema).parquet(path).select(columns).unionByName(stay), plan
+
+
+def slots(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Narrow ``rows`` with ``slot``: gapless numbers from 0 in each ``shard``, by ``order``."""
+    numbered = number_rows(rows, ["shard", *order], "shard-slots", "_row")
+    first = numbered.groupBy("shard").agg(F.min("_row").alias("_first"))
+    return numbered.join(F.broadcast(first), "shard").withColumn("slot", F.col("_row") - F.col("_first")).drop("_row", "_first")
 
 
 def op1_resharding(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 under the law ``rows``, resharded from 20 shards by source checksum."""
-    from filmweave.llm.common import documents
-
-    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(20))
-    laid, _ = reshard(documents(spark, sf_dir).select("doc_id", "text", "source"), old, 24)
-    return laid.select(
-        "doc_id",
-        "size",
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "old_shard",
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    old = write_shards(docs, F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(20)), fresh_path(spark, "old-layout"))
+    laid, _ = reshard(old, 24)
+    digest = stage(laid.select("doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "shard", "old_shard"), "layout-digest")
+    return slots(digest, ["size", "doc_id", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )

@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         encode, end, step = encoder(tokenizer_path, spaced), np.uint32(end_id).tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 raw = encoded + end
                 for p in range(0, len(raw), step):
                     part = raw[p : p + step]

@@ -2,11 +2,12 @@
 
 A text is split only where the tokenizer always splits it: for a word BPE at
 ASCII blanks, for a byte-level BPE before a space that a non-blank follows and
-around a lone line break. Pieces not yet known are encoded by the tokenizers
-library, many in one call with a special token between them, and remembered; a
-text whose blanks are of another shape, or that holds the opening of a special
-token, goes to the library whole. Ids equal those of encoding the whole text,
-which the tests check.
+around a lone line break. A batch of texts is split and its pieces are told apart
+in Arrow; only distinct pieces are looked up, unknown ones are encoded by the
+tokenizers library, many in one call with a special token between them, and
+remembered, and one gather lays all ids out. A text whose blanks are of another
+shape, or that holds the opening of a special token, goes to the library whole.
+Ids equal those of encoding the whole text, which the tests check.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from filmweave.llm.common import chunks, keep
 
 #: A space before a blank or the end; a line break beside a blank.
 SPACE, BREAK = re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:(?<=\s\n)|(?=\s))")
 #: Pieces that a worker remembers; pieces in one call of the library.
-CACHE_PIECES, CALL = 800_000, 1000
+CACHE_PIECES, CALL = 400_000, 1000
 
 
 def tokenizer(path: str):
@@ -37,55 +40,93 @@ class Encoder:
 
     def __init__(self, path: str, spaced: bool, limit: int | None = None):
         """``spaced``: a piece's leading space is part of it (byte-level BPE); else blanks and ASCII case don't matter."""
-        self.raw, self.spaced, self.known, self.limit = tokenizer(path), spaced, {}, limit or CACHE_PIECES
+        self.raw, self.spaced, self.limit = tokenizer(path), spaced, limit or CACHE_PIECES
         special = [(i, t.content) for i, t in self.raw.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")]
         self.mark = min(special, default=None)
+        #: Known pieces by number; a piece's ids are ``flat[start : start + size]``.
+        self.number: dict[str, int] = {}
+        self.flat, self.start, self.size, self.used = np.empty(1 << 16, "<u4"), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.raw.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def pieces(self, text: str) -> list | None:
-        """The pieces of a text, or None if it must stay whole."""
-        if "<|" in text:
-            return None
-        if not self.spaced:
-            return text.encode("utf-8", "surrogatepass").lower().split()
-        if "\0" in text or SPACE.search(text) or BREAK.search(text):
-            return None
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def learn(self, new: Sequence) -> dict:
-        """Ids of pieces, by one call for many."""
-        found = {}
-        texts = [p.decode("utf-8", "surrogatepass") if isinstance(p, bytes) else p for p in new]
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.raw.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def divisible(self, text: str) -> bool:
+        """Whether the ids of a text are those of its pieces."""
+        return "<|" not in text and not (self.spaced and ("\0" in text or SPACE.search(text) or BREAK.search(text)))
+
+    def pieces(self, texts: pa.Array) -> pa.ListArray:
+        if self.spaced:
+            marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+            return pc.split_pattern(marked, "\0")
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+    def encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and how many each has, by one call for many."""
         if self.mark is None:
-            return {p: self.whole(t) for p, t in zip(new, texts, strict=True)}
+            found = [self.whole(t) for t in texts]
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
         number, content = self.mark
-        for some, words in zip(chunks(new, CALL), chunks(texts, CALL), strict=True):
-            ids = np.asarray(self.raw.encode_batch_fast([content.join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == number).tolist()
-            raw = ids.tobytes()
-            for piece, a, b in zip(some, [-1, *ends], [*ends, len(ids)], strict=True):
-                found[piece] = raw[4 * a + 4 : 4 * b]
-        return found
-
-    def batch(self, texts: Sequence[str | None]) -> list[bytes]:
-        split = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        new = [p for p in set().union(*(p for p in split if p)) if p not in known]
-        found = self.learn(new)
-        room = self.limit - len(self.known)
-        if room >= len(new):
-            self.known.update(found)
-            get = self.known.__getitem__
-        else:
-            if room > 0:
-                self.known.update((p, found[p]) for p in new[:room])
-            get = lambda p: known[p] if p in known else found[p]
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split, strict=True)]
-
-
-def encoder(path: str, spaced: bool, limit: int | None = None) -> Callable[[Sequence[str | None]], list[bytes]]:
+        ids, sizes = [], []
+        for words in chunks(texts, CALL):
+            got = np.asarray(self.raw.encode_batch_fast([content.join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            mark = got == number
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(mark), [len(got)]])) - 1)
+            ids.append(got[~mark])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, new: list[str]) -> np.ndarray:
+        """Numbers of new pieces, whose ids are laid down after those known."""
+        ids, sizes = self.encode_pieces(new)
+        first, end = len(self.number), self.used + len(ids)
+        self.flat, self.start, self.size = _room(self.flat, end), _room(self.start, first + len(new)), _room(self.size, first + len(new))
+        self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(new)] = sizes
+        self.flat[self.used : end] = ids
+        self.used = end
+        return np.arange(first, first + len(new))
+
+    def batch(self, texts: pa.Array | Sequence[str | None]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        listed = texts.to_pylist()
+        alone = {k: self.whole(t) for k, t in enumerate(listed) if not self.divisible(t)}
+        if alone:
+            keep_ = np.ones(len(listed), bool)
+            keep_[list(alone)] = False
+            texts = pc.if_else(pa.array(keep_), texts, "")
+        split = self.pieces(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        get = self.number.get
+        known = np.array([get(p, -1) for p in distinct], np.int64)
+        unknown = np.flatnonzero(known < 0)
+        before = self.used
+        if len(unknown):
+            new = [distinct[k] for k in unknown]
+            known[unknown] = self.learn(new)
+        sizes = self.size[known][at]
+        ends = np.cumsum(sizes)
+        step = np.repeat(self.start[known][at] - ends + sizes, sizes)
+        step += np.arange(len(step))
+        ids = self.flat[step]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist() if len(listed) else [0]
+        if len(unknown):
+            if len(self.number) + len(new) <= self.limit:
+                self.number.update(zip(new, known[unknown].tolist(), strict=True))
+            else:  # what there is no room to remember is forgotten
+                self.used = before
+        raw = memoryview(ids).cast("B")
+        return [alone[k].tobytes() if k in alone else bytes(raw[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """``held``, or a copy of twice its length if ``size`` entries don't fit."""
+    while len(held) < size:
+        held = np.concatenate([held, np.empty_like(held)])
+    return held
+
+
+def encoder(path: str, spaced: bool, limit: int | None = None) -> Callable[[pa.Array | Sequence[str | None]], list[bytes]]:
     return keep(f"encoder {path} {spaced} {limit}", lambda: Encoder(path, spaced, limit)).batch
 
 

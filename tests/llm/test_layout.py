@@ -216,46 +216,76 @@ def test_encoder_equals_the_library(spark, name, spaced, monkeypatch):
     texts = [t for t in TEXTS if t] + [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
     texts += ["a  b", "a \xa0b", "\x85x \x1cy", "ΑΣ Σ.", "é ", "...,. ,,", "'s 's", "a\n b", "a\n\n\nb", " ", "\n"]
     encoder = K.Encoder(K.place(name), spaced)
-    want = [encoder.whole(t) for t in texts]
+    want = [encoder.whole(t).tobytes() for t in texts]
     assert encoder.batch(texts) == want and encoder.batch(texts) == want
     monkeypatch.setattr(K, "CACHE_PIECES", 3)
     assert K.Encoder(K.place(name), spaced).batch(texts) == want
 
 
-@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (1000, 2), (4097, 50_000), (5000, 70_000)])
+@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (1000, 2), (4097, 50_000), (5000, 70_000), (300_000, 900)])
 def test_wavelet_matrix(n, top):
     rng = np.random.default_rng(n)
     ids = rng.integers(0, top, n)
     w = W.WaveletMatrix.from_bytes(W.WaveletMatrix.build(ids).to_bytes())
-    assert (w.decode() == ids).all()
-    for at in range(0, n, 97):
+    for at in range(0, n, max(97, n // 60)):
         token = int(ids[at])
         assert w.access(at) == token and w.count(token, at // 2, at) == (ids[at // 2 : at] == token).sum()
         where = np.flatnonzero(ids == token)
         assert w.locate(token, int(np.searchsorted(where, at))) == at
+    places = rng.integers(0, n, 50) if n else np.empty(0, int)
+    assert (w.access_all(places) == ids[places]).all()
+    assert w.count_all(1, places // 2, places).tolist() == [int((ids[p // 2 : p] == 1).sum()) for p in places]
+    assert (w.decode() == ids).all()
     assert w.count(1 << 20) == 0
     with pytest.raises(IndexError):
         w.access(n)
 
 
+def test_access_reads_only_what_it_needs():
+    ids = np.random.default_rng(1).integers(0, 50_000, 2_000_000)
+    raw, read = W.WaveletMatrix.build(ids).to_bytes(), []
+    w = W.WaveletMatrix.open(lambda a, size: (read.append(size), raw[a : a + size])[1])[0]
+    opened = sum(read)
+    assert w.access(1_234_567) == ids[1_234_567] and sum(read) - opened <= w.bits * (W.CHUNK + 1000) and sum(read) < len(raw) / 4
+    with pytest.raises(ValueError, match="not a wavelet"):
+        W.WaveletMatrix.open(lambda a, size: b"x" * size)
+
+
 def test_token_files(spark):
     folder = W.fresh_path(spark, "t")
-    df = docs(spark).unionByName(docs(spark, ["a"]))
+    df = docs(spark).unionByName(docs(spark, ["a"])).unionByName(docs(spark, ["no id", None, "x" * 200_000, "no id"]).selectExpr("cast(null as long) as doc_id", "text", "source", "slot"))
     manifest = W.encode_files(df.select("doc_id", "text"), folder, K.place("byte_bpe_50k.json"), shard_ids=50)
     rows = sorted(map(tuple, W.read_documents(manifest, folder).collect()), key=lambda r: r[1])
-    assert manifest.count() > 1 and [r[0] for r in rows] == [0, *range(len(TEXTS))]
-    raw, at = K.tokenizer(K.place("byte_bpe_50k.json")), 0
+    assert manifest.count() > 1 and [r[0] for r in rows] == [None] * 4 + [0, *range(len(TEXTS))]
+    raw, at, everything = K.tokenizer(K.place("byte_bpe_50k.json")), 0, []
     want = {}
-    for i, t in [*enumerate(TEXTS), (0, "a")]:
+    for i, t in [*enumerate(TEXTS), (0, "a"), (None, "no id"), (None, None), (None, "x" * 200_000), (None, "no id")]:
         ids = [*raw.encode(t or "", add_special_tokens=False).ids, 2]
-        want.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-    for i, start, n, crc in rows:
-        assert start == at and (n, crc) in want[i]
-        at += n
+        want.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids.count(2), 2))
+        everything += ids
+    for i, start, *told in rows:
+        assert start == at
+        want[i].remove(tuple(told))
+        at += told[0]
+    assert not any(want.values())
+    found = {r["token"]: r for r in W.lookup(manifest, folder, [2, everything[-2], 49_999, 2]).collect()}
+    assert {t: r["n"] for t, r in found.items()} == {t: everything.count(t) for t in found} and found[2]["first"] == rows[0][1] + rows[0][2] - 1
     empty = W.encode_files(docs(spark, []).select("doc_id", "text"), folder + "e", K.place("byte_bpe_50k.json"))
     assert W.read_documents(empty, folder + "e").count() == 0
 
 
+def test_wavelet_query(spark):
+    folder = "/root/testdata/sf0.001"
+    raw, at = K.tokenizer(K.place("byte_bpe_50k.json")), 0
+    got = {r["doc_id"]: r for r in W.op6_wavelet(spark, folder).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert set(got) == set(texts)
+    for i in sorted(texts):
+        ids = np.array([*raw.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 # -- packing
 
 

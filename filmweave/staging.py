@@ -11,11 +11,12 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``. Where it is unset a local session, as in tests, gets a folder; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="filmweave-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors share no folder to stage tables in")
+        base = _fallback.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="filmweave-"))
     return base.rstrip("/")
 
 

@@ -2,62 +2,64 @@
 
 Nothing here depends on one operator: staging tables in the folder that the
 cluster shares, numbering rows globally without a single-task window,
-size-checked broadcasting, and per-process word caches for Python workers.
+size-checked broadcasting, and one kept object per Python worker.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmweave.session import prepare
+from filmweave.staging import shared_dir
 
 #: Rows of a table that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch that carries whole texts (bounds worker memory).
 TEXT_BATCH_ROWS = 500
-#: Distinct words that a Python worker remembers.
-CACHE_WORDS = 600_000
 
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="filmweave-"))
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+#: Paths staged so far, in order; ``drop_since`` deletes the latest.
+_staged: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    _staged.append(f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}")
+    return _staged[-1]
 
 
-def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs one task."""
     spark = prepare(df.sparkSession)
     path = fresh_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
         if "/llm/" in path:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(df.sparkSession, path)
+
+
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def drop_since(spark: SparkSession, mark: int, but: str) -> None:
+    """Delete what was staged after ``staged_so_far`` said ``mark``, ``but`` for the result that was made of it."""
+    for path in _staged[mark:]:
+        if path != but:
+            _delete(spark, path)
+    _staged[mark:] = [but]
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,6 +91,15 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, column: str = "r
     )
 
 
+def known_rows(docs: DataFrame) -> DataFrame:
+    """(doc, row): each row whole, and a 64-bit hash of all its columns (of those that have no hash, their JSON).
+
+    Rows of equal contents share it; null or repeated ids don't matter.
+    """
+    hashed = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return docs.select(F.struct("*").alias("doc"), F.xxhash64(*hashed).alias("row"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -106,43 +117,13 @@ def text_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose per-process state is built once per task by ``make``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
-
-    return text_rows(df).mapInArrow(run, schema)
-
-
-class WordCache(dict):
-    """Word -> value, computed on first sight; remembers a bounded number of words."""
-
-    def __init__(self, value: Callable, limit: int = CACHE_WORDS):
-        super().__init__()
-        self.value, self.limit = value, limit
-
-    def __missing__(self, word):
-        got = self.value(word)
-        if len(self) < self.limit:
-            self[word] = got
-        return got
-
-
 _kept: dict[str, object] = {}
 
 
 def keep(key: str, make: Callable[[], object]) -> object:
-    """One object per key and Python worker; workers are reused, so caches outlive a task.
-
-    Only the latest few keys stay, so memory doesn't grow with the models a worker has seen.
-    """
+    """One object per Python worker; workers are reused, so it outlives a task until another key is asked for."""
     if key not in _kept:
-        while len(_kept) >= 2:
-            _kept.pop(next(iter(_kept)))
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 

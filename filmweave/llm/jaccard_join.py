@@ -39,35 +39,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmweave.llm.common import WordCache, documents, drop_staged, keep, maybe_broadcast, stage, text_rows
+from filmweave.llm.common import documents, drop_staged, maybe_broadcast, stage, text_rows
 from filmweave.llm.components import connected_components
 from filmweave.llm.regions import Sets, Sketches, region_links
+from filmweave.llm.words import shingles
 
 #: Members of a cell and shingles of a region that one task takes; documents of the frequency sample; sample count of a frequent shingle.
 CELL_ROWS, REGION_SHINGLES, SAMPLE, FREQUENT = 4096, 4_000_000, 4096, 4
 
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``words``-word shingles of a text."""
-    import xxhash
-
-    split = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not split:
-        return np.empty(0, np.uint64)
-    cache = keep("word hashes", lambda: WordCache(xxhash.xxh64_intdigest))
-    h = np.fromiter(map(cache.__getitem__, split), np.uint64, len(split))
-    n = min(words, len(h))
-    s = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        s = (s ^ h[k : len(h) - n + 1 + k]) * _M[k % 3]
-        s ^= s >> np.uint64(29)
-    for m in _M[3:]:
-        s = (s ^ (s >> np.uint64(30))) * m
-    return np.unique(s ^ (s >> np.uint64(31)))
-
-
 def least_overlap(n, percent: int):
     """ceil(percent / 100 * n): shingles of a set of ``n`` that a partner must share."""
     return (percent * n + 99) // 100
@@ -79,8 +58,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"s": shingle_hashes(text, words).view(np.int64)})
+            found = [np.empty(0, np.uint64), *shingles(batch.column(0), words)]
+            yield pa.RecordBatch.from_pydict({"s": np.concatenate(found).view(np.int64)})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
     rows = text_rows(sample).mapInArrow(spread, "s long").groupBy("s").count().where(f"count >= {FREQUENT}").toArrow()
@@ -100,8 +79,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
         known, counts = frequent.value
         for batch in batches:
             n, prints, sketches, prefixes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_hashes(text, words)
+            for s in shingles(batch.column(1), words):
                 first = s
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -122,7 +100,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            found = shingles(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([Sets.of(s) for s in found], pa.binary())], names=["doc_id", "n", "data"])
 
     return text_rows(docs.select("doc_id", "text").join(maybe_broadcast(ids), "doc_id", "left_semi")).mapInArrow(sets, "doc_id long, n long, data binary")

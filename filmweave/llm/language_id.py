@@ -11,187 +11,191 @@ document says of itself and where it comes from:
   towards the corpus prior.
 
 All counts come from grouped aggregation over the whole corpus, with the texts'
-own most likely language as the truth. Trigrams overlap and depend on each
-other, so a text counts as at most ``EVIDENCE`` independent ones.
+own most likely language as the truth; they are joined to the rows, and only one
+number per language reaches the driver. Trigrams overlap and depend on each
+other, so a text counts as at most ``evidence`` independent ones (a parameter;
+None: all of them).
+
+Every language that at least ``least_share`` of the documents declare gets a
+model (which bounds their number by its reciprocal); a text that no model explains
+better than evenly spread trigrams is in the language ``other`` and not kept.
 
 A document is kept if its best language's posterior reaches ``threshold`` and
 its words look like that language more than like evenly spread trigrams.
 
 Defined results: a null, empty or blank text has no likelihoods, is not kept and
 gets the language of its other evidence; null declared languages, suffixes and
-hosts carry no evidence of their own (a null host has its suffix's prior);
-repeated rows are judged alike; without any declared language nothing is kept.
+hosts carry no evidence of their own (a null host has its suffix's prior); ties go
+to the language first in code point order; null and repeated ids, and repeated
+rows, are judged each alike by their own columns; very long texts count whole;
+other columns, whatever their names, are not read; without any declared language
+nothing is kept; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filmweave.llm.common import documents, keep, maybe_broadcast, stage, text_rows
+from filmweave.llm.common import BROADCAST_ROWS, documents, maybe_broadcast, stage, text_rows
+from filmweave.llm.words import gram_hashes, spell, words_of
 from filmweave.session import prepare
 
-#: Texts of a declared language in the sample; declared languages; trigram buckets; independent trigrams of a text at most.
-PER_LANGUAGE, LANGUAGES, BUCKETS, EVIDENCE = 400, 64, 1 << 15, 200
+#: Texts of a declared language in the sample; share of documents that declare a language, at least; trigram buckets; independent trigrams of a text at most.
+PER_LANGUAGE, LEAST_SHARE, BUCKETS, EVIDENCE = 400, 0.001, 1 << 15, 200
 #: Weight, in documents, of the wider prior in a host's (and of the corpus prior in a suffix's).
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 20.0
+OTHER = "other"
 
-EDGES = str.maketrans("", "", ".,;:!?\"'()[]{}<>|#*$%&0123456789")
-
-
-def trigrams(word: str) -> list[int]:
-    w = f" {word.translate(EDGES)} "
-    return [zlib.crc32(w[i : i + 3].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for i in range(len(w) - 2)]
+#: What is no part of a word's spelling.
+EDGES = np.array([ord(c) for c in ".,;:!?\"'()[]{}<>|#*$%&0123456789"], np.uint32)
 
 
-def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
-
-
-#: Words that a worker remembers (a row of one number per language each).
-CACHE_WORDS = 800_000
+def trigrams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of the trigrams of words between two blanks."""
+    h, owner = gram_hashes(*spell(distinct, " ", " ", EDGES), 3)
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64), owner
 
 
 class TrigramModel:
     """``table[bucket, language]``: log probability against even spread."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages, self.key = languages, uuid.uuid4().hex
+        self.languages = languages
         smooth = counts + 0.05
-        self.table = np.log(smooth / smooth.sum(0)) + np.log(BUCKETS) if languages else np.zeros((BUCKETS, 0))
-
-    @classmethod
-    def fit(cls, texts: dict[str, list[str]]) -> TrigramModel:
-        languages = sorted(texts)
-        counts = np.zeros((BUCKETS, len(languages)))
-        for k, language in enumerate(languages):
-            for word, n in Counter(w for t in texts[language] for w in words_of(t)).items():
-                np.add.at(counts[:, k], trigrams(word), n)
-        return cls(languages, counts)
-
-
-class Scorer:
-    """Texts -> summed log likelihoods; a word's row is kept once seen, as long as there is room."""
-
-    def __init__(self, model: TrigramModel):
-        self.model, self.at = model, {}
-        self.rows = np.zeros((4096, len(model.languages) + 1))
-
-    def learn(self, new: list[str]) -> None:
-        """Rows of new words: sums over their trigrams, and how many those are."""
-        found = [trigrams(w) for w in new]
-        sizes = np.array([len(g) for g in found])
-        flat = self.model.table[[g for gs in found for g in gs]]
-        some = sizes > 0
-        starts = (np.cumsum(sizes) - sizes)[some]
-        first = len(self.at)
-        while first + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        if some.any():
-            self.rows[first + np.flatnonzero(some), :-1] = np.add.reduceat(flat, starts, axis=0)
-        self.rows[first : first + len(new), -1] = sizes
-        self.at.update(zip(new, range(first, first + len(new)), strict=True))
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, int]:
-        """(summed log likelihoods, trigrams)."""
-        words, at = words_of(text), self.at
-        new = [w for w in set(words) if w not in at]
-        if new and len(at) + len(new) <= CACHE_WORDS:
-            self.learn(new)
-            new = []
-        if not new:
-            total = self.rows[[at[w] for w in words]].sum(0) if words else np.zeros(self.rows.shape[1])
-            return total[:-1], int(total[-1])
-        total = self.rows[[at[w] for w in words if w in at]].sum(0)
-        grams = [g for w in words if w not in at for g in trigrams(w)]
-        return total[:-1] + self.model.table[grams].sum(0), int(total[-1]) + len(grams)
-
-
-def train(docs: DataFrame, declared: str = "lang") -> TrigramModel:
-    """From at most PER_LANGUAGE texts (smallest id hashes) of each of the LANGUAGES most declared languages."""
-    common = docs.where(F.col(declared).isNotNull()).groupBy(declared).count().orderBy(F.desc("count"), declared).limit(LANGUAGES).collect()
-    known = docs.where(F.col(declared).isin([r[0] for r in common]) & F.col("doc_id").isNotNull()).select("doc_id", F.col(declared).alias("said"))
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("said").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= PER_LANGUAGE)
-    picked = [tuple(r) for r in ranked.select("doc_id", "said").distinct().collect()]  # PER_LANGUAGE times LANGUAGES at most
-    if not picked:
-        return TrigramModel.fit({})
-    ids = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, said string"))
-    found = docs.select("doc_id", "text").join(ids, "doc_id").select("said", "doc_id", "text").toArrow().sort_by([("said", "ascending"), ("doc_id", "ascending")])
-    texts: dict[str, list[str]] = {}
-    for said, text in zip(found.column("said").to_pylist(), found.column("text").to_pylist(), strict=True):
-        if text:
-            texts.setdefault(said, []).append(text)
-    return TrigramModel.fit(texts)
+        self.table = (np.log(smooth / smooth.sum(0)) + np.log(BUCKETS) if languages else np.zeros((BUCKETS, 0))).astype(np.float32)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(summed log likelihoods [text, language], trigrams) of texts."""
+        words = words_of(texts, ascii_only=False)
+        bucket, owner = trigrams(words.distinct)
+        size = len(words.distinct)
+        n = np.bincount(owner, minlength=size)
+        rows = np.zeros((size, len(self.languages)))
+        some = np.flatnonzero(n > 0)
+        ends = np.cumsum(n)
+        step = max(1, (1 << 24) // max(1, len(self.languages)))
+        first = 0
+        while first < len(some):  # bounded numbers of table rows at a time
+            last = max(first + 1, int(np.searchsorted(ends[some], ends[some[first]] - n[some[first]] + step, side="right")))
+            these = some[first:last]
+            a = int(ends[these[0]] - n[these[0]])
+            rows[these] = np.add.reduceat(self.table[bucket[a : int(ends[these[-1]])]], ends[these] - n[these] - a, axis=0)
+            first = last
+        return words.sums(rows), words.sums(n)
+
+
+def train(docs: DataFrame, declared: str = "lang", least_share: float = LEAST_SHARE) -> TrigramModel:
+    """From at most PER_LANGUAGE texts (least hashes) of each language that ``least_share`` of the declaring documents declare.
+
+    Trigrams are counted on the executors; one number per language and bucket reaches the driver.
+    """
+    told = docs.where(F.col(declared).isNotNull()).groupBy(F.col(declared).alias("said")).count()
+    total = told.agg(F.sum("count")).first()[0] or 0
+    languages = sorted(r["said"] for r in told.where(F.col("count") >= least_share * total).collect())
+    if not languages:
+        return TrigramModel([], np.zeros((BUCKETS, 0)))
+    number = {v: k for k, v in enumerate(languages)}
+    keyed = docs.where(F.col(declared).isin(languages)).select(F.col(declared).alias("said"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    ranked = keyed.select("said", "row").distinct().withColumn("r", F.row_number().over(Window.partitionBy("said").orderBy(F.xxhash64("row"), "row")))
+    picked = F.broadcast(ranked.where(F.col("r") <= PER_LANGUAGE).select("said", "row"))  # PER_LANGUAGE times languages at most
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for b in batches:
+            words = words_of(b.column(1), ascii_only=False)
+            bucket, owner = trigrams(words.distinct)
+            for k, said in enumerate(b.column(0).to_pylist()):
+                often = np.bincount(words.at[words.starts[k] : words.ends[k]], minlength=len(words.distinct))
+                at = seen.setdefault(number[said], np.zeros(BUCKETS, np.int64))
+                at += np.bincount(bucket, weights=often[owner], minlength=BUCKETS).astype(np.int64)
+        for k, c in seen.items():
+            found = np.flatnonzero(c)
+            yield pa.RecordBatch.from_pydict({"k": np.full(len(found), k), "bucket": found, "n": c[found]})
+
+    sample = keyed.join(picked, ["said", "row"]).dropDuplicates(["said", "row"]).select("said", "text")
+    found = text_rows(sample).mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((BUCKETS, len(languages)))
+    counts[found.column("bucket").to_numpy(), found.column("k").to_numpy()] = found.column("n").to_numpy()
+    return TrigramModel(languages, counts)
 
 
 def likelihoods(docs: DataFrame, model: TrigramModel) -> DataFrame:
-    """(doc_id, declared, suffix, host, n, ll): summed log likelihoods by language and trigrams; staged."""
+    """(doc_id, declared, suffix, host, n, ll, top): summed log likelihoods by language, trigrams, best language; staged."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = keep(f"language {model.key}", lambda: Scorer(model))
         for b in batches:
-            if b.num_rows:
-                ll, n = zip(*(score(t.as_py()) for t in b.column(4)), strict=True)
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), pa.array([x.tolist() for x in ll], pa.list_(pa.float64()))], names=["doc_id", "declared", "suffix", "host", "n", "ll"])
+            ll, n = sent.value(b.column(4))
+            size = ll.shape[1]
+            top = pa.array(ll.argmax(1) if size else np.zeros(len(n), np.int64), pa.int32(), mask=(n == 0) | (size == 0))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * size, pa.int32()), pa.array(ll.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), listed, top], names=["doc_id", "declared", "suffix", "host", "n", "ll", "top"])
 
     rows = text_rows(docs.select("doc_id", "declared", "suffix", "host", "text"))
-    return stage(rows.mapInArrow(work, "doc_id long, declared string, suffix string, host string, n long, ll array<double>"), "language-evidence")
+    return stage(rows.mapInArrow(work, "doc_id long, declared string, suffix string, host string, n long, ll array<double>, top int"), "language-evidence")
+
+
+def by_value(seen: DataFrame, column: str) -> DataFrame:
+    """(value, by_<column>): texts of each language (map from its number) by the values of a column."""
+    counted = seen.where(F.col("top").isNotNull() & F.col(column).isNotNull()).groupBy(F.col(column).alias(f"_{column}"), "top").count()
+    return counted.groupBy(f"_{column}").agg(F.map_from_entries(F.collect_list(F.struct("top", "count"))).alias(f"by_{column}"))
+
+
+def spread_nulls(column: str) -> Column:
+    """A join key that meets nothing where ``column`` is null, and isn't one key for all such rows."""
+    return F.coalesce(F.col(column), F.concat(F.lit("\0"), F.xxhash64("doc_id", "n", "ll").cast("string")))
+
+
+def _dense(column: pa.MapArray, size: int) -> np.ndarray:
+    out, ends = np.zeros((len(column), size)), column.offsets.to_numpy()
+    sizes = np.diff(ends)
+    out[np.repeat(np.arange(len(column)), sizes), column.keys.to_numpy()[ends[0] : ends[-1]]] = column.items.to_numpy()[ends[0] : ends[-1]]
+    return out
 
 
-def identify(docs: DataFrame, model: TrigramModel, threshold: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, model: TrigramModel, threshold: float = 0.5, evidence: int | None = EVIDENCE) -> DataFrame:
     """For ``docs`` (doc_id, text, declared, suffix, host): language, posterior, text_language, kept."""
-    spark = docs.sparkSession
     languages = model.languages
     size = len(languages)
     seen = likelihoods(docs, model)
     if not size:
         return seen.select("doc_id", "declared", "host", F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
-    top = F.when(F.col("n") > 0, F.array_position("ll", F.array_max("ll")) - 1).cast("int")
-    seen = seen.withColumn("top", top)
-    count = seen.where("top is not null").groupBy("declared", "suffix", "top").count().collect()  # languages times suffixes, not documents
     corpus = np.ones(size)
-    said: dict[str, np.ndarray] = {}
-    ends: dict[str, np.ndarray] = {}
-    for r in count:
+    for r in seen.where("top is not null").groupBy("top").count().collect():
         corpus[r["top"]] += r["count"]
-        for table, value in ((said, r["declared"]), (ends, r["suffix"])):
-            if value is not None:
-                table.setdefault(value, np.zeros(size))[r["top"]] += r["count"]
     prior = corpus / corpus.sum()
-    # P(declared | language), smoothed over the values there are
-    says = {v: np.log((c + 1.0) / (corpus + len(said) + 1)) for v, c in said.items()}
-    suffix_prior = {v: (c + SUFFIX_WEIGHT * prior) / (c.sum() + SUFFIX_WEIGHT) for v, c in ends.items()}
-    hosts = seen.where("top is not null and host is not null").groupBy("host").agg(*(F.sum((F.col("top") == k).cast("double")).alias(f"c{k}") for k in range(size)))
-    hosts = stage(hosts.select("host", F.array(*(f"c{k}" for k in range(size))).alias("by_host")), "host-counts")
+    joined, values = seen, 0
+    for column in ("declared", "suffix", "host"):
+        table = stage(by_value(seen, column), f"by-{column}")
+        values = table.count() if column == "declared" else values
+        joined = joined.join(maybe_broadcast(table, BROADCAST_ROWS * 8 // max(8, size)), spread_nulls(column) == F.col(f"_{column}"), "left").drop(f"_{column}")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([*languages, OTHER], pa.string())
         for b in batches:
-            best, sure, kept = [], [], []
-            for declared, suffix, n, ll, by_host in zip(*(b.column(k).to_pylist() for k in (1, 2, 4, 5, 7)), strict=True):
-                wide = suffix_prior.get(suffix, prior)
-                at_host = np.zeros(size) if by_host is None else np.array(by_host)
-                z = np.log((at_host + HOST_WEIGHT * wide) / (at_host.sum() + HOST_WEIGHT))
-                z = z + says.get(declared, 0.0)
-                mean = np.array(ll) / max(n, 1)
-                z = z + mean * min(n, EVIDENCE)
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                k = int(p.argmax())
-                best.append(k)
-                sure.append(float(p[k]))
-                kept.append(bool(n > 0 and p[k] >= threshold and mean[k] > 0))
-            names = pa.array(languages, pa.string())
-            top = b.column(6)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), names.take(top), names.take(pa.array(best, pa.int32())), pa.array(sure, pa.float64()), pa.array(kept, pa.bool_())], names=["doc_id", "declared", "host", "text_language", "language", "posterior", "kept"])
-
-    joined = seen.join(maybe_broadcast(hosts), "host", "left").select("doc_id", "declared", "suffix", "host", "n", "ll", "top", "by_host")
-    return joined.mapInArrow(fuse, "doc_id long, declared string, host string, text_language string, language string, posterior double, kept boolean")
+            n, rows = b.column(4).to_numpy(), np.arange(b.num_rows)
+            mean = b.column(5).flatten().to_numpy().reshape(-1, size) / np.maximum(n, 1)[:, None]
+            says, ends, at_host = (_dense(b.column(k), size) for k in (7, 8, 9))
+            wide = (ends + SUFFIX_WEIGHT * prior) / (ends.sum(1, keepdims=True) + SUFFIX_WEIGHT)
+            z = np.log((at_host + HOST_WEIGHT * wide) / (at_host.sum(1, keepdims=True) + HOST_WEIGHT))
+            # P(declared | language), smoothed over the values there are
+            z += np.where(says.sum(1, keepdims=True) > 0, np.log((says + 1.0) / (corpus + values + 1)), 0.0)
+            z += mean * (n if evidence is None else np.minimum(n, evidence))[:, None]
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            best = p.argmax(1)
+            sure, fits = p[rows, best], mean.max(1) > 0
+            kept = (n > 0) & (sure >= threshold) & (mean[rows, best] > 0)
+            said = names.take(pa.array(np.where((n > 0) & ~fits, size, best)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), names.take(b.column(6)), said, pa.array(sure), pa.array(kept)], names=["doc_id", "declared", "host", "text_language", "language", "posterior", "kept"])
+
+    empty = F.expr("cast(map() as map<int, bigint>)")
+    rows = joined.select("doc_id", "declared", "suffix", "host", "n", "ll", "top", *(F.coalesce(f"by_{c}", empty).alias(f"by_{c}") for c in ("declared", "suffix", "host")))
+    return rows.mapInArrow(fuse, "doc_id long, declared string, host string, text_language string, language string, posterior double, kept boolean")
 
 
 def evidence_of_documents(docs: DataFrame) -> DataFrame:

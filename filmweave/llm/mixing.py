@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from filmweave.llm.common import documents, maybe_broadcast, stage, word_count
+from filmweave.llm.common import documents, known_rows, maybe_broadcast, stage, word_count
 
 #: Documents that a block of the first level holds on average, and blocks that meet at the next.
 BLOCK_ROWS, FAN_IN = 2048, 64
@@ -151,12 +151,6 @@ def decide(sized: DataFrame) -> DataFrame:
     return out.select("doc_id", "source", "row", "occ", "size", "source_size", "target", "copies")
 
 
-def known_rows(docs: DataFrame) -> DataFrame:
-    """(doc, row): each row whole, and a hash of all its columns (of those that have no hash, their JSON)."""
-    hashed = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
-    return docs.select(F.struct("*").alias("doc"), F.xxhash64(*hashed).alias("row"))
-
-
 def sized_rows(known: DataFrame) -> DataFrame:
     """(doc_id, source, row, size, occ) of known rows; ``occ`` numbers rows of equal contents. Staged, without texts."""
     narrow = stage(known.select("doc.doc_id", "doc.source", "row", word_count("doc.text").alias("size")), "mix-sizes")

@@ -191,4 +191,4 @@ def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, sample_labels(labels, "quality", 5, 0, PER_CLASS))
-    return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

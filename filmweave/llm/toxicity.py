@@ -6,30 +6,31 @@ Vectors and outputs are trained jointly in numpy with Adam. Words never seen in
 training, misspellings among them, share the n-grams of those that were.
 
 Since text vector and output are linear, each bucket's pull towards the toxic
-class is one number once training ends; a worker keeps a word's mean pull, and
-a text's score is the softmax of the mean over its words.
+class is one number once training ends; a word's pull is the mean of its buckets',
+taken once per distinct word of a batch, and a text's score is the softmax of the
+mean over its words.
 
 Training takes a bounded, repeatable sample of labelled texts (``PER_CLASS`` of
 each class at most). Every text is scored whole.
 
 Defined results: a null, empty or blank text has a zero vector and scores by the
 output's bias alone; without labels of both classes the score is the share of
-the one class there is, or 0.5; repeated rows score alike; an empty table stays
-empty.
+the one class there is, or 0.5; null and repeated ids, and repeated rows, score
+each by their text alone (a null id is in no fold, so never held out nor learned
+from); very long texts count whole; other columns, whatever their names, are not
+read; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from filmweave.llm.common import WordCache, documents, fold, keep, sample_labels, text_rows
+from filmweave.llm.common import documents, fold, sample_labels, text_rows
+from filmweave.llm.words import gram_hashes, spell, words_of
 from filmweave.session import prepare
 
 #: Labelled texts of a class; hash buckets (a power of two); vector size; n-gram lengths; passes; texts in a step; learning rate.
@@ -41,37 +42,36 @@ RARE, RARE_LEAST, SHRINK, DAMP = 0.005, 4, 1e-3, 1e-3
 SCALE = 30.0
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams, its ends marked."""
-    w = f"<{word}>"
-    found = [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1)]
-    return found or [zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)]
+def gram_means(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, word, weight) of the n-grams of words, their ends marked; a word's weights add up to 1."""
+    points, sizes = spell(distinct, "<", ">")
+    parts = [gram_hashes(points, sizes, n) for n in GRAMS]
+    bucket = np.concatenate([h for h, _ in parts]) & np.uint64(BUCKETS - 1)
+    owner = np.concatenate([o for _, o in parts])
+    return bucket.astype(np.int64), owner, 1.0 / np.bincount(owner, minlength=len(sizes))[owner]
 
 
-def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
-
-
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and their weights in a text's vector."""
-    counts = Counter(words_of(text))
-    total = sum(counts.values())
-    ids, weights = [], []
-    for word, n in counts.items():
-        g = grams(word)
-        ids += g
-        weights += [n / total / len(g)] * len(g)
-    if not ids:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    one, at = np.unique(np.array(ids), return_inverse=True)
-    return one.astype(np.int32), np.bincount(at, weights=weights).astype(np.float32)
+def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text, buckets and their weights in its vector."""
+    words = words_of(texts, ascii_only=False)
+    bucket, owner, weight = gram_means(words.distinct)
+    order = np.argsort(owner, kind="stable")
+    bucket, weight, ends = bucket[order], weight[order], np.cumsum(np.bincount(owner, minlength=len(words.distinct)))
+    out = []
+    for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True):
+        word, n = np.unique(words.at[a:b], return_counts=True)
+        sizes = np.diff(ends, prepend=0)[word] if len(word) else np.empty(0, np.int64)
+        at = np.arange(sizes.sum()) + np.repeat(ends[word] - np.cumsum(sizes), sizes)
+        one, where = np.unique(bucket[at], return_inverse=True)
+        out.append((one.astype(np.int32), np.bincount(where, weights=weight[at] * np.repeat(n, sizes) / max(b - a, 1), minlength=len(one)).astype(np.float32)))
+    return out
 
 
 class SubwordModel:
     """``pull``: each bucket's contribution to the log odds; ``bias``."""
 
     def __init__(self, pull: np.ndarray, bias: float):
-        self.pull, self.bias, self.key = pull, bias, uuid.uuid4().hex
+        self.pull, self.bias = pull, bias
 
     @classmethod
     def fit(cls, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> SubwordModel:
@@ -118,8 +118,16 @@ class SubwordModel:
         pull[used] = SCALE * (vectors @ (out[1] - out[0]))
         return cls(pull, float(bias[1] - bias[0]))
 
-    def word_pull(self, word: str) -> float:
-        return float(self.pull[grams(word)].mean())
+    def pulls(self, distinct: pa.Array) -> np.ndarray:
+        """Pull of every word: the mean of its n-grams'."""
+        bucket, owner, weight = gram_means(distinct)
+        return np.bincount(owner, weights=self.pull[bucket] * weight, minlength=len(distinct))
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Probability of the toxic class for every text."""
+        words = words_of(texts, ascii_only=False)
+        mean = words.sums(self.pulls(words.distinct)) / np.maximum(words.sizes, 1)
+        return 1 / (1 + np.exp(-np.clip(self.bias + mean, -30, 30)))
 
 
 def train(docs: DataFrame, picked: list[tuple[int, int]], share: float | None = None) -> SubwordModel:
@@ -133,14 +141,14 @@ def train(docs: DataFrame, picked: list[tuple[int, int]], share: float | None =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [bag(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x, _ in bags], pa.binary()), pa.array([w.tobytes() for _, w in bags], pa.binary())], names=["doc_id", "ids", "weights"])
+            found = bags(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["doc_id", "ids", "weights"])
 
     rows = text_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).mapInArrow(work, "doc_id long, ids binary, weights binary").toArrow().sort_by("doc_id")
-    bags = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(w.as_py(), np.float32)) for i, w in zip(rows.column("ids"), rows.column("weights"), strict=True)]
+    held = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(w.as_py(), np.float32)) for i, w in zip(rows.column("ids"), rows.column("weights"), strict=True)]
     y = dict(picked)
     truth = np.array([y[i] for i in rows.column("doc_id").to_pylist()])
-    model = SubwordModel.fit(bags, truth)
+    model = SubwordModel.fit(held, truth)
     if share and 0 < share < 1 and 0 < truth.mean() < 1:
         model.bias += float(np.log(share / (1 - share)) - np.log(truth.mean() / (1 - truth.mean())))
     return model
@@ -148,16 +156,11 @@ def train(docs: DataFrame, picked: list[tuple[int, int]], share: float | None =
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pull = keep(f"toxicity {model.key}", lambda: WordCache(model.word_pull))
         for b in batches:
-            scores = []
-            for t in b.column(1):
-                words = words_of(t.as_py())
-                z = model.bias + (sum(map(pull.__getitem__, words)) / len(words) if words else 0.0)
-                scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.score(b.column(1)))], names=["doc_id", "score"])
 
     return text_rows(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, score double")
 
@@ -167,4 +170,4 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     share = labels.where((fold("doc_id", 4) != 2) & F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     model = train(docs, sample_labels(labels, "toxic", 4, 2, PER_CLASS), share)
-    return score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

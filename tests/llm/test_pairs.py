@@ -11,15 +11,15 @@ from filmweave.llm import jaccard_join as J, neighbours as N, regions as R
 from filmweave.llm.components import connected_components
 
 
-def shingles(text):
+def shingles(text, words=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def brute(rows):
+def brute(rows, words=4, percent=85):
     sets = {}
     for i, t in rows:
-        sets.setdefault(i, []).append(shingles(t))
+        sets.setdefault(i, []).append(shingles(t, words))
     root = {i: i for i in sets}
 
     def find(x):
@@ -30,10 +30,10 @@ def brute(rows):
     flat = [(i, s) for i, ss in sets.items() for s in ss if s and i is not None]
     for k, (i, a) in enumerate(flat):
         for j, b in flat[k + 1 :]:
-            if 100 * len(a & b) >= 85 * len(a | b):
+            if 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return sorted(((i, len(shingles(t)), find(i)) for i, t in rows), key=str)
+    return sorted(((i, len(shingles(t, words)), find(i)) for i, t in rows), key=str)
 
 
 def near_copies(seed, groups=12, size=8):

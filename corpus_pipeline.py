@@ -2,8 +2,14 @@
 
 Each stage takes what its predecessor kept. All but the last return the columns
 of ``documents``; the last returns where every piece of every document goes.
-Scores and components are computed on narrow rows; a stage's decision meets the
-texts in one join by id.
+Scores and components are computed on narrow rows. Decisions belong to rows, not
+to ids: a row goes by a hash of its contents, which meets the texts in one join.
+
+Defined results: null and repeated ids are rows like others, and only a row's own
+decision touches it; among near duplicates (equal rows too) the row with the
+least id stays, a null id yields to any other, and ties go by the hash; null, empty
+and blank texts fail the rules; very long texts count whole; extra columns, whatever
+their names, travel along; an empty table stays empty at every stage.
 """
 
 from __future__ import annotations
@@ -11,46 +17,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmweave.llm import jaccard_join, language_id, mixing, packing, weak_rules
-from filmweave.llm.common import fresh_path, maybe_broadcast, stage
+from filmweave.llm.common import drop_since, fresh_path, known_rows, maybe_broadcast, stage, staged_so_far
 from filmweave.llm.tokens import place
 from filmweave.session import prepare
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``."""
-    return docs.join(maybe_broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(COLUMNS)
+def _keep(known: DataFrame, rows: DataFrame, once: bool = False) -> DataFrame:
+    """The whole rows whose hash is in ``rows`` (row); of equal rows one if ``once``."""
+    told = stage(rows.groupBy("row").agg(F.count("*").alias("same")), "kept-rows")
+    kept = known.join(maybe_broadcast(told), "row")
+    if once and told.where("same > 1").limit(1).count():
+        kept = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["row"]))
+    return kept.select("doc.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return _keep(docs, stage(weak_rules.judge(docs).where("kept").select("doc_id"), "kept"))
+    known = known_rows(docs)
+    judged = weak_rules.judge(known.select(F.col("row").alias("doc_id"), "doc.text"))
+    return _keep(known, judged.where("kept").select(F.col("doc_id").alias("row")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    judged = language_id.identify(language_id.evidence_of_documents(docs), language_id.train(docs))
-    return _keep(docs, stage(judged.where("kept").select("doc_id"), "kept"))
+    known = known_rows(docs)
+    rows = known.select(F.col("row").alias("doc_id"), "doc.text", "doc.lang", "doc.source")
+    judged = language_id.identify(language_id.evidence_of_documents(rows), language_id.train(rows))
+    return _keep(known, judged.where("kept").select(F.col("doc_id").alias("row")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every component stays (five-word shingles, similarity 0.8); of rows that share an id, one."""
-    prepare(spark)
-    told = stage(jaccard_join.join(docs, words=5, percent=80), "near-duplicates")
-    kept = told.where("component_id is null or component_id = doc_id").select("doc_id")
-    rows = _keep(docs, kept)
-    repeated = told.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    """One row of every component (five-word shingles, similarity 0.8)."""
+    known = known_rows(docs)
+    told = jaccard_join.join(known.select(F.col("row").alias("doc_id"), "doc.text"), words=5, percent=80)
+    told = stage(told.select(F.col("doc_id").alias("row"), "component_id"), "near-duplicates")
+    ids = known.select("row", F.col("doc.doc_id").alias("id")).distinct()
+    first = told.distinct().join(ids, "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.isnull("id"), "id", "row")).alias("row"))
+    return _keep(known, told.join(first.select("row"), "row", "left_semi").select("row"), once=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return mixing.mix(docs).select(COLUMNS)
+    return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
     return packing.pack(packing.pieces(docs, place("word_bpe_49k.json")))
 
 
@@ -67,13 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again."""
+    """All stages on ``documents``, each written as Parquet and read again; what a stage staged goes when it is written."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, step) in enumerate(STAGES):
+        mark = staged_so_far()
         out = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = fresh_path(spark, f"stage-{k}")
             out.write.parquet(path)
             out = spark.read.schema(out.schema).parquet(path)
+            drop_since(spark, mark, path)
         docs = out
     return docs

@@ -34,11 +34,11 @@ nothing is kept; an empty table stays empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from filmweave.llm.common import BROADCAST_ROWS, documents, maybe_broadcast, stage, text_rows
 from filmweave.llm.words import gram_hashes, spell, words_of
@@ -123,20 +123,20 @@ def train(docs: DataFrame, declared: str = "lang", least_share: float = LEAST_SH
     return TrigramModel(languages, counts)
 
 
-def likelihoods(docs: DataFrame, model: TrigramModel) -> DataFrame:
-    """(doc_id, declared, suffix, host, n, ll, top): summed log likelihoods by language, trigrams, best language; staged."""
+def likelihoods(docs: DataFrame, model: TrigramModel, carry: Sequence[str]) -> DataFrame:
+    """(carried columns, declared, suffix, host, n, ll, top): summed log likelihoods by language, trigrams, best language; staged."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ll, n = sent.value(b.column(4))
-            size = ll.shape[1]
-            top = pa.array(ll.argmax(1) if size else np.zeros(len(n), np.int64), pa.int32(), mask=(n == 0) | (size == 0))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * size, pa.int32()), pa.array(ll.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), listed, top], names=["doc_id", "declared", "suffix", "host", "n", "ll", "top"])
+    @F.arrow_udf("struct<n: bigint, ll: array<double>, top: int>")
+    def read(texts: pa.Array) -> pa.Array:
+        ll, n = sent.value(texts)
+        size = ll.shape[1]
+        top = pa.array(ll.argmax(1) if size else np.zeros(len(n), np.int64), pa.int32(), mask=(n == 0) | (size == 0))
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * size, pa.int32()), pa.array(ll.ravel()))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), listed, top], names=["n", "ll", "top"])
 
-    rows = text_rows(docs.select("doc_id", "declared", "suffix", "host", "text"))
-    return stage(rows.mapInArrow(work, "doc_id long, declared string, suffix string, host string, n long, ll array<double>, top int"), "language-evidence")
+    told = text_rows(docs).select(*carry, F.struct("declared", "suffix", "host").alias("_said"), read("text").alias("_read"))
+    return stage(told, "language-evidence").select(*carry, "_said.*", "_read.*")
 
 
 def by_value(seen: DataFrame, column: str) -> DataFrame:
@@ -145,11 +145,6 @@ def by_value(seen: DataFrame, column: str) -> DataFrame:
     return counted.groupBy(f"_{column}").agg(F.map_from_entries(F.collect_list(F.struct("top", "count"))).alias(f"by_{column}"))
 
 
-def spread_nulls(column: str) -> Column:
-    """A join key that meets nothing where ``column`` is null, and isn't one key for all such rows."""
-    return F.coalesce(F.col(column), F.concat(F.lit("\0"), F.xxhash64("doc_id", "n", "ll").cast("string")))
-
-
 def _dense(column: pa.MapArray, size: int) -> np.ndarray:
     out, ends = np.zeros((len(column), size)), column.offsets.to_numpy()
     sizes = np.diff(ends)
@@ -157,51 +152,54 @@ def _dense(column: pa.MapArray, size: int) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: TrigramModel, threshold: float = 0.5, evidence: int | None = EVIDENCE) -> DataFrame:
-    """For ``docs`` (doc_id, text, declared, suffix, host): language, posterior, text_language, kept."""
+def identify(docs: DataFrame, model: TrigramModel, threshold: float = 0.5, evidence: int | None = EVIDENCE, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """For ``docs`` (text, declared, suffix, host): language, posterior, text_language, kept, beside the columns to ``carry``.
+
+    What is carried lies beside the likelihoods, so a verdict needs no join to meet its row.
+    """
     languages = model.languages
     size = len(languages)
-    seen = likelihoods(docs, model)
+    seen = likelihoods(docs, model, carry)
     if not size:
-        return seen.select("doc_id", "declared", "host", F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
+        return seen.select(*carry, "declared", "host", F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
     corpus = np.ones(size)
     for r in seen.where("top is not null").groupBy("top").count().collect():
         corpus[r["top"]] += r["count"]
     prior = corpus / corpus.sum()
-    joined, values = seen, 0
-    for column in ("declared", "suffix", "host"):
+    # a key that meets nothing where there is no value, and isn't one key for all such rows
+    nobody = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    columns = ("declared", "suffix", "host")
+    joined, values = seen.withColumns({f"_key_{c}": F.coalesce(c, nobody) for c in columns}), 0
+    for column in columns:
         table = stage(by_value(seen, column), f"by-{column}")
         values = table.count() if column == "declared" else values
-        joined = joined.join(maybe_broadcast(table, BROADCAST_ROWS * 8 // max(8, size)), spread_nulls(column) == F.col(f"_{column}"), "left").drop(f"_{column}")
-
-    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array([*languages, OTHER], pa.string())
-        for b in batches:
-            n, rows = b.column(4).to_numpy(), np.arange(b.num_rows)
-            mean = b.column(5).flatten().to_numpy().reshape(-1, size) / np.maximum(n, 1)[:, None]
-            says, ends, at_host = (_dense(b.column(k), size) for k in (7, 8, 9))
-            wide = (ends + SUFFIX_WEIGHT * prior) / (ends.sum(1, keepdims=True) + SUFFIX_WEIGHT)
-            z = np.log((at_host + HOST_WEIGHT * wide) / (at_host.sum(1, keepdims=True) + HOST_WEIGHT))
-            # P(declared | language), smoothed over the values there are
-            z += np.where(says.sum(1, keepdims=True) > 0, np.log((says + 1.0) / (corpus + values + 1)), 0.0)
-            z += mean * (n if evidence is None else np.minimum(n, evidence))[:, None]
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            best = p.argmax(1)
-            sure, fits = p[rows, best], mean.max(1) > 0
-            kept = (n > 0) & (sure >= threshold) & (mean[rows, best] > 0)
-            said = names.take(pa.array(np.where((n > 0) & ~fits, size, best)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), names.take(b.column(6)), said, pa.array(sure), pa.array(kept)], names=["doc_id", "declared", "host", "text_language", "language", "posterior", "kept"])
-
-    empty = F.expr("cast(map() as map<int, bigint>)")
-    rows = joined.select("doc_id", "declared", "suffix", "host", "n", "ll", "top", *(F.coalesce(f"by_{c}", empty).alias(f"by_{c}") for c in ("declared", "suffix", "host")))
-    return rows.mapInArrow(fuse, "doc_id long, declared string, host string, text_language string, language string, posterior double, kept boolean")
-
-
-def evidence_of_documents(docs: DataFrame) -> DataFrame:
+        joined = joined.join(maybe_broadcast(table, BROADCAST_ROWS * 8 // max(8, size)), F.col(f"_key_{column}") == F.col(f"_{column}"), "left").drop(f"_{column}", f"_key_{column}")
+
+    @F.arrow_udf("struct<best: int, posterior: double, kept: boolean>")
+    def fuse(n: pa.Array, ll: pa.Array, says: pa.Array, ends: pa.Array, at_host: pa.Array) -> pa.Array:
+        n, says, ends, at_host = n.to_numpy(), _dense(says, size), _dense(ends, size), _dense(at_host, size)
+        mean = ll.flatten().to_numpy().reshape(-1, size) / np.maximum(n, 1)[:, None]
+        wide = (ends + SUFFIX_WEIGHT * prior) / (ends.sum(1, keepdims=True) + SUFFIX_WEIGHT)
+        z = np.log((at_host + HOST_WEIGHT * wide) / (at_host.sum(1, keepdims=True) + HOST_WEIGHT))
+        # P(declared | language), smoothed over the values there are
+        z += np.where(says.sum(1, keepdims=True) > 0, np.log((says + 1.0) / (corpus + values + 1)), 0.0)
+        z += mean * (n if evidence is None else np.minimum(n, evidence))[:, None]
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = p.argmax(1)
+        sure, own = p[np.arange(len(n)), best], mean[np.arange(len(n)), best]
+        said = np.where((n > 0) & (mean.max(1) <= 0), size, best)
+        return pa.StructArray.from_arrays([pa.array(said, pa.int32()), pa.array(sure), pa.array((n > 0) & (sure >= threshold) & (own > 0))], names=["best", "posterior", "kept"])
+
+    empty, names = F.expr("cast(map() as map<int, bigint>)"), F.array(*map(F.lit, [*languages, OTHER]))
+    fused = joined.withColumn("_fused", fuse("n", "ll", *(F.coalesce(f"by_{c}", empty) for c in columns)))
+    return fused.select(*carry, "declared", "host", F.get(names, F.col("top")).alias("text_language"), F.get(names, F.col("_fused.best")).alias("language"), "_fused.posterior", "_fused.kept")
+
+
+def evidence_of_documents(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Documents declare ``lang``; their source is the host, and what follows its last dot the suffix."""
     suffix = F.when(F.col("source").contains("."), F.substring_index("source", ".", -1))
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), suffix.alias("suffix"), F.col("source").alias("host"))
+    return docs.select(*carry, "text", F.col("lang").alias("declared"), suffix.alias("suffix"), F.col("source").alias("host"))
 
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:

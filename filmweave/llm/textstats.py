@@ -6,14 +6,14 @@ Words are ``[^\\x20\\x09-\\x0D]+``, which is how bytes split at ASCII blanks.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Sequence
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as Y
 
-from filmweave.llm.common import text_rows
+from filmweave.llm.common import stage, text_rows
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -83,14 +83,18 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     )
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts...) of every row of ``docs`` (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), *((f, pa.int64()) for f in FIELDS)])
+STATS = Y.StructType([Y.StructField(f, Y.LongType()) for f in FIELDS])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                rows = [text_stats(x.as_py()) for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], schema=schema)
 
-    return text_rows(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, " + ", ".join(f"{f} long" for f in FIELDS))
+@F.arrow_udf(STATS)
+def stats_of(texts: pa.Array) -> pa.Array:
+    """The counts of FIELDS for every text; a row's other columns don't pass through Python."""
+    rows = [text_stats(x.as_py()) for x in texts]
+    columns = zip(*rows, strict=True) if rows else [()] * len(FIELDS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=FIELDS)
+
+
+def with_stats(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(carried columns, counts...) of every row of ``docs`` (text and those); staged."""
+    told = stage(text_rows(docs).select(*carry, stats_of("text").alias("_stats")), "text-stats")
+    return told.select(*carry, "_stats.*")

@@ -24,12 +24,13 @@ kind yet; then all that pass the base rules are kept.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from filmweave.llm.common import documents, stage
+from filmweave.llm.common import documents
 from filmweave.llm.textstats import with_stats
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -131,9 +132,12 @@ def fit(patterns: dict[str, int]) -> Kinds | None:
     return best
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Counts, votes, posterior, base_failed and kept for every row of ``docs``; staged counts inside."""
-    stats = stage(votes(with_stats(docs)), "rule-votes")
+def judge(docs: DataFrame, threshold: float = 0.5, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Counts, votes, posterior, base_failed and kept for every row of ``docs``, beside the columns to ``carry``.
+
+    What is carried lies beside the counts, so a verdict needs no join to meet its row.
+    """
+    stats = votes(with_stats(docs, carry))
     patterns = {r["votes"]: r["count"] for r in stats.groupBy("votes").count().orderBy("votes").collect()}
     kinds, keys = fit(patterns), list(patterns)
     good = kinds.posterior(np.array([[int(c) for c in p] for p in keys], dtype=int)) if kinds else []

@@ -2,8 +2,9 @@
 
 Each stage takes what its predecessor kept. All but the last return the columns
 of ``documents``; the last returns where every piece of every document goes.
-Scores and components are computed on narrow rows. Decisions belong to rows, not
-to ids: a row goes by a hash of its contents, which meets the texts in one join.
+Decisions belong to rows, not to ids. Judgements lie beside the row they are about,
+so rules and language filter without a join; components and the mix are decided on
+narrow rows that go by a hash of their contents, which meets the texts in one join.
 
 Defined results: null and repeated ids are rows like others, and only a row's own
 decision touches it; among near duplicates (equal rows too) the row with the
@@ -17,31 +18,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmweave.llm import jaccard_join, language_id, mixing, packing, weak_rules
-from filmweave.llm.common import drop_since, fresh_path, known_rows, maybe_broadcast, stage, staged_so_far
+from filmweave.llm.common import drop_since, fresh_path, known_rows, stage, staged_so_far
 from filmweave.llm.tokens import place
 from filmweave.session import prepare
 
 
-def _keep(known: DataFrame, rows: DataFrame, once: bool = False) -> DataFrame:
-    """The whole rows whose hash is in ``rows`` (row); of equal rows one if ``once``."""
-    told = stage(rows.groupBy("row").agg(F.count("*").alias("same")), "kept-rows")
-    kept = known.join(maybe_broadcast(told), "row")
-    if once and told.where("same > 1").limit(1).count():
-        kept = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["row"]))
-    return kept.select("doc.*")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = known_rows(docs)
-    judged = weak_rules.judge(known.select(F.col("row").alias("doc_id"), "doc.text"))
-    return _keep(known, judged.where("kept").select(F.col("doc_id").alias("row")))
+    judged = weak_rules.judge(docs.select(F.struct("*").alias("doc"), "text"), carry=["doc"])
+    return judged.where("kept").select("doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = known_rows(docs)
-    rows = known.select(F.col("row").alias("doc_id"), "doc.text", "doc.lang", "doc.source")
-    judged = language_id.identify(language_id.evidence_of_documents(rows), language_id.train(rows))
-    return _keep(known, judged.where("kept").select(F.col("doc_id").alias("row")))
+    rows = docs.select(F.struct("*").alias("doc"), "text", "lang", "source")
+    judged = language_id.identify(language_id.evidence_of_documents(rows, carry=["doc"]), language_id.train(docs), carry=["doc"])
+    return judged.where("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +41,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     told = stage(told.select(F.col("doc_id").alias("row"), "component_id"), "near-duplicates")
     ids = known.select("row", F.col("doc.doc_id").alias("id")).distinct()
     first = told.distinct().join(ids, "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.isnull("id"), "id", "row")).alias("row"))
-    return _keep(known, told.join(first.select("row"), "row", "left_semi").select("row"), once=True)
+    chosen = stage(told.join(first.select("row"), "row", "left_semi").groupBy("row").agg(F.count("*").alias("same")), "kept-rows")
+    kept = known.join(chosen, "row")
+    if chosen.where("same > 1").limit(1).count():
+        kept = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["row"]))
+    return kept.select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,12 +54,20 @@ def staged_so_far() -> int:
     return len(_staged)
 
 
-def drop_since(spark: SparkSession, mark: int, but: str) -> None:
-    """Delete what was staged after ``staged_so_far`` said ``mark``, ``but`` for the result that was made of it."""
-    for path in _staged[mark:]:
-        if path != but:
+def staged_since(mark: int) -> list[str]:
+    """Paths staged after ``staged_so_far`` said ``mark``."""
+    return _staged[mark:]
+
+
+def forget(spark: SparkSession, paths: list[str], but: DataFrame) -> list[str]:
+    """Delete staged tables, save those that ``but`` still reads; these are returned."""
+    read = but.inputFiles()
+    needed = [p for p in paths if any(p.removeprefix("file://") in f for f in read)]
+    for path in paths:
+        if path not in needed:
             _delete(spark, path)
-    _staged[mark:] = [but]
+            _staged.remove(path)
+    return needed
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

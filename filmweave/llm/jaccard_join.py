@@ -103,7 +103,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             found = shingles(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([Sets.of(s) for s in found], pa.binary())], names=["doc_id", "n", "data"])
 
-    return text_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).mapInArrow(sets, "doc_id long, n long, data binary")
+    return text_rows(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")).mapInArrow(sets, "doc_id long, n long, data binary")
 
 
 def cells(nodes: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def mix(docs: DataFrame) -> DataFrame:
     known = known_rows(docs)
     taken = decide(sized_rows(known)).groupBy("row").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("same"))
     taken = stage(taken.where("copies > 0"), "mix-taken")
-    mixed = known.join(taken, "row")
+    mixed = known.join(taken.hint("merge"), "row")  # it grows with the documents: one plan at every size
     if taken.where("same > 1").limit(1).count():
         mixed = mixed.where("same = 1").unionByName(mixed.where("same > 1").dropDuplicates(["row"]))
     return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

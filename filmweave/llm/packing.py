@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filmweave.llm.common import documents, number_rows, stage, text_rows
-from filmweave.llm.tokens import encoder, place
+from filmweave.llm.tokens import encoder, place, together
 
 CAPACITY = 2048
 END_ID = 0
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, step = encoder(tokenizer_path, spaced), np.uint32(end_id).tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in together(batches, 1):
             rows: list[tuple] = []
             for doc_id, encoded in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 raw = encoded + end

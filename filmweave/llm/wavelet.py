@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from filmweave.llm.common import documents, fresh_path, stage, text_rows
-from filmweave.llm.tokens import encoder, place
+from filmweave.llm.tokens import encoder, place, together
 
 MAGIC = b"WVMX2\0\0\0"
 #: Bits between two stored counts of ones, and bytes of a plane in one compressed chunk.
@@ -80,9 +80,9 @@ class WaveletMatrix:
             bit = (now & now.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             ranks.append(cls._sampled(planes[-1]))
-            low = now[~bit]
+            low = np.compress(~bit, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, np.compress(bit, now)])
         return cls(len(ids), bits, planes, zeros, ranks)
 
     @staticmethod
@@ -208,9 +208,11 @@ class WaveletMatrix:
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[level][:], count=self.n, bitorder="little").view(bool)
-            up = np.empty_like(out)
-            up[~bit] = out[: self.zeros[level]]
-            up[bit] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
+            up, zeros = np.empty_like(out), self.zeros[level]
+            if zeros:
+                np.place(up, ~bit, out[:zeros])
+            if zeros < self.n:
+                np.place(up, bit, out[zeros:] | out.dtype.type(1 << (self.bits - 1 - level)))
             out = up
         return out
 
@@ -257,7 +259,7 @@ def encode_files(docs: DataFrame, out_dir: str, tokenizer_path: str, spaced: boo
             return pa.RecordBatch.from_pydict({"first": [first], "part": [part], "file": [path.rsplit("/", 1)[1]], "n_docs": [len(names)], "n_tokens": [total]}, schema=pa.schema([("first", pa.int64()), ("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         first = None
-        for batch in batches:
+        for batch in together(batches, 2):
             at, ids, encoded = batch.column(0).to_pylist(), batch.column(1).to_pylist(), encode(batch.column(2))
             for k in range(len(ids)):
                 raw = encoded[k] + end

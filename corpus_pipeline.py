@@ -15,26 +15,53 @@ their names, travel along; an empty table stays empty at every stage.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmweave.llm import jaccard_join, language_id, mixing, packing, weak_rules
-from filmweave.llm.common import drop_since, fresh_path, known_rows, stage, staged_so_far
+from filmweave.llm.common import forget, fresh_path, known_rows, stage, staged_since, staged_so_far
 from filmweave.llm.tokens import place
 from filmweave.session import prepare
 
+#: Tables that earlier stages staged and that may be read no more.
+_left: list[str] = []
+
+
+def _step(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage: when it begins its predecessor is written, so what that staged goes, unless ``docs`` still reads it.
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    What the last stage staged is read by its result, and stays.
+    """
+
+    @functools.wraps(work)
+    def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left[:] = forget(prepare(spark), _left, docs)
+        mark = staged_so_far()
+        out = work(docs)
+        if step is not STAGES[-1][1]:
+            _left.extend(staged_since(mark))
+        return out
+
+    return step
+
+
+@_step
+def quality_rules(docs: DataFrame) -> DataFrame:
     judged = weak_rules.judge(docs.select(F.struct("*").alias("doc"), "text"), carry=["doc"])
     return judged.where("kept").select("doc.*")
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_step
+def language(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("doc"), "text", "lang", "source")
     judged = language_id.identify(language_id.evidence_of_documents(rows, carry=["doc"]), language_id.train(docs), carry=["doc"])
     return judged.where("kept").select("doc.*")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_step
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of every component (five-word shingles, similarity 0.8)."""
     known = known_rows(docs)
     told = jaccard_join.join(known.select(F.col("row").alias("doc_id"), "doc.text"), words=5, percent=80)
@@ -42,17 +69,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = known.select("row", F.col("doc.doc_id").alias("id")).distinct()
     first = told.distinct().join(ids, "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.isnull("id"), "id", "row")).alias("row"))
     chosen = stage(told.join(first.select("row"), "row", "left_semi").groupBy("row").agg(F.count("*").alias("same")), "kept-rows")
-    kept = known.join(chosen, "row")
+    kept = known.join(chosen.hint("merge"), "row")  # it grows with the documents: one plan at every size
     if chosen.where("same > 1").limit(1).count():
         kept = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["row"]))
     return kept.select("doc.*")
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_step
+def mix_sources(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs)
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_step
+def pack_sequences(docs: DataFrame) -> DataFrame:
     return packing.pack(packing.pieces(docs, place("word_bpe_49k.json")))
 
 
@@ -69,15 +98,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again; what a stage staged goes when it is written."""
+    """All stages on ``documents``, each written as Parquet and read again."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, step) in enumerate(STAGES):
-        mark = staged_so_far()
         out = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = fresh_path(spark, f"stage-{k}")
             out.write.parquet(path)
             out = spark.read.schema(out.schema).parquet(path)
-            drop_since(spark, mark, path)
         docs = out
     return docs

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from filmweave.functions import text as T
 from filmweave.operators import infobox as I
+from filmweave.staging import stage
 
 # Words of section titles, and what stands for a page that has no such section.
 FILM_TITLES = ["phim", "film", "điện ảnh"]
@@ -24,7 +25,12 @@ def lines_of(text: Column) -> Column:
 
 def headings(text: Column) -> Column:
     """array(struct(line, level, title)) of a text's headings, lines from 0."""
-    told = F.transform(lines_of(text), lambda line, i: F.struct(i.alias("line"), T.heading(line).alias("h")))
+    return headings_of(lines_of(text))
+
+
+def headings_of(lines: Column) -> Column:
+    """The same from a text's lines; only lines with an equals sign are looked at closely."""
+    told = F.transform(lines, lambda line, i: F.struct(i.alias("line"), F.when(line.contains("="), T.heading(line)).alias("h")))
     return F.transform(F.filter(told, lambda x: x["h"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["h"]["level"].alias("level"), x["h"]["title"].alias("title")))
 
 
@@ -33,15 +39,18 @@ def _cut(lines: Column, start: Column, end: Column) -> Column:
     return T.strip(F.array_join(F.slice(lines, start + 2, F.greatest(end - start - 1, F.lit(0))), "\n"))
 
 
-def section(text: Column, first: list[str], last: list[str] = ()) -> Column:
-    """The level-2 section whose title has one of ``first`` (the first such), else one of ``last`` (the last such); else ''."""
-    second = F.filter(headings(text), lambda h: h["level"] == 2)
+def section(lines: Column, heads: Column, first: list[str], last: list[str] = ()) -> Column:
+    """The level-2 section whose title has one of ``first`` (the first such), else one of ``last`` (the last such); else ''.
+
+    ``lines`` and ``heads`` are ``lines_of`` and ``headings`` of the text, worked out once.
+    """
+    second = F.filter(heads, lambda h: h["level"] == 2)
     chosen = F.get(F.filter(second, lambda h: T.any_of(F.lower(h["title"]), first)), 0)
     if last:
         chosen = F.coalesce(chosen, F.try_element_at(F.filter(second, lambda h: T.any_of(F.lower(h["title"]), last)), F.lit(-1)))
     start = chosen["line"]
-    end = F.coalesce(F.get(F.filter(second, lambda h: h["line"] > start), 0)["line"], F.size(lines_of(text)))
-    return F.when(start.isNull(), "").otherwise(_cut(lines_of(text), start, end))
+    end = F.coalesce(F.get(F.filter(second, lambda h: h["line"] > start), 0)["line"], F.size(lines))
+    return F.when(start.isNull(), "").otherwise(_cut(lines, start, end))
 
 
 def main_link(section_text: Column) -> Column:
@@ -52,26 +61,34 @@ def main_link(section_text: Column) -> Column:
 
 def page_sections(facts: DataFrame) -> DataFrame:
     """Page facts with film_part, film_hop, cast_part, cast_hop: what each page alone says."""
-    text = F.coalesce("text", F.lit(""))
-    told = facts.withColumns({"film_part": section(text, FILM_TITLES, CAREER_TITLES), "cast_part": section(text, CAST_TITLES)})
-    return told.withColumns({"film_hop": main_link(F.col("film_part")), "cast_hop": main_link(F.col("cast_part"))})
+    read = facts.withColumn("_lines", lines_of(F.coalesce("text", F.lit(""))))
+    read = read.withColumn("_heads", headings_of(F.col("_lines")))
+    lines, heads = F.col("_lines"), F.col("_heads")
+    told = read.withColumns({"film_part": section(lines, heads, FILM_TITLES, CAREER_TITLES), "cast_part": section(lines, heads, CAST_TITLES)})
+    return told.withColumns({"film_hop": main_link(F.col("film_part")), "cast_hop": main_link(F.col("cast_part"))}).drop("_lines", "_heads")
 
 
 def _follow(told: DataFrame, part: str, hop: str, at_once: Column, first_only: Column) -> DataFrame:
     """(title, part): a part that hands over to an existing page is what that page says, up to MAX_DEPTH hops.
 
-    ``at_once``: result that ends the walk on any page, ``first_only``: on the first page; null if neither.
+    ``at_once``: result that ends the walk on any page, ``first_only``: on the first page; null if neither. What pages
+    say is staged, so a page is parsed once, and only rows that have a hop are joined at each depth.
     """
     page = told.select("title", F.col(part).alias("says"), F.col(hop).alias("to"), at_once.alias("stop"), first_only.alias("start_stop"), (F.coalesce("text", F.lit("")) != "").alias("full"))
-    next_ = page.select(F.col("title").alias("_t"), F.col("says").alias("_says"), F.col("to").alias("_to"), F.col("stop").alias("_stop")).where("full")
+    page = stage(page, part)
+    next_ = page.where("full").select(F.col("title").alias("_t"), F.col("says").alias("_says"), F.col("to").alias("_to"), F.col("stop").alias("_stop"))
     now = page.select("title", F.coalesce("stop", "start_stop", "says").alias("says"), F.when(F.coalesce("stop", "start_stop").isNull(), F.col("to")).alias("to"))
+    done, open_ = now.where("to is null"), now.where("to is not null")
     for depth in range(1, MAX_DEPTH + 2):
-        joined = now.join(next_, F.col("to") == F.col("_t"), "left")
+        if open_.isEmpty():
+            break
+        joined = open_.join(next_, F.col("to") == F.col("_t"), "left")
         hopped = F.col("_t").isNotNull()
         says = F.coalesce("_stop", F.col("_says") if depth <= MAX_DEPTH else F.lit(""))
         to = F.when(hopped & F.col("_stop").isNull(), F.col("_to")) if depth <= MAX_DEPTH else F.lit(None).cast("string")
-        now = joined.select("title", F.when(hopped, says).otherwise(F.col("says")).alias("says"), to.alias("to"))
-    return now.select("title", F.col("says").alias(part))
+        stepped = stage(joined.select("title", F.when(hopped, says).otherwise(F.col("says")).alias("says"), to.alias("to")), f"{part}-hops")
+        done, open_ = done.unionByName(stepped.where("to is null")), stepped.where("to is not null")
+    return done.select("title", F.col("says").alias(part))
 
 
 def film_sections(told: DataFrame) -> DataFrame:

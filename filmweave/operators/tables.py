@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as Y
 
 from filmweave.functions import text as T
 from filmweave.functions.wikitext import first_markup
@@ -46,6 +46,12 @@ def find_pipe(s: str) -> int:
     return next(top_level(s, "|"), -1)
 
 
+@F.pandas_udf(Y.IntegerType())
+def first_pipe(texts: pd.Series) -> pd.Series:
+    """Where the first top-level pipe stands, -1 if there is none."""
+    return texts.map(find_pipe, na_action="ignore").astype("Int32")
+
+
 def parse_span(token: str) -> tuple[int, int, str]:
     """(rowspan, colspan, data); all digits left of the first pipe count as one number."""
     left, _, right = token.strip().partition("|")

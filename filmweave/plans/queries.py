@@ -6,14 +6,17 @@ SQL states what was rendered, never how it is read.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filmweave.functions import text as T
-from filmweave.operators import cast, crawl, graph, infobox, lookup, predicates, records, sections, tables
+from filmweave.operators import cast, crawl, graph, infobox, lookup, network, predicates, records, sections, tables
 from filmweave.session import prepare
-from filmweave.sources import wiki
+from filmweave.sources import sinks, wiki
+from filmweave.staging import shared_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,38 +62,33 @@ def persons(spark, d) -> DataFrame:
 FILM = "concat(p_name, '#', p_partkey)"
 
 
-def films(spark, d) -> DataFrame:
-    credit = (
-        read(spark, d, "lineitem")
-        .join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select("l_partkey", "s_name", "l_linenumber", F.struct("l_orderkey", "l_linenumber").alias("at"))
-    )
-    actor = F.when(F.col("l_linenumber") != 1, F.struct("at", F.struct(F.col("s_name").alias("actor_name"), F.concat(F.lit("role "), "l_linenumber").alias("character")).alias("a")))
-    lead = F.when(F.col("l_linenumber") == 1, F.struct("at", F.col("s_name").alias("n")))
-    grouped = credit.groupBy("l_partkey").agg(F.array_sort(F.collect_list(actor)).alias("x"), F.array_sort(F.collect_list(lead)).alias("y"))
-    box = F.create_map(F.lit("tên phim"), F.col("p_name"))
-    return (
-        read(spark, d, "part")
-        .join(grouped, F.col("p_partkey") == F.col("l_partkey"), "left")
-        .select(F.expr(FILM).alias("film"), box.alias("infobox"), F.transform("x", lambda c: c["a"]).alias("actors"), F.transform("y", lambda c: c["n"]).alias("director"))
-    )
+def works(spark, d) -> DataFrame:
+    return read(spark, d, "part").select(F.expr(FILM).alias("film"), F.create_map(F.lit("tên phim"), F.col("p_name")).alias("infobox"))
+
+
+def credits(spark, d) -> DataFrame:
+    """Every line of an order is a credit: first lines direct, later orders come later."""
+    line = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    role = F.when(F.col("l_linenumber") != 1, F.concat(F.lit("role "), "l_linenumber"))
+    return line.select(F.col("s_name").alias("person"), F.expr(FILM).alias("film"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_linenumber") == 1).alias("is_director"), role.alias("character"))
 
 
 def credits_graph(spark, d):
-    people, works = persons(spark, d), films(spark, d)
-    all_nodes = graph.nodes(people, works)
-    made = graph.attempts(works, all_nodes)
-    return all_nodes, made, graph.edges(made)
+    """(people, works, credits, edges); the edges are staged, since everything else reads them."""
+    people, films = persons(spark, d), works(spark, d)
+    made = graph.attempts(credits(spark, d), graph.names_of(people, films))
+    return people, films, made, stage(graph.edges(made), "edges")
 
 
 def pairs_of(spark, d) -> DataFrame:
-    all_nodes, _, all_edges = credits_graph(spark, d)
-    return graph.collaborations(all_nodes, all_edges)
+    people, films, _, all_edges = credits_graph(spark, d)
+    return graph.collaborations(graph.nodes(people, films), all_edges)
 
 
 @query(EDGES)
 def bipartite_edges(spark, d):
-    return credits_graph(spark, d)[2]
+    people, films = persons(spark, d), works(spark, d)
+    return graph.edges(graph.attempts(credits(spark, d), graph.names_of(people, films)))
 
 
 @query(PAIRS + "SELECT * FROM pair")
@@ -105,12 +103,12 @@ def collab_weight(spark, d):
 
 @query(f"WITH person AS ({PEOPLE}) SELECT a.name AS p1, b.name AS p2, a.school FROM person a JOIN person b ON a.school = b.school AND a.name < b.name")
 def same_school_pairs(spark, d):
-    return graph.shared_pairs(graph.people_of(graph.nodes(persons(spark, d), films(spark, d))), "school").select("p1", "p2", "school")
+    return graph.shared_pairs(graph.people_of(graph.nodes(persons(spark, d), works(spark, d))), "school").select("p1", "p2", "school")
 
 
 @query(f"WITH person AS ({PEOPLE}) SELECT a.name AS p1, b.name AS p2, a.place FROM person a JOIN person b ON a.place = b.place AND a.name < b.name")
 def same_location_pairs(spark, d):
-    return graph.shared_pairs(graph.people_of(graph.nodes(persons(spark, d), films(spark, d))), "place").select("p1", "p2", "place")
+    return graph.shared_pairs(graph.people_of(graph.nodes(persons(spark, d), works(spark, d))), "place").select("p1", "p2", "place")
 
 
 @query(
@@ -120,11 +118,9 @@ def same_location_pairs(spark, d):
   UNION ALL SELECT 'collaboration_nodes', count(*) FROM supplier UNION ALL SELECT 'collaboration_edges', count(*) FROM pair"""
 )
 def node_counts(spark, d):
-    all_nodes, made, all_edges = credits_graph(spark, d)
-    return graph.counts(all_nodes, made, all_edges, graph.collaborations(all_nodes, all_edges))
-
-
-ORDERED = "SELECT DISTINCT c_name AS person, o_orderpriority AS film FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 400000"
+    people, films, made, all_edges = credits_graph(spark, d)
+    all_nodes = graph.nodes(people, films)
+    return graph.counts(all_nodes, made, all_edges, graph.collaborations(all_nodes, all_edges).select("p1"))
 
 
 def _alone(spark, d, orders: DataFrame) -> DataFrame:
@@ -133,18 +129,12 @@ def _alone(spark, d, orders: DataFrame) -> DataFrame:
     return graph.alone(people, edge)
 
 
-@query(f"WITH e AS ({ORDERED}) SELECT c_name AS name FROM customer WHERE c_name NOT IN (SELECT person FROM e)")
-def isolated_persons(spark, d):
-    """Customers without a large order in common with anyone: links by priority of large orders."""
-    return _alone(spark, d, read(spark, d, "orders").where("o_totalprice > 400000"))
-
-
 @query(
     """WITH e AS (SELECT DISTINCT c_name AS person, o_orderpriority AS film FROM customer JOIN orders ON c_custkey = o_custkey),
   shared AS (SELECT film FROM e GROUP BY film HAVING count(*) > 1)
   SELECT c_name AS name FROM customer WHERE c_name NOT IN (SELECT person FROM e JOIN shared USING (film))"""
 )
-def isolated_persons_all(spark, d):
+def isolated_persons(spark, d):
     """Customers without any order's priority in common with anyone."""
     return _alone(spark, d, read(spark, d, "orders"))
 
@@ -152,35 +142,9 @@ def isolated_persons_all(spark, d):
 # -- crawl, redirects, pages ----------------------------------------------------
 
 
-def _sparse(spark, d) -> DataFrame:
-    return read(spark, d, "lineitem").where("l_quantity >= 44").select(F.col("l_partkey").cast("string").alias("name"), F.col("l_orderkey").cast("string").alias("film"), F.col("l_linenumber").alias("pos"))
-
-
-BFS = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS f FROM lineitem WHERE l_quantity >= 44),
-  b AS (SELECT p_partkey AS p, 0 AS level FROM part WHERE p_partkey < 5 UNION
-        SELECT y.p, b.level + 1 FROM b JOIN e x ON b.p = x.p JOIN e y ON x.f = y.f WHERE b.level < 3),
-  person AS (SELECT p, min(level) AS level FROM b GROUP BY p) """
-
-
-def _crawled(spark, d):
-    sparse = _sparse(spark, d)
-    seeds = read(spark, d, "part").where("p_partkey < 5").select(F.col("p_partkey").cast("string").alias("name"))
-    casts = sparse.select("film", "pos", F.col("name").alias("actor"), F.lit(False).alias("nested"))
-    return crawl.crawl(seeds, sparse.select("name", "film"), casts, full_frontier=True)
-
-
-@query(BFS + "SELECT p::VARCHAR AS name, level FROM person")
-def bfs_levels(spark, d):
-    return _crawled(spark, d)[0].select("name", "level")
-
-
-@query(BFS + "SELECT f::VARCHAR AS film, min(level) AS level FROM person JOIN e ON person.p = e.p GROUP BY 1")
-def crawl_films(spark, d):
-    return _crawled(spark, d)[1].select("film", "level")
-
-
+#: The crawl's seed list.
 SEEDS = "p_partkey < 5"
-BFS_ALL = f"""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS f FROM lineitem),
+BFS = f"""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS f FROM lineitem),
   b AS (SELECT p_partkey AS p, 0 AS level FROM part WHERE {SEEDS} UNION
         SELECT y.p, b.level + 1 FROM b JOIN e x ON b.p = x.p JOIN e y ON x.f = y.f WHERE b.level < 3),
   person AS (SELECT p, min(level) AS level FROM b GROUP BY p) """
@@ -206,13 +170,13 @@ def crawl_credits(spark, d, seeds: str = SEEDS, full_frontier: bool = True):
     return crawl.crawl(start, credit.select("name", "film"), casts, full_frontier=full_frontier)
 
 
-@query(BFS_ALL + "SELECT p::VARCHAR AS name, level FROM person")
-def bfs_levels_all(spark, d):
+@query(BFS + "SELECT p::VARCHAR AS name, level FROM person")
+def bfs_levels(spark, d):
     return crawl_credits(spark, d)[0].select("name", "level")
 
 
-@query(BFS_ALL + "SELECT f::VARCHAR AS film, min(level) AS level FROM person JOIN e ON person.p = e.p GROUP BY 1")
-def crawl_films_all(spark, d):
+@query(BFS + "SELECT f::VARCHAR AS film, min(level) AS level FROM person JOIN e ON person.p = e.p GROUP BY 1")
+def crawl_films(spark, d):
     return crawl_credits(spark, d)[1].select("film", "level")
 
 
@@ -438,3 +402,186 @@ def film_fields(spark, d):
 def unique_ordered(spark, d):
     rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("f")))).alias("x"))
     return rows.select("l_orderkey", F.array_join(sections.ordered_distinct(F.transform("x", lambda r: r["f"])), ",").alias("flags"))
+
+
+# -- reading and writing ----------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/queries/{uuid.uuid4().hex}"
+
+
+@query("SELECT s_name AS seed FROM supplier")
+def seeds_read(spark, d):
+    """A seed list with blank lines and blanks around the names."""
+    path = _folder(spark)
+    read(spark, d, "supplier").select(F.explode(F.array(F.concat(F.lit("  "), "s_name", F.lit("\t")), F.lit(" "))).alias("value")).write.text(path)
+    return wiki.read_seeds(spark, path)
+
+
+@query("SELECT p_name || '#' || p_partkey AS title, CASE p_size % 3 WHEN 0 THEN ' ' || p_type || chr(10) || p_brand WHEN 2 THEN '' END AS text FROM part")
+def dump_pages(spark, d):
+    """A dump with full, empty (null) and missing ('') texts."""
+    path = _folder(spark)
+    body = r"case p_size % 3 when 0 then concat('<text> ', p_type, '\n', p_brand, '</text>') when 1 then '<text/>' else '' end"
+    line = F.expr(f"concat('<page><title>', {FILM}, '</title><revision>', {body}, '</revision></page>')")
+    pages = read(spark, d, "part").select(line.alias("value"), F.lit(1).alias("at"))
+    root = spark.createDataFrame([("<mediawiki>", 0), ("</mediawiki>", 2)], "value string, at int")
+    pages.unionByName(root).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)  # a dump is one file with one root
+    return wiki.read_pages(spark, path).select("title", "text")
+
+
+@query("SELECT 'line' AS what, n_name AS said FROM nation WHERE n_nationkey < 4 UNION ALL SELECT 'preview', substring(repeat(n_name, 90), 1, 300) FROM nation WHERE n_nationkey < 3")
+def first_looks(spark, d):
+    """The first raw lines of a file, and the start of the first pages."""
+    path, nations = _folder(spark), read(spark, d, "nation").orderBy("n_nationkey")
+    nations.select("n_name").coalesce(1).write.text(path)
+    pages = nations.select(F.col("n_name").alias("title"), F.repeat("n_name", F.lit(90)).alias("text"))
+    lines = wiki.first_lines(spark, path, 4).select(F.lit("line").alias("what"), F.col("value").alias("said"))
+    return lines.unionByName(wiki.preview(pages, 3).select(F.lit("preview").alias("what"), F.col("text").alias("said")))
+
+
+@query("SELECT sink, n_name AS name FROM nation, (VALUES ('json'), ('pretty'), ('records'), ('text')) AS t(sink) UNION ALL SELECT 'stamp', 'dd-MM-yyyy_HH-mm-ss'")
+def sinks_roundtrip(spark, d):
+    """Names written by every sink and read back, and the form of an automatic file name."""
+    names = read(spark, d, "nation").select(F.col("n_name").alias("name"))
+    folder = _folder(spark)
+    told = lambda df, sink: df.select(F.lit(sink).alias("sink"), F.col("name"))
+    text = told(spark.read.text(sinks.save_text(names, folder, "text")).withColumnRenamed("value", "name"), "text")
+    json = told(spark.read.schema("name string").json(sinks.save_json(names, folder, auto=True)), "json")
+    pretty = told(sinks.pretty_json(names).select(F.get_json_object("json", "$.name").alias("name")), "pretty")
+    rows, columns = sinks.records(names)
+    kept = told(spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], "name string"), "records")
+    stamp = spark.createDataFrame([("stamp", sinks.STAMP if re.fullmatch(r"\d\d-\d\d-\d{4}_\d\d-\d\d-\d\d", sinks.stamp_name(spark)) else "")], "sink string, name string")
+    return text.unionByName(json).unionByName(pretty).unionByName(kept).unionByName(stamp)
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS text FROM lineitem JOIN part ON l_partkey = p_partkey")
+def title_lookup(spark, d):
+    """Texts by title; titles without a page read ''."""
+    pages = read(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").cast("string").alias("title"), F.col("p_name").alias("text"))
+    asked = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("title"))
+    return lookup.lookup(asked, pages).drop("title")
+
+
+# -- more of boxes, tables and scalars --------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name || ', Việt Nam' AS made, '1990-0' || (p_size % 9 + 1) || '-07' AS born, p_type || ', x' AS said FROM part")
+def infobox_display(spark, d):
+    """Infobox values as they are shown: labels, countries, dates, no markup."""
+    entry = """map('made', concat('[[x|', p_name, ']], {{VIE}}{{z}}'), 'born', concat('{{birth date|1990|', p_size % 9 + 1, '|7}}'), 'said', concat("'''", p_type, "'''<br/>x<ref>q</ref>"))"""
+    boxes = infobox.clean_infoboxes(read(spark, d, "part").select(F.col("p_partkey").alias("title"), F.expr(entry).alias("infobox")))
+    get = lambda k: F.try_element_at("infobox", F.lit(k)).alias(k)
+    return boxes.select(F.col("title").alias("p_partkey"), get("made"), get("born"), get("said"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'vn' WHEN 1 THEN 'not_vn' ELSE 'unknown' END AS status, p_size % 3 <> 1 AS kept, 'đạo diễn không có wikilink' AS director_status FROM part"""
+)
+def film_without_country(spark, d):
+    """Films by country, else by language; without either they may count; a director without a link."""
+    told = "case p_size % 3 when 0 then '|language=Tiếng Việt' when 1 then '|country=Mỹ|language=tiếng Việt' else '|language=Pháp' end"
+    pages = read(spark, d, "part").select("p_partkey", F.expr(FILM).alias("title"), F.expr(f"concat('{{{{Infobox film|director=', p_brand, {told}, '}}}}')").alias("text"))
+    status = predicates.vn_film_status(F.col("title"), F.col("kind"), F.col("infobox"))
+    return infobox.page_facts(pages).select("p_partkey", status.alias("status"), predicates.keeps_film(status).alias("kept"), "director_status")
+
+
+@query("SELECT p_partkey, (length(p_name) + 14)::INTEGER AS pipe, -1 AS none, p_name || ' (' || (1950 + p_size) || ')' AS spouse, p_size || 'm' AS height, p_brand AS bare FROM part")
+def scalar_readings(spark, d):
+    """The first pipe outside links and templates, marriages, heights, names without apostrophes."""
+    text = "concat('[[a|b]]{{c|d}}', p_name, '|rest')"
+    marriage = "concat('{{marriage|[[', p_name, ']]|cưới ', 1950 + p_size, '}}')"
+    return read(spark, d, "part").select(
+        "p_partkey", tables.first_pipe(F.expr(text)).alias("pipe"), tables.first_pipe(F.expr("concat('[[', p_name, '|x]]')")).alias("none"), T.clean_text(F.expr(marriage)).alias("spouse"),
+        T.height(F.expr("array('ft=5', concat('cm=', p_size))")).alias("height"), T.without_marks(F.expr("concat(' \\'', p_brand, '\\' ')")).alias("bare"),
+    )
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, 'o' || l_orderkey AS a, l_returnflag AS b, 'p' || l_partkey AS c, 'p' || l_partkey AS d FROM lineitem WHERE l_linenumber % 2 = 1
+  UNION ALL SELECT l_orderkey, l_linenumber, 'o' || l_orderkey, l_returnflag, l_linestatus, 'q' || l_partkey FROM lineitem WHERE l_linenumber % 2 = 0"""
+)
+def wide_table_roundtrip(spark, d):
+    """A table of two header rows: one cell spans all rows, another header spans two columns, and so do cells of every other row."""
+    cells = "if(l_linenumber % 2 = 1, concat('| colspan=\"2\" | p', l_partkey), concat('| ', l_linestatus, ' || q', l_partkey))"
+    line = F.expr(rf"concat('| ', l_returnflag, '\n', {cells}, '\n')")
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("s"), "l_partkey"))).alias("x"))
+    head = r"""concat('{| class="wikitable"\n! rowspan="2" | a\n! rowspan="2" | b\n! colspan="2" | z\n|-\n! c\n! d\n|-\n| rowspan="', size(x), '" | o', l_orderkey, '\n')"""
+    body = F.array_join(F.transform("x", lambda r: r["s"]), "|-\n")
+    text = lines.select(F.col("l_orderkey").cast("string").alias("title"), F.transform("x", lambda r: r["l_linenumber"]).alias("numbers"), F.concat(F.expr(head), body, F.lit("|}")).alias("wikitext"))
+    rows = tables.table_rows(text.select("title", F.lit(0).alias("section_no"), F.lit("Phim").alias("section"), "wikitext")).join(text.select("title", "numbers"), "title")
+    get = lambda k: F.element_at("cells", k).alias(k)
+    return rows.select(F.col("title").cast("long").alias("l_orderkey"), F.get("numbers", F.col("row_no")).alias("l_linenumber"), get("a"), get("b"), get("c"), get("d"))
+
+
+# -- the whole run: pages rendered from credits, crawled from a seed list -----------------
+
+SEED_PEOPLE = "s_nationkey < 3"
+
+
+def network_pages(spark, d) -> DataFrame:
+    """Parts as film pages with a cast, suppliers as people with a table of the parts of their first lines, aliases of people."""
+    credit = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    roles = credit.groupBy("l_partkey", "s_name").agg(F.min("l_linenumber").alias("n")).groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("s_name", "n"))).alias("x"))
+    country = "case p_size % 3 when 0 then '|quốc gia=Việt Nam' when 1 then '|quốc gia=Mỹ' else '' end"
+    cast_items = r"array_join(transform(x, c -> concat('* [[', c.s_name, '|z]] vai role ', c.n, '.\n')), '')"
+    film_text = rf"concat('{{{{Infobox film|tên phim=', p_name, {country}, '}}}}\n== Diễn viên ==\n', coalesce({cast_items}, ''), '== Khác ==\n')"
+    film_pages = read(spark, d, "part").join(roles, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.expr(FILM).alias("title"), F.expr(film_text).alias("text"))
+    listed = credit.where("l_linenumber = 1").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("s_suppkey").agg(F.sort_array(F.collect_set(F.expr(FILM))).alias("y"))
+    home = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = read(spark, d, "supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey")).join(listed, "s_suppkey", "left")
+    column = "case s_suppkey % 3 when 0 then 'Tựa đề' when 1 then 'Tên phim' else 'Phim' end"
+    rows = r"array_join(transform(y, f -> concat('|-\n|1990||[[', f, ']]\n')), '')"
+    person_text = rf"concat('{{{{Thông tin nghệ sĩ|tên=', s_name, '|nghề nghiệp=Diễn viên|học vấn=[[', n_name, ']]|nơi sinh=', r_name, '}}}}\n== Phim ==\n{{|\n!Năm!!', {column}, '\n', coalesce({rows}, ''), '|}}\n')"
+    person_pages = people.select(F.col("s_name").alias("title"), F.expr(person_text).alias("text"))
+    aliases = read(spark, d, "supplier").select(F.expr("concat('alias ', s_suppkey)").alias("title"), F.expr("concat('#đổi [[', s_name, ']]')").alias("text"))
+    return film_pages.unionByName(person_pages).unionByName(aliases)
+
+
+NETWORK = (
+    f"""WITH kept AS (SELECT p_partkey AS p, p_name || '#' || p_partkey AS film, p_size FROM part WHERE p_size % 3 <> 1),
+  listed AS (SELECT DISTINCT s_name AS name, s_suppkey % 3 AS kind, film FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN kept ON l_partkey = p WHERE l_linenumber = 1),
+  played AS (SELECT DISTINCT film, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN kept ON l_partkey = p),
+  lead AS (SELECT film, min(name) AS name FROM played GROUP BY 1),
+  p0 AS (SELECT s_name AS name, 0 AS level FROM supplier WHERE {SEED_PEOPLE}),
+  f0 AS (SELECT DISTINCT film, 0 AS level FROM listed JOIN p0 USING (name))"""
+    + "".join(
+        f""", p{k + 1} AS (SELECT * FROM p{k} UNION ALL SELECT DISTINCT name, {k + 1} FROM played JOIN f{k} USING (film) WHERE name NOT IN (SELECT name FROM p{k})
+    AND EXISTS (SELECT 1 FROM lead JOIN f{k} USING (film) WHERE lead.name NOT IN (SELECT name FROM p{k}))),
+  f{k + 1} AS (SELECT * FROM f{k} UNION ALL SELECT DISTINCT film, {k + 1} FROM listed JOIN p{k + 1} USING (name) WHERE p{k + 1}.level = {k + 1} AND kind < 2 AND film NOT IN (SELECT film FROM f{k}))"""
+        for k in range(3)
+    )
+    + """, edge AS (SELECT film, name FROM played WHERE film IN (SELECT film FROM f3) AND name IN (SELECT name FROM p3)) """
+)
+
+
+def _network(spark, d):
+    seeds = read(spark, d, "supplier").where(SEED_PEOPLE).select(F.col("s_name").alias("name"))
+    return network.build(network_pages(spark, d), seeds)
+
+
+@query(
+    NETWORK
+    + """SELECT p3.name AS id, 'person' AS type, level, n_name AS school, r_name AS place, NULL AS country, (SELECT count(*) FROM edge WHERE edge.name = p3.name) AS degree,
+    (SELECT count(*) FROM listed WHERE listed.name = p3.name AND (p3.level = 0 OR kind < 2)) AS listed
+  FROM p3 JOIN supplier ON p3.name = s_name JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT f3.film, 'film', level, NULL, NULL, CASE WHEN p_size % 3 = 0 THEN 'Việt Nam' END, (SELECT count(*) FROM edge WHERE edge.film = f3.film), 0 FROM f3 JOIN kept USING (film)"""
+)
+def network_nodes(spark, d):
+    """Every node of the whole run, from wikitext to records: level, fields, and number of edges."""
+    made = _network(spark, d)
+    edges = stage(made.edges, "network-edges")
+    degree = edges.groupBy(F.col("person").alias("id")).count().unionByName(edges.groupBy(F.col("film").alias("id")).count())
+    levels = made.persons.select(F.col("name").alias("id"), "level", F.size("films").cast("long").alias("listed")).unionByName(made.films.select(F.col("film").alias("id"), "level", F.lit(0).cast("long").alias("listed")))
+    nodes = made.nodes.join(levels, "id").join(degree, "id", "left")
+    get = lambda c, k: F.try_element_at(c, F.lit(k))
+    return nodes.select("id", "type", "level", get("info", "education").alias("school"), get("info", "birth_place").alias("place"), get("infobox", "country").alias("country"), F.coalesce("count", F.lit(0)).alias("degree"), "listed")
+
+
+@query(NETWORK + "SELECT edge.film, string_agg(edge.name, '|' ORDER BY edge.name) AS people, count(*) AS n FROM edge GROUP BY 1")
+def film_neighbours(spark, d):
+    """Who is credited in each film of the whole run; the edges are kept as a table and read again."""
+    folder = _folder(spark)
+    graph.save(folder, edges=_network(spark, d).edges)
+    return graph.neighbours(graph.load(spark, folder, "edges")).select("film", F.array_join("people", "|").alias("people"), F.size("people").cast("long").alias("n"))

@@ -93,14 +93,35 @@ def test_row_cast(spark):
     assert [tuple(x) for x in one(spark, cast.row_cast(F.col("s")), s=row)] == [("Lương Thế Thành", "thiện")]
 
 
-def test_prose_cast():
-    text = "*\n[[Trần Nghĩa (diễn viên)|Trần Nghĩa]]\n vai Ngạn:\n<ref>{{Chú thích web|vai=x}}</ref> Chàng trai\n\n* Lan trong vai Hà, cô gái\n* không"
-    assert cast.prose_cast(text) == [{"actor_name": "Trần Nghĩa diễn viên", "character": "Ngạn"}, {"actor_name": "Lan", "character": "Hà"}]
+PROSE = "*\n[[Trần Nghĩa (diễn viên)|Trần Nghĩa]]\n vai Ngạn:\n<ref>{{Chú thích web|vai=x}}</ref> Chàng trai\n\n* Lan trong vai Hà, cô gái\n* không"
 
 
-def test_list_cast():
-    text = "x {{cast list|\n* [[A|b]] vai ''C''\n* Lê D vai ''E''<ref>x</ref>\n* [[F]] vai G}}"
-    assert cast.list_cast(text) == [{"actor_name": "A", "character": "C"}, {"actor_name": "Lê D", "character": "E"}, {"actor_name": "F", "character": None}]
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (PROSE, [("Trần Nghĩa diễn viên", "Ngạn"), ("Lan", "Hà")]),
+        ("* [[A]] VAI 'B' \"c\". d", [("A", "B c")]),
+        ("* Phim gồm [[A|x]] vai B", [("A", "B")]),
+        ("* cùng Lê Văn Đ vai E", [("Lê Văn Đ", "E")]),
+        ("* và Y vai Z<ref name=a/>, w", [("Y", "Z")]),
+        ("* [[A]] vai C Cùng một số diễn viên khác", [("A", "C")]),
+        ("* vai C", []),
+        ("* [[A]] là B", []),
+        ("x [[A]] vai B * [[C]] vai D", [("A", "B"), ("C", "D")]),
+        ("", []),
+    ],
+)
+def test_prose_cast(spark, text, want):
+    assert [tuple(x) for x in one(spark, cast.prose_cast(F.col("s")), s=text)] == want
+
+
+def test_prose_cast_keeps_parentheses(spark):
+    assert [tuple(x) for x in one(spark, cast.prose_cast(F.col("s"), keep_parentheses=True), s=PROSE)][0] == ("Trần Nghĩa (diễn viên)", "Ngạn")
+
+
+def test_list_cast(spark):
+    text = "x {{cast list|\n* [[A|b]] vai ''C''\n* Lê D vai ''E''<ref>x</ref>\n* [[F]] vai G\n* {{x}} vai ''H''}} {{a|{{cast list|* [[N]] vai ''O''}}}}"
+    assert [tuple(x) for x in one(spark, cast.list_cast(W.templates("s")), s=text)] == [("A", "C"), ("Lê D", "E"), ("F", None), (None, "H")]
 
 
 @pytest.mark.parametrize(

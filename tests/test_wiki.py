@@ -3,7 +3,7 @@
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from filmweave.operators import cast, crawl, graph, infobox, lookup, predicates, records, sections, tables
+from filmweave.operators import cast, crawl, graph, infobox, lookup, network, predicates, records, sections, tables
 from filmweave.plans import queries
 from filmweave.sources import sinks, wiki
 from filmweave.streaming.pages import fact_stream
@@ -129,7 +129,7 @@ def test_graph(spark):
     films = spark.createDataFrame([("f", {}, [(" a ", "x"), ("a", "y"), ("b", "z"), ("no", "q")], ["b", "no"]), ("g", {}, [("a", "w"), ("f", "v")], [])], "film string, infobox map<string,string>, actors array<struct<actor_name string, character string>>, director array<string>")
     nodes = graph.nodes(people, films)
     assert {r["id"]: r["type"] for r in nodes.collect()} == {"a": "person", "b": "person", "c": "person", "f": "film", "g": "film"}
-    made = graph.attempts(films, nodes)
+    made = graph.attempts(graph.credits_of(films), graph.names_of(people, films))
     edges = graph.edges(made)
     assert {(r["person"], r["film"]): (r["role"], r["character"]) for r in edges.collect()} == {("a", "f"): ("actor", "y"), ("b", "f"): ("director", "z"), ("a", "g"): ("actor", "w"), ("f", "g"): ("actor", "v")}
     pairs = graph.collaborations(nodes, edges).collect()
@@ -157,6 +157,40 @@ def test_crawl_of_all_credits(spark):
         assert {int(r["film"]): r["level"] for r in got[1].collect()} == films and len(films) > 1000
 
 
+PAGES = {
+    "seed": "{{nghệ sĩ|tên=S|nghề nghiệp=Diễn viên}}\n== Phim ==\n{|\n!Năm!!Phim\n|-\n|1||[[f]]\n|-\n|2||[[f alias]]\n|-\n|3||[[foreign]]\n|-\n|4||\n|}",
+    "f": "{{Infobox film|tên phim=F|đạo diễn=[[boss]]}}\n== Diễn viên ==\n* [[seed]] vai A.\n* [[new (ca sĩ)]] vai B.",
+    "f alias": "#đổi [[f]]",
+    "foreign": "{{Infobox film|tên phim=X|quốc gia=Mỹ}}",
+    "new (ca sĩ)": "{{nghệ sĩ|nghề nghiệp=Diễn viên}}\n== Phim ==\n{|\n!Năm!!Tên phim!!x\n|-\n|1||[[g]]||y\n|}",
+    "g": "{{Infobox film|tên phim=G}}\n== Diễn viên ==\n{|\n|-\n|''R''\n|[[last]]\n|}",
+    "boss": "{{nghệ sĩ|nghề nghiệp=nhà làm phim}}",
+}
+
+
+def test_network_options(spark):
+    """Each option of the whole run against what it changes on a handful of pages."""
+    pages = spark.createDataFrame([*PAGES.items()], "title string, text string")
+    seeds = spark.createDataFrame([("seed",)], ["name"])
+
+    def run(**options):
+        made = network.build(pages, seeds, **options)
+        level = lambda df, c: {r[c]: r["level"] for r in df.collect()}
+        return level(made.persons, "name"), level(made.films, "film"), {(r["person"], r["film"]) for r in made.edges.collect()}
+
+    # every film's first actor is the seed: nothing grows; an alias is a film of its own; a foreign film isn't kept
+    assert run() == ({"seed": 0}, {"f": 0, "f alias": 0}, {("seed", "f"), ("seed", "f alias")})
+    # the cast's name lost its parentheses, so its page isn't found
+    people, films, _ = run(full_frontier=True)
+    assert people == {"seed": 0, "new ca sĩ": 1} and set(films) == {"f", "f alias"}
+    people, films, edges = run(full_frontier=True, keep_parentheses=True, canonicalize=True)
+    assert people == {"seed": 0, "new (ca sĩ)": 1} and films == {"f": 0, "g": 1} and ("new (ca sĩ)", "f") in edges
+    # casts from tables lead on only if they are flattened, directors only if asked for
+    assert "last" in run(full_frontier=True, keep_parentheses=True, flatten_table_cast=True)[0]
+    people, _, edges = run(full_frontier=True, directors_lead=True)
+    assert people["boss"] == 1 and ("boss", "f") in edges
+
+
 def test_alone_makes_no_pairs(spark):
     people = spark.createDataFrame([(x, "person", {}) for x in "abcd"] + [("f", "film", {})], "id string, type string, info map<string,string>")
     edges = spark.createDataFrame([("a", "f"), ("b", "f"), ("b", "f"), ("c", "g"), ("c", "g"), ("a", "h"), ("other", "g")], "person string, film string")

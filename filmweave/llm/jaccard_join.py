@@ -45,7 +45,7 @@ from filmweave.llm.regions import Sets, Sketches, region_links
 from filmweave.llm.words import shingles
 
 #: Members of a cell and shingles of a region that one task takes; documents of the frequency sample; sample count of a frequent shingle.
-CELL_ROWS, REGION_SHINGLES, SAMPLE, FREQUENT = 4096, 4_000_000, 4096, 4
+CELL_ROWS, REGION_SHINGLES, SAMPLE, FREQUENT = 4096, 2_000_000, 4096, 4
 
 def least_overlap(n, percent: int):
     """ceil(percent / 100 * n): shingles of a set of ``n`` that a partner must share."""

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from filmweave.llm.common import BROADCAST_ROWS, documents, maybe_broadcast, stage, text_rows
-from filmweave.llm.words import gram_hashes, spell, words_of
+from filmweave.llm.words import gram_hashes, in_parts, spell, words_of
 from filmweave.session import prepare
 
 #: Texts of a declared language in the sample; share of documents that declare a language, at least; trigram buckets; independent trigrams of a text at most.
@@ -70,6 +70,11 @@ class TrigramModel:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(summed log likelihoods [text, language], trigrams) of texts."""
+        parts = [self._part(part) for part in in_parts(texts)]
+        none = (np.zeros((0, len(self.languages))), np.zeros(0, np.int64))
+        return tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
+
+    def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = words_of(texts, ascii_only=False)
         bucket, owner = trigrams(words.distinct)
         size = len(words.distinct)

@@ -19,7 +19,8 @@ ways; every vector is indexed. Recall against brute force is measured in the tes
 
 Defined results: null and zero vectors, vectors with null or non-finite
 components or of another than the most frequent dimension, and null ids take no
-part; ties go to the smaller id; repeated ids count once; an empty table, or one
+part; ties go to the smaller id; of vectors that share an id the least in order
+counts; other columns, whatever their names, are not read; an empty table, or one
 without queries, gives an empty table; with fewer candidates all come back.
 """
 
@@ -64,7 +65,7 @@ def usable(vectors: DataFrame, id_: str = "vec_id", column: str = "embedding") -
         "id is not null and x is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity')) and exists(x, c -> c <> 0)"
     )
     sizes = clean.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    clean = clean.where(F.size("x") == (sizes[0]["d"] if sizes else 0)).dropDuplicates(["id"])
+    clean = clean.where(F.size("x") == (sizes[0]["d"] if sizes else 0)).groupBy("id").agg(F.min("x").alias("x"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

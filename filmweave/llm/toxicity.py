@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filmweave.llm.common import documents, fold, sample_labels, text_rows
-from filmweave.llm.words import gram_hashes, spell, words_of
+from filmweave.llm.words import gram_hashes, in_parts, spell, words_of
 from filmweave.session import prepare
 
 #: Labelled texts of a class; hash buckets (a power of two); vector size; n-gram lengths; passes; texts in a step; learning rate.
@@ -53,6 +53,10 @@ def gram_means(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text, buckets and their weights in its vector."""
+    return [bag for part in in_parts(texts) for bag in _bags(part)]
+
+
+def _bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     words = words_of(texts, ascii_only=False)
     bucket, owner, weight = gram_means(words.distinct)
     order = np.argsort(owner, kind="stable")
@@ -125,9 +129,11 @@ class SubwordModel:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of the toxic class for every text."""
-        words = words_of(texts, ascii_only=False)
-        mean = words.sums(self.pulls(words.distinct)) / np.maximum(words.sizes, 1)
-        return 1 / (1 + np.exp(-np.clip(self.bias + mean, -30, 30)))
+        means = [np.zeros(0)]
+        for part in in_parts(texts):
+            words = words_of(part, ascii_only=False)
+            means.append(words.sums(self.pulls(words.distinct)) / np.maximum(words.sizes, 1))
+        return 1 / (1 + np.exp(-np.clip(self.bias + np.concatenate(means), -30, 30)))
 
 
 def train(docs: DataFrame, picked: list[tuple[int, int]], share: float | None = None) -> SubwordModel:

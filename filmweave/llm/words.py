@@ -6,12 +6,16 @@ is remembered between batches: memory is bounded by the batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text whose words are told apart together.
+PART = 1 << 19
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -58,6 +62,20 @@ def words_of(texts: pa.Array, ascii_only: bool) -> Words:
     return Words(coded.dictionary, coded.indices.to_numpy().astype(np.int64), ends.astype(np.int64))
 
 
+def in_parts(texts: pa.Array, size: int = PART) -> Iterator[pa.Array]:
+    """Runs of texts of about ``size`` bytes, so that what is made of a run stays small; a longer text is a run of its own.
+
+    Arrow's pool is emptied after each run: workers live on between tasks and would keep what one run needed at most.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, side="right")))
+        yield texts.slice(first, last - first)
+        first = last
+        pa.default_memory_pool().release_unused()
+
+
 def spell(words: pa.Array, before: str, after: str, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(code points, sizes) of ``before + word + after``; code points in ``without`` are left out of the words."""
     marked = [before + w + after for w in words.to_pylist()]
@@ -88,6 +106,10 @@ def gram_hashes(points: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarr
 
 def shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Per text, the sorted distinct 64-bit hashes of its ``words``-word shingles (ASCII case and blanks); a shorter text is one."""
+    return [s for part in in_parts(texts) for s in _shingles(part, words)]
+
+
+def _shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
     import xxhash
 
     found = words_of(texts, ascii_only=True)

@@ -261,3 +261,25 @@ def test_jaccard_join_of_the_pipeline(spark):
     got = sorted(tuple(r) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect())
     assert [(i, n) for i, n, _ in got] == [(i, len(sets[i])) for i in sorted(sets)]
     assert {i: c for i, _, c in got} == root
+
+
+def test_neighbours_recall_with_a_beam_of_few_percent(spark):
+    """6,600 vectors in clusters, so that the beam holds less than 5 % of them; repeated ids and extra columns beside."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(60, 24))[rng.integers(0, 60, 6600)] + 0.5 * rng.normal(size=(6600, 24))).astype(np.float32)
+    rows = [(i, v.tolist(), i) for i, v in enumerate(x)] + [(5, (x[5] + 1).tolist(), 0), (100, [float("nan")] * 24, 0), (None, x[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id long")
+    vectors, dtype = N.usable(df)
+    assert vectors.count() == 6600 and N.BEAM < 0.05 * 6600
+    x[5] = min(x[5].tolist(), (x[5] + 1).tolist())
+    graph = N.build_graph(vectors, dtype)
+    queries = vectors.where("id % 100 = 0").selectExpr("id as query_id", "v as q")
+    found = {}
+    for r in N.search(queries, graph, vectors, dtype, 10).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    y, hits = x.astype(np.float64), 0
+    for q in range(0, 6600, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(6600), d))[:10].tolist()) & set(found[q]))
+    assert hits >= 0.9 * 10 * 66

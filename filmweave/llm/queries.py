@@ -17,6 +17,20 @@ from filmweave.llm.toxicity import op3_toxicity
 from filmweave.llm.wavelet import op6_wavelet
 from filmweave.llm.weak_rules import op5_weak_rules
 
+BLANK = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op5 judges by, and its base rules: what of its contract SQL can say."""
+    return op5_weak_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of documents and of their sources as op2 mixes them."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source", "source_size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -31,7 +45,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_jaccard_join,
         page_language,
+        rule_counts,
+        mix_sizes,
     )
 }
-#: None of these is plain SQL: each learns, draws, encodes or iterates. tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The operators learn, draw, encode or iterate, which isn't plain SQL; tests/llm holds them against brute force. Their counts are.
+ORACLE_SQL: dict[str, str] = {
+    "rule_counts": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+  place AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
+  three AS (SELECT doc_id, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM place WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+  often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM three WHERE c IS NOT NULL),
+  covered AS (SELECT DISTINCT doc_id, i + k AS i FROM often, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1),
+  repeated AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY 1),
+  line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+  same AS (SELECT doc_id, sum(n - 1)::BIGINT AS n FROM (SELECT doc_id, l, count(*) AS n FROM line WHERE regexp_matches(l, '{WORD}') GROUP BY 1, 2) GROUP BY 1),
+  told AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(same.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN same USING (doc_id) LEFT JOIN repeated USING (doc_id))
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM told""",
+    "mix_sizes": rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents)
+  SELECT doc_id, size, source, (sum(size) OVER (PARTITION BY source))::BIGINT AS source_size FROM d""",
+}

@@ -44,9 +44,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def drop_staged(df: DataFrame) -> None:
-    """Delete a staged table that no later step reads."""
+    """Delete a staged table that no later step reads; tables outside our part of the shared folder stay."""
+    plain = lambda path: path.removeprefix("file:").lstrip("/")
+    ours = plain(f"{shared_dir(df.sparkSession)}/llm/")
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        if "/llm/" in path:
+        if plain(path).startswith(ours):
             _delete(df.sparkSession, path)
 
 

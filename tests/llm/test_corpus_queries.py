@@ -10,7 +10,8 @@ from filmweave.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    for t in ("documents", "embeddings", "conversations"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     got, want = QUERIES[name](spark, SMALL), db.sql(ORACLE_SQL[name])
     order = sorted(want.columns)
     plain = lambda columns, rows: sorted(str([r[columns.index(c)] for c in order]) for r in rows)

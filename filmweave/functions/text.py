@@ -30,6 +30,19 @@ def any_of(c: Column | str, words: list[str]) -> Column:
     return out
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def begins(c: Column | str, words: list[str]) -> Column:
+    """Whether ``c`` starts with one of ``words``."""
+    out = F.lit(False)
+    for w in words:
+        out = out | col(c).startswith(w)
+    return out
+
+
 def heading(line: Column | str) -> Column:
     """struct(level, title) of a heading line, else null: equal runs of ``=`` around a title."""
     s = strip(line)

@@ -9,11 +9,12 @@ from filmweave.functions import text as T, wikitext
 # List templates; the cast list's own opening; words before a name; words that join names; a closing phrase.
 LIST_NAMES = ["ubl", "unbulleted list", "plainlist"]
 CAST_LIST = "{{cast list|"
-LEAD_WORDS = ["gồm", "co", "có", "voi", "với", "trong", "png", "nhỏ", "Dan", "Dàn", "phim"]
+LEAD_WORDS = ["gồm", "co", "có", "voi", "với", "trong", "png", "nhỏ", "dan", "dàn", "phim"]
 JOIN_WORDS = ["gồm", "gom", "cung", "cùng", "voi", "với"]
-AND_WORDS = ["va", "và", ","]
-ROLE_WORDS = ["trong\\s+vai", "vai"]
-NO_LETTER = "[^A-ZÀ-Ỵ]"
+AND_WORDS = ["va", "và"]
+IN_WORDS = ["trong", "vào"]
+ROLE_WORD = "vai"
+ROLE_ENDS = ",.:"
 PARENTHESES = "()"
 MARKS = ".,;:!?\"“”‘’[]{}<>|\\/"
 OTHERS = "Cùng một số diễn viên khác"
@@ -46,19 +47,6 @@ def table_cast(text: Column) -> Column:
     return F.flatten(F.transform(T.table_rows(text), row_cast))
 
 
-def _any(words: list[str]) -> str:
-    return f"(?:{'|'.join(words)})"
-
-
-#: Case and letters as Unicode has them.
-U = "(?iuU)"
-ROLE = rf"{_any(ROLE_WORDS)}\s+"
-BEFORE_NAME = rf"{U}\A{NO_LETTER}*\b{_any(LEAD_WORDS)}{NO_LETTER}*"
-UP_TO_NAME = rf"{U}\A(?:.*?\*|.*?\b{_any(JOIN_WORDS)}\b)\s*"
-AND = rf"{U}\A{_any(AND_WORDS)}\s*"
-LINK = r"\[\[(.+?)(?:\|[^\]]+)?\]\]"
-
-
 def _credit(name: Column, role: Column) -> Column:
     return F.struct(name.alias("actor_name"), role.alias("character"))
 
@@ -67,50 +55,144 @@ def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def _from(c: Column, at: Column) -> Column:
+    """What stands at place ``at`` (from 1) and after."""
+    return F.substring(c, F.greatest(at, F.lit(1)), F.length(c))
+
+
 def without_refs(text: Column) -> Column:
-    """Neither closed references, over any lines, nor self-closing ones."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)<ref[^>]*>.*?</ref>", ""), r"<ref[^/]*/>", "")
+    """Neither references with their content nor empty ones: what an opening tag begins, up to where it ends."""
+
+    def after(piece: Column) -> Column:
+        """What remains of a piece that follows ``<ref``."""
+        opening = F.substring_index(piece, ">", 1)
+        empty = opening.endswith("/")
+        closed, ended = piece.contains("</ref>"), piece.contains(">")
+        tail = F.when(empty, _from(piece, F.length(opening) + 2)).when(closed, _from(piece, F.instr(piece, "</ref>") + len("</ref>")))
+        return F.when(ended, F.coalesce(tail, F.concat(F.lit("<ref"), piece))).otherwise(F.concat(F.lit("<ref"), piece))
+
+    joined = lambda pieces: F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), after), ""))
+    return T.let(F.split(text, "<ref"), joined)
+
+
+def _without_lead(item: Column) -> Column:
+    """An item without the lead word that its first letters spell, and the marks around it."""
+    letter = F.lit(r"[A-Za-zÀ-ỵ]")
+
+    def cut(letters: Column) -> Column:
+        spelled = F.lower(F.substring(letters, 1, max(map(len, LEAD_WORDS))))
+        size = T.let(spelled, lambda s: F.coalesce(*(F.when(s.startswith(w), F.lit(len(w))) for w in LEAD_WORDS)))
+        rest = T.let(size, lambda n: F.when(n.isNotNull(), _from(letters, n + 1)))
+        next_letter = lambda r: T.let(F.regexp_instr(r, letter), lambda at: F.when(at > 0, _from(r, at)).otherwise(""))
+        return T.let(rest, lambda r: F.when(r.isNotNull(), next_letter(r)))
+
+    return F.coalesce(T.let(_from(item, F.regexp_instr(item, letter)), cut), item)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _clean_name(name: Column, marks: str) -> Column:
+    """A name after the first word that joins it to others, without the "and" it begins with and without marks."""
+
+    def own(words: Column) -> Column:
+        joins = F.transform(words, lambda w: F.translate(F.lower(w), MARKS + PARENTHESES, "").isin(JOIN_WORDS))
+        return F.array_join(F.slice(words, F.array_position(joins, True).cast("int") + 1, F.greatest(F.size(words), F.lit(1))), " ")
+
+    def plain(kept: Column) -> Column:
+        begins = F.lower(F.substring(kept, 1, max(map(len, AND_WORDS)))).isin(AND_WORDS)
+        return F.array_join(_words(F.translate(F.when(begins, _from(kept, F.lit(3))).otherwise(kept), marks, "")), " ")
+
+    return T.let(T.let(F.split(name, " "), own), plain)
+
+
+def _role_place(text: Column) -> Column:
+    """Where the first role word stands that something follows, in either case; 0 if none does."""
+    return F.instr(F.translate(text, ROLE_WORD.upper(), ROLE_WORD), ROLE_WORD + " ")
+
+
+def _role(tail: Column) -> Column:
+    """What follows the role word, up to the mark that ends it; '' without one."""
+
+    def said(rest: Column) -> Column:
+        end = F.instr(F.substring(F.translate(rest, ROLE_ENDS, ROLE_ENDS[0] * len(ROLE_ENDS)), F.lit(2), F.length(rest)), ROLE_ENDS[0])
+        kept = T.let(end, lambda e: F.when(e > 0, F.substring(rest, F.lit(1), e)).otherwise(rest))
+        return F.trim(F.replace(F.array_join(_words(F.translate(kept, "'\"", "")), " "), F.lit(OTHERS), F.lit("")))
+
+    rest = T.let(_role_place(tail), lambda at: F.when(at > 0, F.ltrim(_from(tail, at + len(ROLE_WORD) + 1))))
+    return F.coalesce(T.let(rest, said), F.lit(""))
+
+
+def prose_credit(item: Column, marks: str) -> Column:
+    """(name, role) of a bullet item, read by position: the name is the first link's target, else what precedes the
+    role word and its preposition; the role is looked for behind the name."""
+
+    def unlinked(place: Column) -> Column:
+        def named(before: Column) -> Column:
+            preposition = F.lower(before).endswith(IN_WORDS[0]) & (F.length(before) < place - 1)
+            return F.rtrim(F.when(preposition, F.substring(before, F.lit(1), F.length(before) - len(IN_WORDS[0]))).otherwise(before))
+
+        name = T.let(F.rtrim(F.substring(item, F.lit(1), F.greatest(place - 1, F.lit(0)))), named)
+        return T.let(name, lambda n: F.struct(n.alias("name"), _from(item, F.length(n) + 1).alias("tail")))
+
+    def linked(link: Column) -> Column:
+        inside = F.substring_index(F.substring(link, F.lit(3), F.length(link)), "]]", 1)
+        told = T.let(inside, lambda i: F.struct(F.substring_index(i, "|", 1).alias("name"), _from(link, F.length(i) + 5).alias("tail")))
+        return F.when(link.contains("]]") & ~link.startswith("[[]]"), told)
+
+    link = T.let(F.instr(item, "[["), lambda at: F.when(at > 0, _from(item, at)))
+    seen = F.coalesce(T.let(link, linked), T.let(_role_place(item), unlinked))
+    return T.let(seen, lambda x: _credit(_clean_name(x["name"], marks), _role(x["tail"])))
 
 
 def prose_cast(text: Column, keep_parentheses: bool = False) -> Column:
     """(name, role) of bullet items like ``* [[Name]] vai Role: ...``; both must be there.
 
-    A name is what the item's first link points to, else what stands before the role's word; the role is looked for
-    after the name only. Marks go from names, parentheses with them unless ``keep_parentheses`` (so that a title that
-    tells namesakes apart still leads to its page).
+    Marks go from names, parentheses with them unless ``keep_parentheses`` (so that a title that tells namesakes apart
+    still leads to its page).
     """
-    marks = "[" + "".join("\\" + c for c in MARKS + ("" if keep_parentheses else PARENTHESES)) + "]"
-
-    def named(item: Column) -> Column:
-        """struct(name, tail) of an item: as written, and what follows."""
-        linked = item.rlike(LINK)
-        before = T.strip(F.regexp_extract(item, rf"{U}\A(.*?){ROLE}", 1))
-        name = F.when(linked, F.regexp_extract(item, LINK, 1)).otherwise(before)
-        tail = F.when(linked, F.regexp_extract(item, rf"\A.*?{LINK}(.*)\z", 2)).otherwise(F.substring(item, F.instr(item, before) + F.length(before), F.length(item)))
-        return F.struct(name.alias("name"), tail.alias("tail"))
-
-    def clean(name: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(name, UP_TO_NAME, ""), AND, "")
-        return T.strip(T.squeeze(F.regexp_replace(bare, marks, "")))
-
-    def role(tail: Column) -> Column:
-        said = F.regexp_extract(tail, rf"{U}{ROLE}(.+?)(?:[,.:]|$)", 1)
-        return T.strip(F.replace(T.strip(T.squeeze(F.regexp_replace(said, "['\"]", ""))), F.lit(OTHERS), F.lit("")))
-
-    items = F.transform(F.split(T.strip(T.squeeze(without_refs(text))), r"\*"), lambda i: named(F.regexp_replace(T.strip(i), BEFORE_NAME, "")))
-    credits = F.transform(items, lambda i: _credit(clean(i["name"]), role(i["tail"])))
+    marks = MARKS + ("" if keep_parentheses else PARENTHESES)
+    items = F.filter(F.split(T.squeeze(without_refs(text)), r"\*"), lambda i: i.contains(ROLE_WORD[0]) | i.contains(ROLE_WORD[0].upper()))
+    led = F.transform(F.transform(items, lambda i: F.trim(i)), _without_lead)
+    credits = F.transform(led, lambda i: prose_credit(i, marks))
     return F.filter(credits, lambda c: (c["actor_name"] != "") & (c["character"] != ""))
 
 
+def _linked(item: Column) -> Column:
+    """Target of the first closed link whose target isn't empty, else null."""
+    insides = F.transform(F.filter(F.slice(F.split(item, r"\[\["), 2, F.length(item) + 1), lambda p: p.contains("]]")), lambda p: F.substring_index(p, "]]", 1))
+    return F.substring_index(F.get(F.filter(insides, lambda i: (i != "") & ~i.startswith("|") & ~i.contains("]")), 0), "|", 1)
+
+
+def _unlinked(item: Column) -> Column:
+    """What precedes the role word and its preposition in an item, on one line; null if too little does."""
+    starts = [p + ROLE_WORD for p in ("", *IN_WORDS)]
+
+    def before(words: Column) -> Column:
+        place = F.get(F.filter(F.transform(words, lambda w, i: F.when((i > 0) & T.begins(w, starts), i)), lambda i: i.isNotNull()), 0)
+        size = T.let(place, lambda p: p - F.when(F.get(words, p - 1).isin(IN_WORDS), 1).otherwise(0))
+        return F.array_join(F.slice(words, F.lit(1), size), " ")
+
+    return T.let(T.let(F.split(T.squeeze(item), " "), before), lambda n: F.when((F.length(n) >= 3) & ~n.startswith("[") & T.squeeze(F.substring_index(item, "\n", 1)).startswith(n), n))
+
+
+def _italic_role(item: Column) -> Column:
+    """What stands in italics right behind a role word, else null."""
+
+    def of(pieces: Column) -> Column:
+        said = lambda p, i: F.when((i > 0) & (i < F.size(pieces) - 1) & T.strip(F.get(pieces, i - 1)).endswith(ROLE_WORD) & (p != "") & ~p.contains("'"), p)
+        return F.get(F.filter(F.transform(pieces, said), lambda p: p.isNotNull()), 0)
+
+    return T.let(F.split(item, "''"), of)
+
+
 def list_cast(templates: Column) -> Column:
     """(name, role) of the items of top-level ``{{cast list|``; a role only in italics, else null; one of both must be there."""
 
     def credit(item: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(item, r"<ref[^>]*>.*?</ref>", ""), r"\{\{[^}]+\}\}|<ref[^>]*/>", "")
-        link = F.regexp_extract(bare, r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", 1)
-        plain = F.regexp_extract(bare, r"\A([^\[]\S.+?)\s+(?:trong|vào)?\s*vai", 1)
-        role = F.regexp_extract(bare, r"(?:trong|vào)?\s*vai\s*''([^']+)''", 1)
-        return _credit(_or_null(T.strip(F.when(link != "", link).otherwise(plain))), _or_null(T.strip(role)))
+        bare = F.regexp_replace(without_refs(item), r"\{\{[^}]+\}\}", "")
+        return T.let(bare, lambda b: _credit(T.let(T.strip(F.coalesce(_linked(b), _unlinked(b))), _or_null), T.let(T.strip(_italic_role(b)), _or_null)))
 
     lists = F.filter(templates, lambda t: t["top"] & t["raw"].startswith(CAST_LIST))
     items = F.flatten(F.transform(lists, lambda t: F.filter(F.transform(F.split(t["raw"], r"\*"), T.strip), lambda i: i != "")))

@@ -342,7 +342,8 @@ def _casts(spark, d, item: str, before: str, after: str) -> DataFrame:
     body = F.concat(F.lit(f"{{{{Infobox film|tên phim=x}}}}\n== Diễn viên ==\n{before}"), "items", F.lit(f"{after}\n== Khác ==\n* [[Ai]] vai Khác:"))
     pages = items.join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.expr(FILM).alias("title"), body.alias("text"))
     told = sections.cast_sections(sections.page_sections(infobox.page_facts(pages)))
-    return cast.film_casts(told).select(F.col("title").alias("film"), F.explode("actors").alias("a")).select("film", "a.actor_name", "a.character")
+    # an inner explode would have its array worked out once more, to filter by its size
+    return cast.film_casts(told).select(F.col("title").alias("film"), F.explode_outer("actors").alias("a")).where("a is not null").select("film", "a.actor_name", "a.character")
 
 
 @query(CREDITS)

@@ -45,6 +45,33 @@ def resolve_redirects(hops: DataFrame) -> DataFrame:
     return now.select("title", F.when(~F.col("open"), F.col("at")).alias("final_title"), "hops", F.when(F.col("open"), "too_deep").otherwise("resolved").alias("redirect_status"))
 
 
+def redirect_cycles(hops: DataFrame) -> DataFrame:
+    """(title, cycle, member): redirects (title, target) that never end, by the least title of the cycle they run into.
+
+    ``member`` tells a cycle's own titles from tails that run into it. Steps double on what is open: the titles reached
+    after m steps shrink to the members, for a step that loses none of them permutes them; a cycle's least title is
+    known when all members agree with the next one.
+    """
+    step = hops.select("title", F.col("target").alias("at")).where("target is not null")
+    ends = resolve_redirects(hops).where("redirect_status = 'too_deep'").select("title")
+    first = stage(step.join(ends, "title", "left_semi"), "open-redirects")
+    now, size = first.withColumn("least", F.col("title")), -1
+    while True:
+        onward = now.select(F.col("title").alias("_t"), F.col("at").alias("_at"), F.col("least").alias("_l"))
+        now = stage(now.join(onward, F.col("at") == F.col("_t")).select("title", F.col("_at").alias("at"), F.least("least", "_l").alias("least")), "cycles")
+        members = now.select(F.col("at").alias("title")).distinct()
+        left = members.count()
+        if left == size:
+            told = now.join(members, "title", "left_semi")
+            after = told.select(F.col("title").alias("_t"), F.col("least").alias("_l"))
+            if first.join(told, "title", "left_semi").join(after, F.col("at") == F.col("_t")).join(told.select("title", "least"), "title").where("least <> _l").isEmpty():
+                break
+        size = left
+    label = told.select(F.col("title").alias("at"), F.col("least").alias("cycle"))
+    inside = members.withColumn("member", F.lit(True))
+    return now.select("title", "at").join(label, "at").join(inside, "title", "left").select("title", "cycle", F.coalesce("member", F.lit(False)).alias("member"))
+
+
 def resolved_pages(pages: DataFrame, any_case: bool = False) -> DataFrame:
     """(title, final_title, text, redirect_status) for every page title; a dangling redirect reads ''.
 

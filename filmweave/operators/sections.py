@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filmweave.functions import text as T
@@ -68,20 +70,24 @@ def page_sections(facts: DataFrame) -> DataFrame:
     return told.withColumns({"film_hop": main_link(F.col("film_part")), "cast_hop": main_link(F.col("cast_part"))}).drop("_lines", "_heads")
 
 
-def _follow(told: DataFrame, part: str, hop: str, at_once: Column, first_only: Column) -> DataFrame:
+def _follow(told: DataFrame, part: str, hop: str, at_once: Column, first_only: Column, more: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """(title, part): a part that hands over to an existing page is what that page says, up to MAX_DEPTH hops.
 
-    ``at_once``: result that ends the walk on any page, ``first_only``: on the first page; null if neither. What pages
-    say is staged, so a page is parsed once, and only rows that have a hop are joined at each depth.
+    ``at_once``: result that ends the walk on any page, ``first_only``: on the first page; null if neither. Only rows
+    that have a hop are staged and joined at each depth, and ``more`` reads the facts of the pages they hop to (all are in ``told``
+    without it).
     """
-    page = told.select("title", F.col(part).alias("says"), F.col(hop).alias("to"), at_once.alias("stop"), first_only.alias("start_stop"), (F.coalesce("text", F.lit("")) != "").alias("full"))
-    page = stage(page, part)
-    next_ = page.where("full").select(F.col("title").alias("_t"), F.col("says").alias("_says"), F.col("to").alias("_to"), F.col("stop").alias("_stop"))
+    full = F.col("full") if "full" in told.columns else F.coalesce("text", F.lit("")) != ""
+    as_page = lambda facts: facts.select("title", F.col(part).alias("says"), F.col(hop).alias("to"), at_once.alias("stop"), first_only.alias("start_stop"), full.alias("full"))
+    page = as_page(told)
     now = page.select("title", F.coalesce("stop", "start_stop", "says").alias("says"), F.when(F.coalesce("stop", "start_stop").isNull(), F.col("to")).alias("to"))
     done, open_ = now.where("to is null"), now.where("to is not null")
     for depth in range(1, MAX_DEPTH + 2):
         if open_.isEmpty():
             break
+        open_ = stage(open_, f"{part}-open") if depth == 1 else open_
+        pages = as_page(more(open_.select(F.col("to").alias("title")))) if more else page
+        next_ = pages.where("full").select(F.col("title").alias("_t"), F.col("says").alias("_says"), F.col("to").alias("_to"), F.col("stop").alias("_stop"))
         joined = open_.join(next_, F.col("to") == F.col("_t"), "left")
         hopped = F.col("_t").isNotNull()
         says = F.coalesce("_stop", F.col("_says") if depth <= MAX_DEPTH else F.lit(""))
@@ -91,17 +97,17 @@ def _follow(told: DataFrame, part: str, hop: str, at_once: Column, first_only: C
     return done.select("title", F.col("says").alias(part))
 
 
-def film_sections(told: DataFrame) -> DataFrame:
-    """(title, film_part) of persons, hand-overs followed."""
+def film_sections(told: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(title, film_part) of persons, hand-overs followed (on pages that ``more`` reads, if given)."""
     box = F.col("infobox")
     film = F.when(F.col("kind") == "film", FROM_FILM)
     other = F.when(~I.is_actor(box) & ~I.is_director(box), NO_FILM_PERSON)
-    return _follow(told, "film_part", "film_hop", film, other)
+    return _follow(told, "film_part", "film_hop", film, other, more)
 
 
-def cast_sections(told: DataFrame) -> DataFrame:
+def cast_sections(told: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(title, cast_part) of films, hand-overs followed; a page that isn't about a film says ''."""
-    return _follow(told, "cast_part", "cast_hop", F.lit(None).cast("string"), F.when(~I.is_film_box(F.col("infobox")), ""))
+    return _follow(told, "cast_part", "cast_hop", F.lit(None).cast("string"), F.when(~I.is_film_box(F.col("infobox")), ""), more)
 
 
 def subsections(section_text: Column) -> Column:

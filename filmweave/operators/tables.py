@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as Y
 from filmweave.functions import text as T
 from filmweave.functions.wikitext import first_markup
 from filmweave.operators import predicates, sections
+from filmweave.staging import spread
 
 STYLE = re.compile(r"""style\s*=\s*["'].*?["']""")
 SPANNED = re.compile("rowspan|colspan")
@@ -160,14 +161,17 @@ def film_rows(film_parts: DataFrame) -> DataFrame:
         "title", "section_no", F.col("s.title").alias("section"), F.col("s.subsection_wikitext").alias("wikitext")
     )
     last = parts.where(F.col("wikitext").startswith("{|")).groupBy("title", "section").agg(F.max_by(F.struct("section_no", "wikitext"), "section_no").alias("x"))
-    return table_rows(last.select("title", F.col("x.section_no").alias("section_no"), "section", F.col("x.wikitext").alias("wikitext")))
+    return table_rows(spread(last.select("title", F.col("x.section_no").alias("section_no"), "section", F.col("x.wikitext").alias("wikitext")), "title"))
 
 
 def vn_film_rows(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows whose second column names a film that counts as Vietnamese or may be; ``Type_film`` is the section."""
-    judged = facts.select(F.col("title").alias("_t"), predicates.vn_film_status(F.col("title"), F.col("kind"), F.col("infobox")).alias("vn_status"))
-    joined = rows.where("error is null").join(judged, F.col("second") == F.col("_t"), "left").where(predicates.keeps_film(F.col("vn_status")))
-    return joined.drop("_t").withColumn("type_film", F.col("section"))
+    """Rows whose second column names a film that counts as Vietnamese or may be; ``Type_film`` is the section.
+
+    ``facts``: (title, vn_status), or what it is told from.
+    """
+    status = F.col("vn_status") if "vn_status" in facts.columns else predicates.vn_film_status(F.col("title"), F.col("kind"), F.col("infobox"))
+    judged = facts.select(F.col("title").alias("_t"), status.alias("vn_status")).where(predicates.keeps_film(F.col("vn_status")))
+    return rows.where("error is null").join(judged, F.col("second") == F.col("_t")).drop("_t").withColumn("type_film", F.col("section"))
 
 
 def row_title(words: list[str]):

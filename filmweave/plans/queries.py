@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from filmweave.functions import text as T
 from filmweave.operators import cast, crawl, graph, infobox, lookup, network, predicates, records, sections, tables
 from filmweave.session import prepare
-from filmweave.sources import sinks, wiki
+from filmweave.sources import sinks, store, wiki
 from filmweave.staging import shared_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,7 +582,59 @@ def network_nodes(spark, d):
 
 @query(NETWORK + "SELECT edge.film, string_agg(edge.name, '|' ORDER BY edge.name) AS people, count(*) AS n FROM edge GROUP BY 1")
 def film_neighbours(spark, d):
-    """Who is credited in each film of the whole run; the edges are kept as a table and read again."""
-    folder = _folder(spark)
-    graph.save(folder, edges=_network(spark, d).edges)
-    return graph.neighbours(graph.load(spark, folder, "edges")).select("film", F.array_join("people", "|").alias("people"), F.size("people").cast("long").alias("n"))
+    """Who is credited in each film of the whole run; the graph is kept from both ends and read again."""
+    kept = graph.Adjacency.save(_network(spark, d).edges, _folder(spark))
+    return kept.people_of_films().select("film", F.array_join("people", "|").alias("people"), F.size("people").cast("long").alias("n"))
+
+
+@query(f"WITH edge AS ({EDGES}) SELECT person, count(*) AS n, min(film) AS first_film, max(film) AS last_film FROM edge GROUP BY 1")
+def person_neighbours(spark, d):
+    """Each person's films, from the graph kept by person."""
+    kept = graph.Adjacency.save(bipartite_edges(spark, d), _folder(spark))
+    return kept.films_of_people().select("person", F.size("films").cast("long").alias("n"), F.get("films", 0).alias("first_film"), F.element_at("films", -1).alias("last_film"))
+
+
+@query(
+    """WITH line AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN 'fewer than two columns' END AS error FROM supplier)
+  SELECT s_name AS name, 'Phim ' || s_suppkey AS section, error FROM line WHERE error IS NOT NULL"""
+)
+def table_errors(spark, d):
+    """What the whole run couldn't read: people whose film table has one column, told beside the network that was built without them."""
+    head = "if(s_suppkey % 4 = 0, '!Phim', '!Năm!!Phim')"
+    text = rf"concat('{{{{Thông tin nghệ sĩ|nghề nghiệp=Diễn viên}}}}\n== Phim ==\n=== Phim ', s_suppkey, ' ===\n{{|\n', {head}, '\n|-\n|1||[[film ', s_suppkey, ']]\n|}}')"
+    people = read(spark, d, "supplier").select(F.col("s_name").alias("title"), F.expr(text).alias("text"))
+    return network.build(people, people.select(F.col("title").alias("name"))).errors
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT o_orderkey AS k, CASE o_orderkey % 10 WHEN 6 THEN o_orderkey - 4 WHEN 9 THEN NULL ELSE o_orderkey + 1 END AS next FROM orders),
+  w AS (SELECT k AS s, next AS here, 1 AS n FROM o WHERE next IS NOT NULL UNION ALL SELECT w.s, o.next, w.n + 1 FROM w JOIN o ON w.here = o.k WHERE o.next IS NOT NULL AND w.n < 16),
+  member AS (SELECT s FROM w WHERE s = here GROUP BY 1), ring AS (SELECT w.s, min('order ' || w.here) AS cycle FROM w JOIN member ON w.s = member.s GROUP BY 1)
+  SELECT DISTINCT 'order ' || w.s AS title, ring.cycle, w.s IN (SELECT s FROM member) AS member FROM w JOIN ring ON w.here = ring.s"""
+)
+def redirect_cycles(spark, d):
+    """Redirects that never end: in every ten orders, five that go in a ring and two that run into it."""
+    text = "case o_orderkey % 10 when 6 then concat('#redirect [[order ', o_orderkey - 4, ']]') when 9 then 'end' else concat('#redirect [[order ', o_orderkey + 1, ']]') end"
+    pages = read(spark, d, "orders").select(F.expr("concat('order ', o_orderkey)").alias("title"), F.expr(text).alias("text"))
+    return lookup.redirect_cycles(pages.select("title", lookup.redirect_target(F.col("text")).alias("target")))
+
+
+@query("SELECT c_custkey, coalesce('total ' || o_totalprice::VARCHAR, '') AS text FROM customer LEFT JOIN orders ON o_orderkey = c_custkey")
+def store_lookup(spark, d):
+    """Texts by title from pages kept in buckets by title; titles without a page read ''."""
+    pages = read(spark, d, "orders").select(F.expr("concat('order ', o_orderkey)").alias("title"), F.expr("concat('total ', cast(o_totalprice as string))").alias("text"))
+    kept = store.PageStore.write(pages, f"{_folder(spark)}/pages")
+    asked = read(spark, d, "customer").select("c_custkey", F.expr("concat('order ', c_custkey)").alias("title"))
+    return lookup.lookup(asked, kept.read(asked)).drop("title")
+
+
+@query(f"WITH person AS ({PEOPLE}) SELECT name, place, (count(*) OVER (PARTITION BY place) - 1)::BIGINT AS links FROM person QUALIFY links > 0")
+def location_classes(spark, d):
+    """Who shares a place with how many: the compact form of ``same_location_pairs``."""
+    return graph.class_membership(graph.people_of(graph.nodes(persons(spark, d), works(spark, d))), "place")
+
+
+@query(f"WITH person AS ({PEOPLE}), c AS (SELECT school, count(*) AS members FROM person GROUP BY 1) SELECT school, members, members * (members - 1) // 2 AS pairs FROM c WHERE members > 1")
+def school_classes(spark, d):
+    """How many people share a school, and how many pairs that stands for."""
+    return graph.shared_classes(graph.people_of(graph.nodes(persons(spark, d), works(spark, d))), "school")

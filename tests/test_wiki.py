@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from filmweave.operators import cast, crawl, graph, infobox, lookup, network, predicates, records, sections, tables
 from filmweave.plans import queries
-from filmweave.sources import sinks, wiki
+from filmweave.sources import sinks, store as store_module, wiki
+from filmweave.sources.store import PageStore
 from filmweave.streaming.pages import fact_stream
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/"><page><title>A</title><revision><text> x </text></revision></page>
@@ -206,3 +207,95 @@ def test_redirects_of_any_length(spark):
     got = {r["title"]: tuple(r)[1:] for r in lookup.resolved_pages(spark.createDataFrame(chain + ring, "title string, text string")).collect()}
     assert all(got[f"c{i}"] == ("c40", "end", "resolved") for i in range(40))
     assert all(got[t] == (None, "", "too_deep") for t, _ in ring) and len(got) == 47
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crawl_parses_only_what_it_reaches(spark):
+    """Pages parsed are those that the crawl meets, however many the store holds; a page is parsed once."""
+    strangers = [(f"stranger {i}", PAGES["seed"].replace("[[f]]", f"[[odd {i}]]")) for i in range(300)] + [(f"odd {i}", PAGES["f"]) for i in range(300)]
+    store = PageStore.write(spark.createDataFrame([*PAGES.items(), *strangers], "title string, text string"))
+    made = network.build(store, spark.createDataFrame([("seed",), ("no page",)], ["name"]), full_frontier=True, keep_parentheses=True)
+    parsed = [r["title"] for r in made.reader.told().select("title").collect()]
+    assert sorted(parsed) == ["f", "foreign", "g", "new (ca sĩ)", "seed"] and made.reader.pages_parsed() == 5
+    assert {r["name"] for r in made.persons.collect()} == {"seed", "no page", "new (ca sĩ)"}
+
+
+def files_of(df):
+    """Files that a plan of one scan opens."""
+    return {str(f.filePath()) for part in df._jdf.queryExecution().toRdd().partitions() for f in part.files()}
+
+
+def test_one_title_reads_one_bucket(spark, tmp_path):
+    pages = spark.createDataFrame([(f"t{i}", f"text {i}") for i in range(100)] + [(None, "none")], "title string, text string")
+    kept = PageStore.write(pages, f"file://{tmp_path}/pages", buckets=8)
+    assert len(files_of(kept.one("t7"))) == 1 and len(files_of(kept.table)) == 8 and kept.one("t7").first()["text"] == "text 7"
+    few, many = pages.where("title like 't1_'").select("title"), pages.select("title")
+    assert kept.read(few).count() == 10 and kept.read(many).count() == 100 and kept.read(many.where("false")) is None
+    assert len(files_of(kept.read(few.limit(1)))) == 1
+    again = store_module.open_buckets(spark, "title", f"file://{tmp_path}/pages", "title string, text string, target string", 8)
+    assert len(files_of(again.where("title = 't9'"))) == 1 and again.count() == 100
+
+
+def test_many_titles_join_without_moving_pages(spark, monkeypatch):
+    monkeypatch.setattr(store_module, "FEW", 3)
+    kept = PageStore.write(spark.createDataFrame([(f"t{i}", "x") for i in range(50)], "title string, text string"), buckets=4)
+    asked = spark.createDataFrame([(f"t{i}",) for i in range(0, 80, 2)], ["title"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = kept.read(asked)
+        assert found.count() == 25
+        scan = plan_of(found).split("FileScan parquet")[0].splitlines()
+        assert "Exchange" not in scan[-2] + scan[-1], "pages aren't shuffled"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_redirect_cycles(spark):
+    ring = [(f"r{i:02}", f"r{(i + 1) % 37:02}") for i in range(37)] + [(f"t{i}", f"t{i + 1}") for i in range(20)] + [("t20", "r05"), ("s", "s"), ("u", "s"), ("a", "b"), ("b", "c")]
+    got = {r["title"]: (r["cycle"], r["member"]) for r in lookup.redirect_cycles(spark.createDataFrame(ring, "title string, target string")).collect()}
+    want = {f"r{i:02}": ("r00", True) for i in range(37)} | {f"t{i}": ("r00", False) for i in range(21)} | {"s": ("s", True), "u": ("s", False)}
+    assert got == want
+    assert lookup.redirect_cycles(spark.createDataFrame([("a", "b")], "title string, target string")).count() == 0
+
+
+def test_pairs_dealt_in_blocks(spark):
+    """However small the blocks, every two of a group meet once, in order."""
+    rows = [("hot", f"p{i:03}", "xy"[i % 2]) for i in range(60)] + [("cold", "p001", "x"), ("cold", "q", "y"), ("alone", "z", "x")]
+    edges = spark.createDataFrame(rows, "film string, person string, role string")
+    want = sorted((a[1], b[1], a[0], f"{a[2]}-{b[2]}") for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
+    for block in (5, 7, 1000):
+        assert sorted(map(tuple, graph.film_pairs(edges, block).collect())) == want
+    placed = graph.film_pairs(edges, 5)
+    assert placed.count() == 60 * 59 // 2 + 1
+
+
+def test_classes_stand_for_pairs(spark):
+    people = spark.createDataFrame([(f"a{i}", "S") for i in range(30)] + [("b", "T"), ("c", "T"), ("d", "U"), ("e", None)], "name string, school string")
+    classes = {r["school"]: (r["members"], r["pairs"]) for r in graph.shared_classes(people, "school").collect()}
+    assert classes == {"S": (30, 435), "T": (2, 1)}
+    links = {r["name"]: r["links"] for r in graph.class_membership(people, "school").collect()}
+    pairs = [tuple(r) for r in graph.shared_pairs(people, "school", block=4).collect()]
+    assert len(pairs) == len(set(pairs)) == 436
+    assert links == {n: sum(n in p[:2] for p in pairs) for p in pairs for n in p[:2]}
+
+
+def test_kept_graph_needs_no_shuffle(spark, tmp_path):
+    edges = spark.createDataFrame([(p, f, "actor", None) for p, f in ["af", "bf", "ag", "cg", "bh"]], "person string, film string, role string, character string")
+    kept = graph.Adjacency.save(edges, f"file://{tmp_path}/graph", buckets=4)
+    films, people = kept.people_of_films(), kept.films_of_people()
+    assert "Exchange" not in plan_of(films) and "Exchange" not in plan_of(people)
+    assert {r["film"]: r["people"] for r in films.collect()} == {"f": ["a", "b"], "g": ["a", "c"], "h": ["b"]}
+    assert {r["person"]: r["films"] for r in people.collect()} == {"a": ["f", "g"], "b": ["f", "h"], "c": ["g"]}
+    some = spark.createDataFrame([("f",), ("none",)], ["film"])
+    assert sorted(r["person"] for r in kept.credits_in(some).collect()) == ["a", "b"]
+    assert kept.credits_by(spark.createDataFrame([], "person string")).count() == 0
+
+
+def test_errors_are_told_by_person(spark):
+    pages = spark.createDataFrame([("a", PAGES["seed"].replace("!Năm!!Phim", "!Phim")), ("b", PAGES["seed"]), ("f", PAGES["f"])], "title string, text string")
+    made = network.build(pages, spark.createDataFrame([("a",), ("b",)], ["name"]))
+    assert [tuple(r) for r in made.errors.collect()] == [("a", "Phim", "fewer than two columns")]
+    assert {r["film"] for r in made.films.collect()} == {"f"}

@@ -54,14 +54,15 @@ def heading(line: Column | str) -> Column:
 
 def span(token: Column | str) -> Column:
     """struct(rowspan, colspan, data) of a cell: digits left of the first pipe count together for either attribute."""
-    t = strip(token)
-    left = F.substring_index(t, "|", 1)
-    number = F.regexp_replace(left, r"[^0-9]", "").try_cast("int")
-    spanned = left.contains("rowspan") | left.contains("colspan")
-    right = F.when(F.instr(t, "|") > 0, F.substring(t, F.instr(t, "|") + 1, F.length(t))).otherwise("")
-    data = F.when(spanned, strip(right)).otherwise(t)
-    value = lambda word: F.when(left.contains(word), F.coalesce(number, F.lit(1))).otherwise(1)
-    return F.struct(value("rowspan").alias("rowspan"), value("colspan").alias("colspan"), data.alias("data"))
+
+    def read(t: Column, left: Column) -> Column:
+        number = F.coalesce(F.regexp_replace(left, r"[^0-9]", "").try_cast("int"), F.lit(1))
+        value = lambda word: F.when(left.contains(word), number).otherwise(1)
+        data = strip(F.substring(t, F.length(left) + 2, F.length(t)))
+        spanned = F.struct(value("rowspan").alias("rowspan"), value("colspan").alias("colspan"), data.alias("data"))
+        return F.when(left.contains("rowspan") | left.contains("colspan"), spanned).otherwise(F.struct(F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), t.alias("data")))
+
+    return let(strip(token), lambda t: let(F.substring_index(t, "|", 1), lambda left: read(t, left)))
 
 
 def wikilinks(c: Column | str) -> Column:

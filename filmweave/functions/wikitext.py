@@ -9,6 +9,7 @@ column expressions is said there.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -29,6 +30,11 @@ MARKUP: tuple[tuple[str, str], ...] = (
     (r"(?s)<!--.*?-->", ""),
 )
 
+#: Markup that an infobox value loses after its links and templates, in this order.
+DISPLAY_MARKUP = ((r"(?s)<ref[^>]*>.*?</ref>", ""), (r"(?s)<!--.*?-->", ""), (r"<br\s*/?>", ", "), (r"<[^>]+>", ""), (r"'{2,}", ""), (r"&[a-z]+;", " "), (r"\s+", " "))
+
+BRACE = re.compile(r"([{}])")
+
 # Names that templates go by.
 COUNTRIES = {"vie": "Việt Nam", "us": "Hoa Kỳ", "nor": "Na Uy"}
 BIRTH = ("ngày sinh", "năm sinh", "birth date", "birth year")
@@ -108,22 +114,6 @@ def templates(texts: pd.Series) -> pd.Series:
     return texts.map(templates_of, na_action="ignore")
 
 
-def first_markup(text: str) -> str:
-    """Target of the first link, else name of the first template, else the text itself."""
-    nodes = parse(text)
-    for kind in ("[[", "{{"):
-        for n in nodes:
-            if n.kind == kind:
-                return n.parts(text)[0].strip()
-    return text.replace("'''", "").replace("''", "").strip()
-
-
-@F.pandas_udf(Y.StringType())
-def plain_cell(texts: pd.Series) -> pd.Series:
-    """A table cell's reading."""
-    return texts.map(first_markup, na_action="ignore")
-
-
 def plain(text: str) -> str:
     """clean_text in Python, for values inside templates."""
     for pattern, to in MARKUP:
@@ -166,12 +156,40 @@ def read_template(inner: str) -> str:
     return READ.get(name, ", ".join)(params)
 
 
+def replace_innermost(text: str, reads: Callable[[str], str], empty: bool = False) -> str:
+    """Replace innermost templates (``empty``: also those without content) by what ``reads`` makes of their inside,
+    then what thereby became innermost, until none is left or none closes.
+
+    One pass: pieces without braces and single braces go on a stack, and whenever two closing braces end a piece that
+    two opening ones precede, the five are one piece. Pieces are joined only when they are read.
+    """
+    stack: list[str | list[str]] = []  # a brace, or the parts of a piece
+
+    def add(piece: str) -> None:
+        if piece:
+            if stack and isinstance(stack[-1], list):
+                stack[-1].append(piece)
+            else:
+                stack.append([piece])
+
+    for piece in BRACE.split(text):
+        if piece not in ("{", "}"):
+            add(piece)
+            continue
+        stack.append(piece)
+        if stack[-2:] == ["}", "}"]:
+            filled = len(stack) > 4 and isinstance(stack[-3], list)
+            first = len(stack) - (5 if filled else 4)
+            if first >= 0 and stack[first : first + 2] == ["{", "{"] and (filled or empty):
+                inside = "".join(stack[-3]) if filled else ""
+                del stack[first:]
+                add(reads(inside))
+    return "".join(x if isinstance(x, str) else "".join(x) for x in stack)
+
+
 def fold(text: str) -> str:
-    """Replace innermost templates until none is left or none closes."""
-    innermost = re.compile(r"\{\{([^{}]+)\}\}")
-    while m := innermost.search(text):
-        text = text[: m.start()] + read_template(m.group(1)) + text[m.end() :]
-    return text
+    """Every template that closes, read."""
+    return replace_innermost(text, read_template)
 
 
 @F.pandas_udf(Y.StringType())
@@ -179,12 +197,49 @@ def fold_templates(texts: pd.Series) -> pd.Series:
     return texts.map(fold, na_action="ignore")
 
 
+def labels(text: str) -> str:
+    """Links replaced by their labels, or targets without one, in one pass over the delimiters.
+
+    An open link holds its parts between pipes; the pipes of an inner label part the link around it. Templates are
+    kept as they are, and what never closes stays text.
+    """
+    open_: list[tuple[str, list[list[str]]]] = [("", [[]])]
+
+    def put(string: str, parted: bool = False) -> None:
+        first, *more = string.split("|") if parted and open_[-1][0] == "[[" else [string]
+        open_[-1][1][-1].append(first)
+        open_[-1][1].extend([x] for x in more)
+
+    def as_text(upto: int) -> None:
+        while len(open_) > upto:
+            kind, parts = open_.pop()
+            put(kind + "|".join("".join(p) for p in parts), parted=True)
+
+    end = 0
+    for m in TOKEN.finditer(text):
+        put(text[end : m.start()])
+        end, token = m.end(), m.group()
+        if token in ("{{", "[["):
+            open_.append((token, [[]]))
+        elif token == "]]" and open_[-1][0] == "[[":
+            target, *label = ("".join(p) for p in open_.pop()[1])
+            put("|".join(label) or target, parted=True)
+        elif token == "}}" and any(kind == "{{" for kind, _ in open_):
+            as_text(max(i for i, (kind, _) in enumerate(open_) if kind == "{{") + 1)
+            put("{{" + "".join(open_.pop()[1][0]) + "}}")
+        else:
+            put(token, parted=token == "|")
+    put(text[end:])
+    as_text(1)
+    return "".join(open_[0][1][0])
+
+
 def infobox_value(text: str) -> str:
     """An infobox value for display: labels of links, readings of a few templates, no markup."""
-    while links := [n for n in parse(text) if n.kind == "[["]:
-        target, *label = links[-1].parts(text)
-        text = text[: links[-1].start] + ("|".join(label) or target) + text[links[-1].end :]
-    return _swap(text)
+    text = replace_innermost(labels(text), _display, empty=True)
+    for pattern, to in DISPLAY_MARKUP:
+        text = re.sub(pattern, to, text)
+    return text.strip()
 
 
 @F.pandas_udf(Y.StringType())
@@ -192,18 +247,8 @@ def display(texts: pd.Series) -> pd.Series:
     return texts.map(infobox_value, na_action="ignore")
 
 
-def _swap(text: str) -> str:
-    """Replace the templates of ``text``, inner ones first."""
-    innermost = re.compile(r"\{\{[^{}]*\}\}")
-    while m := innermost.search(text):
-        text = text[: m.start()] + _display(m.group()) + text[m.end() :]
-    for pattern, to in ((r"(?s)<ref[^>]*>.*?</ref>", ""), (r"(?s)<!--.*?-->", ""), (r"<br\s*/?>", ", "), (r"<[^>]+>", ""), (r"'{2,}", ""), (r"&[a-z]+;", " "), (r"\s+", " ")):
-        text = re.sub(pattern, to, text)
-    return text.strip()
-
-
-def _display(raw: str) -> str:
-    t = templates_of(raw)
+def _display(inside: str) -> str:
+    t = templates_of("{{" + inside + "}}")
     if not t:
         return ""
     name, first = t[0]["name"].lower(), {p["k"]: p["v"] for p in t[0]["params"]}

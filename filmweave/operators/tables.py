@@ -1,158 +1,158 @@
-"""Wikitables: headers, the cell grid, and film rows."""
+"""Wikitables: headers, the cell grid, and film rows; all in column expressions.
 
-from __future__ import annotations
+A grid is a fold over a table's lines whose state is the rows laid out so far, the
+row being filled, and the spans still open, so no table leaves the JVM.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as Y
+from pyspark.sql import Column, DataFrame, functions as F
 
 from filmweave.functions import text as T
-from filmweave.functions.wikitext import first_markup
 from filmweave.operators import predicates, sections
 from filmweave.staging import spread
 
-STYLE = re.compile(r"""style\s*=\s*["'].*?["']""")
-SPANNED = re.compile("rowspan|colspan")
-
-
-def top_level(s: str, mark: str) -> Iterator[int]:
-    """Places of ``mark`` outside ``[[ ]]`` and ``{{ }}``."""
-    depth, i = {"[": 0, "{": 0}, 0
-    while i < len(s):
-        two = s[i : i + 2]
-        if two in ("[[", "{{"):
-            depth[two[0]] += 1
-            i += 2
-        elif two in ("]]", "}}"):
-            kind = "[" if two == "]]" else "{"
-            depth[kind] = max(0, depth[kind] - 1)
-            i += 2
-        elif not any(depth.values()) and s.startswith(mark, i):
-            yield i
-            i += len(mark)
-        else:
-            i += 1
-
-
-def split_cells(s: str) -> list[str]:
-    """Stripped pieces between top-level ``||``."""
-    at = list(top_level(s, "||"))
-    return [s[a:b].strip() for a, b in zip([0, *(i + 2 for i in at)], [*at, len(s)], strict=True)]
+STYLE = r"""style\s*=\s*["'].*?["']"""
+#: Links and templates within each other that are seen as such; deeper ones are text.
+DEPTH = 4
+#: Stands for a top-level mark; no XML document holds it.
+CUT = "\x01"
+
+
+def _within(depth: int, kind: str, pipes: str = "", in_template: bool = False) -> str:
+    """What may stand between the marks of a link or template; without ``pipes`` up to the first of its own."""
+    own = {"[": rf"\](?!\])|\[(?!\[)|\{{(?!\{{)|\}}{r'(?!})' if in_template else ''}", "{": r"\[|\]|\{(?!\{)|\}(?!\})"}[kind]
+    inner = "".join(f"{_node(depth - 1, k, kind == '{' or in_template)}|" for k in "[{") if depth else ""
+    return rf"(?:[^\[\]{{}}{pipes}]++|{inner}{own})*+"
+
+
+def _node(depth: int, kind: str, in_template: bool = False) -> str:
+    a, b = (r"\[\[", r"\]\]") if kind == "[" else (r"\{\{", r"\}\}")
+    return f"{a}{_within(depth, kind, '', in_template)}{b}"
+
+
+def _first(kind: str) -> str:
+    """A node whose first part is a group."""
+    a, b = (r"\[\[", r"\]\]") if kind == "[" else (r"\{\{", r"\}\}")
+    return rf"{a}({_within(DEPTH, kind, '|')})(?:\|{_within(DEPTH, kind)})?{b}"
 
 
-def find_pipe(s: str) -> int:
-    """The first top-level pipe, -1 if there is none."""
-    return next(top_level(s, "|"), -1)
+LINK, TEMPLATE = _first("["), _first("{")
+#: A run without a top-level pipe, and one without two; what opens and never closes takes the rest.
+_UNITS = rf"[^|\[{{]++|{_node(DEPTH, '[')}|{_node(DEPTH, '{')}|\[\[[\s\S]*|\{{\{{[\s\S]*|\[|\{{"
+NO_PIPE, NO_PIPES = rf"(?:{_UNITS})*+", rf"(?:{_UNITS}|\|(?!\|))*+"
 
 
-@F.pandas_udf(Y.IntegerType())
-def first_pipe(texts: pd.Series) -> pd.Series:
+def first_markup(text: Column) -> Column:
+    """A table cell's reading: target of the first link, else name of the first template, else the text itself."""
+    bare = F.when(text.contains("<"), F.regexp_replace(text, r"(?is)<!--.*?-->|<nowiki>.*?</nowiki>", "")).otherwise(text)
+    found = lambda t, pattern, mark: F.when(t.contains(mark), F.get(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), 0))
+    plain = F.replace(F.replace(text, F.lit("'''"), F.lit("")), F.lit("''"), F.lit(""))
+    return T.strip(F.coalesce(T.let(bare, lambda t: F.coalesce(found(t, LINK, "[["), found(t, TEMPLATE, "{{"))), plain))
+
+
+def split_cells(line: Column) -> Column:
+    """Stripped pieces between top-level ``||``."""
+    pieces = F.when(line.contains("||"), F.split(F.regexp_replace(line, rf"\G({NO_PIPES})\|\|", f"$1{CUT}"), CUT)).otherwise(F.array(line))
+    return F.transform(pieces, lambda p: T.strip(p))
+
+
+def first_pipe(text: Column | str) -> Column:
     """Where the first top-level pipe stands, -1 if there is none."""
-    return texts.map(find_pipe, na_action="ignore").astype("Int32")
-
-
-def parse_span(token: str) -> tuple[int, int, str]:
-    """(rowspan, colspan, data); all digits left of the first pipe count as one number."""
-    left, _, right = token.strip().partition("|")
-    if not SPANNED.search(left):
-        return 1, 1, token.strip()
-    number = int("".join(c for c in left if c.isdigit()) or 1)
-    return number if "rowspan" in left else 1, number if "colspan" in left else 1, right.strip()
-
-
-def headers(table: str) -> list[str]:
-    """Column names; under a spanning header its children take the place of the first one."""
-    rows = [line.strip() for line in STYLE.sub("", table).strip().split("\n")]
-    rows = [r for r in rows if r.startswith("!")]
-    if not rows:
-        return []
-    if "rowspan" not in rows[0]:
-        return [name for r in rows for name in r[1:].split("!!")]
-    names, children = [], []
-    for r in (r.replace("!", "").strip() for r in rows):
-        if r.startswith("rowspan"):
-            names.append(r.split("|")[1].strip())
-        elif r.startswith("colspan"):
-            names.append("#")
-        else:
-            children.append(r)
-    if "#" in names:
-        k = names.index("#")
-        names[k : k + 1] = children
-    return names
-
-
-class Grid:
-    """Rows of a table being laid out; ``running`` are row spans: [column, rows left, value]."""
-
-    def __init__(self, width: int):
-        self.width, self.rows, self.running = width, [], []
-
-    def open_row(self) -> None:
-        row: list[str | None] = [None] * self.width
-        for span in self.running:
-            row[span[0]] = span[2] if row[span[0]] is None else row[span[0]]
-            span[1] -= 1
-        self.running = [s for s in self.running if s[1] > 0]
-        self.rows.append(row)
-
-    def fill(self, cells: list[str]) -> None:
-        """Cells go to free columns from the left; a wide cell covers what follows, what doesn't fit is lost."""
-        row, at, new = self.rows[-1], 0, []
-        for cell in cells:
-            at = next((c for c in range(at, self.width) if row[c] is None), self.width)
-            if at == self.width:
-                break
-            down, across, data = parse_span(cell)
-            value = first_markup(data)
-            row[at : at + across] = [value] * min(across, self.width - at)
-            if down > 1:
-                new.append([at, down - 1, value])
-            at += across
-        self.running += new
-
-
-def grid(table: str, width: int) -> list[list[str | None]]:
-    """Rows of the first table of a text, cells under row spans filled in; rows without any cell are dropped."""
-    out = Grid(width)
-    for line in (x.strip() for x in table.strip().split("\n")):
-        if line == "}" or line.startswith("|}"):
-            break
-        if line.startswith("|-"):
-            out.open_row()
-        elif line.startswith("|"):
-            if not out.rows:
-                out.open_row()
-            out.fill(split_cells(line[1:].strip()))
-    return [r for r in out.rows if any(x is not None for x in r)]
-
-
-TABLE_ROWS = "title string, section_no int, section string, row_no int, headers array<string>, cells map<string,string>, second string, error string"
+    text = T.col(text)
+    return T.let(F.regexp_extract_all(text, F.lit(rf"\A({NO_PIPE})\|"), F.lit(1)), lambda found: F.when(text.isNotNull(), F.coalesce(F.length(F.get(found, 0)), F.lit(-1))))
+
+
+def headers(table: Column) -> Column:
+    """struct(names, error): column names; under a spanning header its children take the place of the first one."""
+    lines = F.split(T.strip(F.regexp_replace(table, STYLE, "")), "\n")
+    none = F.array().cast("array<string>")
+
+    def spanning(rows: Column) -> Column:
+        bare = F.transform(rows, lambda r: T.strip(F.replace(r, F.lit("!"), F.lit(""))))
+
+        def told(bare: Column) -> Column:
+            second = lambda r: T.strip(F.get(F.split(r, r"\|"), 1))
+            own = F.flatten(F.transform(bare, lambda r: F.when(r.startswith("rowspan"), F.array(second(r))).when(r.startswith("colspan"), F.array(F.lit("#"))).otherwise(none)))
+            children = F.filter(bare, lambda r: ~r.startswith("rowspan") & ~r.startswith("colspan"))
+            put = lambda n, at: F.when(at > 0, F.concat(F.slice(n, F.lit(1), at - 1), children, F.slice(n, at + 1, F.size(n)))).otherwise(n)
+            names = T.let(own, lambda n: T.let(F.array_position(n, "#").cast("int"), lambda at: put(n, at)))
+            return F.struct(names.alias("names"), F.when(F.exists(bare, lambda r: r.startswith("rowspan") & ~r.contains("|")), "a spanning header without text").alias("error"))
+
+        return T.let(bare, told)
+
+    def read(rows: Column) -> Column:
+        flat = F.struct(F.flatten(F.transform(rows, lambda r: F.split(F.substring(r, F.lit(2), F.length(r)), "!!"))).alias("names"), F.lit(None).cast("string").alias("error"))
+        return F.when(F.size(rows) == 0, F.struct(none.alias("names"), F.lit(None).cast("string").alias("error"))).when(F.get(rows, 0).contains("rowspan"), spanning(rows)).otherwise(flat)
+
+    few = lambda h: F.when(F.size(h["names"]) < 2, "fewer than two columns")
+    found = T.let(F.filter(F.transform(lines, lambda x: T.strip(x)), lambda r: r.startswith("!")), read)
+    return T.let(found, lambda h: F.struct(h["names"].alias("names"), F.coalesce(h["error"], few(h)).alias("error")))
+
+
+_RUNNING = "array<struct<c:int,left:int,v:string>>"
+
+
+def grid(table: Column, width: Column) -> Column:
+    """Rows of the first table of a text, cells under row spans filled in; rows without any cell are dropped.
+
+    Cells go to free columns from the left; a wide cell covers what follows, what doesn't fit is lost.
+    """
+    places = F.sequence(F.lit(0), width - 1)
+    cell = lambda c: T.let(T.span(c), lambda s: F.struct(s["rowspan"].alias("down"), s["colspan"].alias("across"), first_markup(s["data"]).alias("v")))
+    body = lambda x: F.when(~x.startswith("|-"), F.transform(split_cells(T.strip(F.substring(x, F.lit(2), F.length(x)))), cell))
+    state = lambda done, row, running: F.struct(done.alias("done"), row.alias("row"), running.alias("running"))
+
+    def until_end(lines: Column) -> Column:
+        end = F.get(F.filter(F.transform(lines, lambda x, i: F.when((x == "}") | x.startswith("|}"), i)), lambda i: i.isNotNull()), 0)
+        return T.let(end, lambda e: F.when(e.isNull(), lines).otherwise(F.slice(lines, F.lit(1), F.coalesce(e, F.lit(0)))))
+
+    def opened(s: Column) -> Column:
+        fresh = F.transform(places, lambda c: F.get(F.filter(s["running"], lambda r: r["c"] == c), 0)["v"])
+        left = F.filter(F.transform(s["running"], lambda r: F.struct(r["c"].alias("c"), (r["left"] - 1).alias("left"), r["v"].alias("v"))), lambda r: r["left"] > 0)
+        return state(F.when(s["row"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["row"]))), fresh, left)
+
+    def put(into: Column, cell: Column) -> Column:
+        free = F.get(F.filter(places, lambda c: (c >= into["at"]) & F.get(into["row"], c).isNull()), 0)
+
+        def at(c: Column) -> Column:
+            row = F.transform(into["row"], lambda x, i: F.when((i >= c) & (i < c + cell["across"]), cell["v"]).otherwise(x))
+            span = F.array(F.struct(c.alias("c"), (cell["down"] - 1).alias("left"), cell["v"].alias("v")))
+            kept = F.when(cell["down"] > 1, F.concat(into["running"], span)).otherwise(into["running"])
+            placed = F.struct(row.alias("row"), (c + cell["across"]).alias("at"), kept.alias("running"))
+            return F.when(c.isNotNull(), placed).otherwise(F.struct(into["row"].alias("row"), width.alias("at"), into["running"].alias("running")))
+
+        return T.let(free, at)
+
+    def filled(s: Column, cells: Column) -> Column:
+        start = F.struct(s["row"].alias("row"), F.lit(0).alias("at"), s["running"].alias("running"))
+        return T.let(F.aggregate(cells, start, put), lambda x: state(s["done"], x["row"], x["running"]))
+
+    def step(s: Column, cells: Column) -> Column:
+        row = T.let(F.when(cells.isNull() | s["row"].isNull(), opened(s)).otherwise(s), lambda o: F.when(cells.isNull(), o).otherwise(filled(o, cells)))
+        return row
+
+    lines = T.let(F.transform(F.split(T.strip(table), "\n"), lambda x: T.strip(x)), until_end)
+    marked = F.transform(F.filter(lines, lambda x: x.startswith("|")), body)
+    start = state(F.array().cast("array<array<string>>"), F.lit(None).cast("array<string>"), F.array().cast(_RUNNING))
+    rows = T.let(F.aggregate(marked, start, step), lambda s: F.when(s["row"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["row"]))))
+    return F.filter(rows, lambda r: F.exists(r, lambda x: x.isNotNull()))
 
 
 def table_rows(parts: DataFrame) -> DataFrame:
-    """One row per table row of (title, section_no, section, wikitext), in order, with its second column's value.
+    """(title, section_no, section, row_no, headers, cells, second, error): one row per table row of ``parts`` (title,
+    section_no, section, wikitext), in order, with its second column's value.
 
     A table that can't be read gives one row with ``error``.
     """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for title, number, section, text in batch.itertuples(index=False):
-                try:
-                    names = headers(text)
-                    if len(names) < 2:
-                        raise ValueError("fewer than two columns")
-                    for k, row in enumerate(grid(text, len(names))):
-                        out.append((title, number, section, k, names, dict(zip(names, row, strict=True)), row[1], None))
-                except (IndexError, ValueError) as e:
-                    out.append((title, number, section, 0, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TABLE_ROWS.split(", ")])
-
-    return parts.select("title", "section_no", "section", "wikitext").mapInPandas(read, TABLE_ROWS)
+    read = parts.select("title", "section_no", "section", "wikitext", headers(F.col("wikitext")).alias("_h"))
+    fine = F.col("_h.error").isNull()
+    rows = read.select("title", "section_no", "section", "_h", F.posexplode_outer(F.when(fine, grid(F.col("wikitext"), F.size("_h.names")))).alias("row_no", "_row"))
+    kept = rows.where(~fine | F.col("_row").isNotNull())
+    return kept.select(
+        "title", "section_no", "section", F.coalesce("row_no", F.lit(0)).alias("row_no"), F.when(fine, F.col("_h.names")).alias("headers"),
+        F.when(fine, F.map_from_arrays("_h.names", "_row")).alias("cells"), F.get("_row", 1).alias("second"), F.col("_h.error").alias("error"),
+    )
 
 
 def film_rows(film_parts: DataFrame) -> DataFrame:

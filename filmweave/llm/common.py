@@ -101,13 +101,17 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, column: str = "r
     )
 
 
-def known_rows(docs: DataFrame) -> DataFrame:
-    """(doc, row): each row whole, and a 64-bit hash of all its columns (of those that have no hash, their JSON).
+#: Bits of the hash that rows go by; a second one of 64 bits tells unequal rows of one hash apart.
+ROW_BITS = 64
+
 
-    Rows of equal contents share it; null or repeated ids don't matter.
+def known_rows(docs: DataFrame) -> DataFrame:
+    """(doc, row, check): each row whole, and two independent hashes of all its columns (of those that have no hash, their
+    JSON). Rows of equal contents share both; null or repeated ids don't matter.
     """
     hashed = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
-    return docs.select(F.struct("*").alias("doc"), F.xxhash64(*hashed).alias("row"))
+    row = F.shiftrightunsigned(F.xxhash64(*hashed), 64 - ROW_BITS) if ROW_BITS < 64 else F.xxhash64(*hashed)
+    return docs.select(F.struct("*").alias("doc"), row.alias("row"), F.xxhash64(F.lit("check"), *reversed(hashed)).alias("check"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,10 @@ number per language reaches the driver. Trigrams overlap and depend on each
 other, so a text counts as at most ``evidence`` independent ones (a parameter;
 None: all of them).
 
-Every language that at least ``least_share`` of the documents declare gets a
-model (which bounds their number by its reciprocal); a text that no model explains
-better than evenly spread trigrams is in the language ``other`` and not kept.
+Every language that at least ``least_texts`` documents declare gets a model,
+whatever their share (a model takes 128 KB). A text that no model explains better than evenly spread
+trigrams is in the language that it declares if that one has too few texts for a
+model, and then kept; else it is in the language ``other`` and not kept.
 
 A document is kept if its best language's posterior reaches ``threshold`` and
 its words look like that language more than like evenly spread trigrams.
@@ -28,8 +29,8 @@ gets the language of its other evidence; null declared languages, suffixes and
 hosts carry no evidence of their own (a null host has its suffix's prior); ties go
 to the language first in code point order; null and repeated ids, and repeated
 rows, are judged each alike by their own columns; very long texts count whole;
-other columns, whatever their names, are not read; without any declared language
-nothing is kept; an empty table stays empty.
+other columns, whatever their names, are not read; without a model of any
+language nothing is kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ from filmweave.llm.common import BROADCAST_ROWS, documents, maybe_broadcast, sta
 from filmweave.llm.words import gram_hashes, in_parts, spell, words_of
 from filmweave.session import prepare
 
-#: Texts of a declared language in the sample; share of documents that declare a language, at least; trigram buckets; independent trigrams of a text at most.
-PER_LANGUAGE, LEAST_SHARE, BUCKETS, EVIDENCE = 400, 0.001, 1 << 15, 200
+#: Texts of a declared language in the sample; texts that a language needs for a model; trigram buckets; independent trigrams of a text at most.
+PER_LANGUAGE, LEAST_TEXTS, BUCKETS, EVIDENCE = 400, 2, 1 << 15, 200
 #: Weight, in documents, of the wider prior in a host's (and of the corpus prior in a suffix's).
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 20.0
 OTHER = "other"
@@ -93,14 +94,13 @@ class TrigramModel:
         return words.sums(rows), words.sums(n)
 
 
-def train(docs: DataFrame, declared: str = "lang", least_share: float = LEAST_SHARE) -> TrigramModel:
-    """From at most PER_LANGUAGE texts (least hashes) of each language that ``least_share`` of the declaring documents declare.
+def train(docs: DataFrame, declared: str = "lang", least_texts: int = LEAST_TEXTS) -> TrigramModel:
+    """From at most PER_LANGUAGE texts (least hashes) of each language that ``least_texts`` documents declare, whatever their share.
 
     Trigrams are counted on the executors; one number per language and bucket reaches the driver.
     """
     told = docs.where(F.col(declared).isNotNull()).groupBy(F.col(declared).alias("said")).count()
-    total = told.agg(F.sum("count")).first()[0] or 0
-    languages = sorted(r["said"] for r in told.where(F.col("count") >= least_share * total).collect())
+    languages = sorted(r["said"] for r in told.where(F.col("count") >= least_texts).collect())
     if not languages:
         return TrigramModel([], np.zeros((BUCKETS, 0)))
     number = {v: k for k, v in enumerate(languages)}
@@ -198,7 +198,10 @@ def identify(docs: DataFrame, model: TrigramModel, threshold: float = 0.5, evide
 
     empty, names = F.expr("cast(map() as map<int, bigint>)"), F.array(*map(F.lit, [*languages, OTHER]))
     fused = joined.withColumn("_fused", fuse("n", "ll", *(F.coalesce(f"by_{c}", empty) for c in columns)))
-    return fused.select(*carry, "declared", "host", F.get(names, F.col("top")).alias("text_language"), F.get(names, F.col("_fused.best")).alias("language"), "_fused.posterior", "_fused.kept")
+    # what no model explains is in the language it declares, if that is one without a model
+    alone = F.col("declared").isNotNull() & ~F.col("declared").isin(languages) & (F.col("_fused.best") == size) & (F.col("n") > 0)
+    language = F.when(alone, F.col("declared")).otherwise(F.get(names, F.col("_fused.best")))
+    return fused.select(*carry, "declared", "host", F.get(names, F.col("top")).alias("text_language"), language.alias("language"), "_fused.posterior", (F.col("_fused.kept") | alone).alias("kept"))
 
 
 def evidence_of_documents(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:

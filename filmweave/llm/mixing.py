@@ -12,7 +12,7 @@ left: it is rounded to the nearer side, and what that adds or takes away is made
 up by turning smaller documents of the same run, the largest that fit first.
 Reruns agree: blocks and draws depend on the rows' contents alone.
 
-A row is known by a hash of its contents, so null or repeated ids are spread like
+A row is known by two hashes of its contents, so null or repeated ids are spread like
 any others, and only rows that are equal throughout are told apart by number.
 
 Defined results: null or blank texts have size 0 and are rounded to the nearer
@@ -39,7 +39,7 @@ MOST = 3
 #: Decides the draws; another value gives another mix of the same expectation.
 SEED = 20_261
 
-SCHEMA = "doc_id long, source string, row long, occ long, size long, source_size long, target double, whole int, p double, blocks long, block long, draw long, resolved boolean, copies int"
+SCHEMA = "doc_id long, source string, row long, check long, occ long, size long, source_size long, target double, whole int, p double, blocks long, block long, draw long, resolved boolean, copies int"
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1, 2, 3), most: int = MOST) -> dict[str | None, float]:
@@ -109,21 +109,21 @@ def pivotal(batches: Iterator[pd.DataFrame], last: bool) -> Iterator[pd.DataFram
 
 
 def decide(sized: DataFrame) -> DataFrame:
-    """Copies of each row of (doc_id, source, row, occ, size): adds source_size, target, copies."""
+    """Copies of each row of (doc_id, source, row, check, occ, size): adds source_size, target, copies."""
     spark = sized.sparkSession
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     want = targets([(r["source"], r["source_size"]) for r in per_source])
     rows = [(r["source"], r["source_size"], want[r["source"]], -(-r["n"] // BLOCK_ROWS)) for r in per_source]
     of = spark.createDataFrame(rows, "src string, source_size long, target double, blocks long")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.xxhash64("row", "occ", F.lit(SEED))
+    draw = F.xxhash64("row", "check", "occ", F.lit(SEED))
     level = (
         sized.join(maybe_broadcast(of), F.col("source").eqNullSafe(F.col("src")))
         .drop("src")
         .withColumn("x", F.when(F.abs(expected - F.round(expected)) < 1e-9, F.round(expected)).otherwise(expected))
         .withColumn("whole", F.floor("x").cast("int"))
         .withColumn("p", F.col("x") - F.col("whole"))
-        .withColumn("block", F.pmod(F.xxhash64("row", "occ", F.lit(SEED + 1)), F.col("blocks")))
+        .withColumn("block", F.pmod(F.xxhash64("row", "check", "occ", F.lit(SEED + 1)), F.col("blocks")))
         .withColumns({"draw": draw, "resolved": (F.col("p") == 0) | (F.col("size") == 0), "copies": F.col("whole") + ((F.col("size") == 0) & (F.col("p") >= 0.5)).cast("int")})
         .select([c.split()[0] for c in SCHEMA.split(", ")])
     )
@@ -135,7 +135,7 @@ def decide(sized: DataFrame) -> DataFrame:
         last = most == 1
         run = (
             open_.repartition("source", "block")
-            .sortWithinPartitions("source", "block", F.desc("size"), "draw", "row", "occ")
+            .sortWithinPartitions("source", "block", F.desc("size"), "draw", "row", "check", "occ")
             .mapInPandas(lambda batches, last=last: pivotal(batches, last), SCHEMA)
         )
         run = stage(run, f"mix-{k}")
@@ -148,27 +148,27 @@ def decide(sized: DataFrame) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     assert out.columns == names
-    return out.select("doc_id", "source", "row", "occ", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "source", "row", "check", "occ", "size", "source_size", "target", "copies")
 
 
 def sized_rows(known: DataFrame) -> DataFrame:
-    """(doc_id, source, row, size, occ) of known rows; ``occ`` numbers rows of equal contents. Staged, without texts."""
-    narrow = stage(known.select("doc.doc_id", "doc.source", "row", word_count("doc.text").alias("size")), "mix-sizes")
-    return narrow.withColumn("occ", F.row_number().over(Window.partitionBy("row", "doc_id", "source", "size").orderBy("row")).cast("long"))
+    """(doc_id, source, row, check, size, occ) of known rows; ``occ`` numbers rows of equal contents. Staged, without texts."""
+    narrow = stage(known.select("doc.doc_id", "doc.source", "row", "check", word_count("doc.text").alias("size")), "mix-sizes")
+    return narrow.withColumn("occ", F.row_number().over(Window.partitionBy("row", "check", "doc_id", "source", "size").orderBy("row")).cast("long"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, dropped ones gone; same columns.
 
-    Texts meet the decisions in one join by the hash of the row. Rows of equal contents are one row there, taken as
-    often as all of them together.
+    Texts meet the decisions in one join by both hashes of the row, 128 bits. Rows of equal contents are one row there,
+    taken as often as all of them together.
     """
     known = known_rows(docs)
-    taken = decide(sized_rows(known)).groupBy("row").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("same"))
+    taken = decide(sized_rows(known)).groupBy("row", "check").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("same"))
     taken = stage(taken.where("copies > 0"), "mix-taken")
-    mixed = known.join(taken.hint("merge"), "row")  # it grows with the documents: one plan at every size
+    mixed = known.join(taken.hint("merge"), ["row", "check"])  # it grows with the documents: one plan at every size
     if taken.where("same > 1").limit(1).count():
-        mixed = mixed.where("same = 1").unionByName(mixed.where("same > 1").dropDuplicates(["row"]))
+        mixed = mixed.where("same = 1").unionByName(mixed.where("same > 1").dropDuplicates(["row", "check"]))
     return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 

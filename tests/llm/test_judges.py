@@ -261,6 +261,31 @@ def test_toxicity_scores_against_plain_sums(spark):
         assert ids.tolist() == sorted(bag) and np.allclose(weights, [bag[i] for i in sorted(bag)], atol=1e-5)
 
 
+def test_rare_languages_are_found_or_kept(spark):
+    """Two of 3,002 documents declare a language of their own: no share is too small, and without a model the declaration stands."""
+    rows = [(k, "the cat and the dog sat there on that mat " * 3, "en" if k % 2 else "es", "h") for k in range(3000)]
+    rare = [(9000 + k, "жъ щюя эжъ ыщ юяэ жъщ ыюя " * 4, "zz", "h") for k in range(2)]
+    df = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["language"], r["kept"]) for r in L.identify(L.evidence_of_documents(df), L.train(df)).where("doc_id >= 9000").collect()}
+    assert got == {9000: ("zz", True), 9001: ("zz", True)}
+    found = {r["doc_id"]: (r["language"], r["kept"]) for r in L.identify(L.evidence_of_documents(df), L.train(df, least_texts=3)).where("doc_id >= 9000").collect()}
+    assert found == got
+
+
+def test_rows_of_one_hash_are_not_lost(spark, monkeypatch):
+    """A hash of two bits makes unequal rows share it: the mix takes each for itself, near duplicates lose none that differ."""
+    import corpus_pipeline as cp
+    from filmweave.llm import common, mixing
+
+    monkeypatch.setattr(common, "ROW_BITS", 2)
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10_000, 30)) for _ in range(40)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(0, texts[0], "en", "s", len(texts[0]))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in mixing.mix(df).collect()} == set(range(40))
+    kept = [x["doc_id"] for x in cp.near_duplicates(spark, df, SMALL).collect()]
+    assert sorted(kept) == list(range(40))
+
+
 def test_language_of_documents(spark):
     rows = L.op9_language_id(spark, SMALL).collect()
     assert len(rows) == 200 and np.mean([r["kept"] for r in rows]) > 0.98 and np.mean([r["language"] == r["declared"] for r in rows]) > 0.98

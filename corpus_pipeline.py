@@ -62,16 +62,23 @@ def language(docs: DataFrame) -> DataFrame:
 
 @_step
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of every component (five-word shingles, similarity 0.8)."""
+    """One row of every component (five-word shingles, similarity 0.8).
+
+    Rows go by one hash while they are joined. Unequal rows that share it are told by the other one: they are few, can't
+    be judged apart, and stay.
+    """
     known = known_rows(docs)
     told = jaccard_join.join(known.select(F.col("row").alias("doc_id"), "doc.text"), words=5, percent=80)
     told = stage(told.select(F.col("doc_id").alias("row"), "component_id"), "near-duplicates")
-    ids = known.select("row", F.col("doc.doc_id").alias("id")).distinct()
-    first = told.distinct().join(ids, "row").groupBy("component_id").agg(F.min_by("row", F.struct(F.isnull("id"), "id", "row")).alias("row"))
-    chosen = stage(told.join(first.select("row"), "row", "left_semi").groupBy("row").agg(F.count("*").alias("same")), "kept-rows")
+    ids = known.select("row", "check", F.col("doc.doc_id").alias("id")).distinct()
+    met = stage(told.distinct().join(ids, "row"), "components-by-id")
+    first = met.groupBy("component_id").agg(F.min_by("row", F.struct(F.isnull("id"), "id", "row")).alias("row")).select("row")
+    shared = met.groupBy("row").agg((F.min("check") < F.max("check")).alias("shared")).where("shared").select("row")
+    stay = first.unionByName(shared).distinct()
+    chosen = stage(told.join(stay, "row", "left_semi").groupBy("row").agg(F.count("*").alias("same")), "kept-rows")
     kept = known.join(chosen.hint("merge"), "row")  # it grows with the documents: one plan at every size
     if chosen.where("same > 1").limit(1).count():
-        kept = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["row"]))
+        kept = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["row", "check"]))
     return kept.select("doc.*")
 
 

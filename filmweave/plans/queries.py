@@ -638,3 +638,91 @@ def location_classes(spark, d):
 def school_classes(spark, d):
     """How many people share a school, and how many pairs that stands for."""
     return graph.shared_classes(graph.people_of(graph.nodes(persons(spark, d), works(spark, d))), "school")
+
+
+# -- directors, section names of tables, people alone, and the options ---------------------
+
+
+@query(
+    """SELECT s_name AS title, CASE s_suppkey % 3 WHEN 0 THEN 'directed ' || s_suppkey WHEN 1 THEN 'acted ' || s_suppkey ELSE 'person ko là actor cũng ko là director' END AS film_part FROM supplier"""
+)
+def director_sections(spark, d):
+    """Film sections of directors and of actors; of people who are neither, none."""
+    job = "case s_suppkey % 3 when 0 then '|công việc=Nhà làm phim' when 1 then '|occupation=diễn viên' else '|nghề nghiệp=ca sĩ' end"
+    said = "if(s_suppkey % 3 = 0, 'directed ', 'acted ')"
+    text = rf"concat('{{{{Thông tin nghệ sĩ|tên=', s_name, {job}, '}}}}\n== Phim ==\n', {said}, s_suppkey, '\n== Khác ==')"
+    people = read(spark, d, "supplier").select(F.col("s_name").alias("title"), F.expr(text).alias("text"))
+    return sections.film_sections(sections.page_sections(infobox.page_facts(people)))
+
+
+@query(
+    """SELECT n_name AS title, 'Loại ' || k AS type_film, 'film ' || k || ' of ' || n_nationkey AS film FROM nation, (VALUES (0), (1), (2)) AS v(k) WHERE (n_nationkey + k) % 3 <> 1"""
+)
+def table_types(spark, d):
+    """Rows of several film tables a person, by the section they stand in; foreign films go."""
+    kinds = spark.range(3).select(F.col("id").alias("k"))
+    both = read(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("int").alias("n")).join(kinds.hint("broadcast"), F.lit(True))
+    film = both.select("n_name", "k", F.expr("concat('film ', k, ' of ', n)").alias("film"), F.expr("if((n + k) % 3 = 1, '|quốc gia=Mỹ', '|quốc gia=Việt Nam')").alias("country"))
+    facts = infobox.page_facts(film.select(F.col("film").alias("title"), F.expr("concat('{{Infobox film|tên phim=x', country, '}}')").alias("text")))
+    one = F.expr(r"concat('=== Loại ', k, ' ===\n{|\n!Năm!!Tựa đề\n|-\n|1990||[[', film, ']]\n|}\n')")
+    parts = film.groupBy(F.col("n_name").alias("title")).agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("film_part"))
+    return tables.vn_film_rows(tables.film_rows(parts), facts).select("title", "type_film", tables.row_title(tables.SEED_WORDS).alias("film"))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT c_name AS person, floor(o_totalprice)::BIGINT AS film FROM customer JOIN orders ON c_custkey = o_custkey),
+  shared AS (SELECT film FROM e GROUP BY film HAVING count(*) > 1)
+  SELECT c_name AS name FROM customer WHERE c_name NOT IN (SELECT person FROM e JOIN shared USING (film))"""
+)
+def lone_persons(spark, d):
+    """Customers none of whose orders costs, in whole units, what another customer's does."""
+    return _alone(spark, d, read(spark, d, "orders").select("o_custkey", F.floor("o_totalprice").cast("string").alias("o_orderpriority")))
+
+
+@query("SELECT 'order ' || o_orderkey AS title, 'order ' || CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey - o_orderkey % 3 END AS final_title FROM orders WHERE o_orderkey >= 3")
+def redirects_any_case(spark, d):
+    """The option that follows redirects however their word is written."""
+    text = "case o_orderkey % 3 when 0 then 'end' when 1 then concat('#REDIRECT [[order ', o_orderkey - 1, ']]') else concat('#Đổi [[order ', o_orderkey - 2, ']]') end"
+    pages = read(spark, d, "orders").where("o_orderkey >= 3").select(F.expr("concat('order ', o_orderkey)").alias("title"), F.expr(text).alias("text"))
+    return lookup.resolved_pages(pages, any_case=True).select("title", "final_title")
+
+
+@query("SELECT p_partkey, 'Ai ' || p_name || ' (' || p_size || ')' AS kept, 'Ai ' || p_name || ' ' || p_size AS bare FROM part")
+def names_with_parentheses(spark, d):
+    """The option that keeps parentheses in names of prose casts, beside the default."""
+    text = F.expr("concat('* [[Ai ', p_name, ' (', p_size, ')|x]] vai A.')")
+    name = lambda keep: F.get(cast.prose_cast(text, keep), 0)["actor_name"]
+    return read(spark, d, "part").select("p_partkey", name(True).alias("kept"), name(False).alias("bare"))
+
+
+@query("SELECT p_name || '#' || p_partkey AS film, 0 AS dropped, 2 AS flattened, p_brand AS first FROM part")
+def flattened_casts(spark, d):
+    """The option that keeps casts read from tables, beside the default, which drops them."""
+    actors = F.array(F.struct(F.col("p_brand").alias("actor_name"), F.lit("A").alias("character")), F.struct(F.lit("B").alias("actor_name"), F.lit("C").alias("character")))
+    made = read(spark, d, "part").select(F.expr(FILM).alias("film"), F.create_map(F.lit("tên phim"), F.col("p_name")).alias("infobox"), actors.alias("actors"), F.lit(True).alias("nested"), F.lit(None).cast("array<string>").alias("director"))
+    default, flat = records.film_records(made), records.film_records(made, flatten_table_cast=True)
+    told = flat.select("film", F.size("actors").alias("flattened"), F.get("actors", 0)["actor_name"].alias("first"))
+    return default.select("film", F.size("actors").alias("dropped")).join(told, "film")
+
+
+@query(BFS + "SELECT p::VARCHAR AS name, level FROM person")
+def directors_lead(spark, d):
+    """The option that lets directors lead on: casts without first lines, whose people direct, reach what all credits reach."""
+    credit = read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("name"), F.col("l_orderkey").cast("string").alias("film"), F.col("l_linenumber").alias("pos"))
+    start = read(spark, d, "part").where(SEEDS).select(F.col("p_partkey").cast("string").alias("name"))
+    casts = credit.where("pos <> 1").select("film", "pos", F.col("name").alias("actor"), F.lit(False).alias("nested"))
+    led = credit.where("pos = 1").select("film", F.col("name").alias("actor"))
+    return crawl.crawl(start, credit.select("name", "film"), casts, full_frontier=True, directors=led)[0].select("name", "level")
+
+
+@query("SELECT s_name AS name, 'film ' || (s_suppkey - s_suppkey % 2) AS film FROM supplier")
+def canonical_films(spark, d):
+    """The option that takes aliases of one page for one node: every other person's table names an alias."""
+    text = r"concat('{{Thông tin nghệ sĩ|nghề nghiệp=Diễn viên}}\n== Phim ==\n{|\n!Năm!!Phim\n|-\n|1||[[film ', s_suppkey, ']]\n|}')"
+    people = read(spark, d, "supplier").select(F.col("s_name").alias("title"), F.expr(text).alias("text"))
+    film = "if(s_suppkey % 2 = 0, '{{Infobox film|quốc gia=Việt Nam}}', concat('#đổi [[film ', s_suppkey - 1, ']]'))"
+    films = read(spark, d, "supplier").select(F.expr("concat('film ', s_suppkey)").alias("title"), F.expr(film).alias("text"))
+    zero = spark.createDataFrame([("film 0", "{{Infobox film|quốc gia=Việt Nam}}")], "title string, text string")
+    pages = people.unionByName(films.where("title <> 'film 0'")).unionByName(zero)
+    made = network.build(pages, people.select(F.col("title").alias("name")), canonicalize=True)
+    return made.persons.select("name", F.explode_outer("films").alias("film"))

@@ -346,3 +346,28 @@ def test_pack(spark):
         assert joined[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == bytes(r["ids"])
     assert sum(map(len, joined.values())) == 4 * sum(map(len, want))
     assert P.pack(P.pieces(docs(spark, []), K.place("word_bpe_49k.json"))).count() == 0
+
+
+def test_op8_as_registered(spark):
+    """The query itself: columns, types, and on the small table every id once, in place, in about as few sequences as can be."""
+    import tokenizers
+
+    got = P.op8_packing(spark, SMALL)
+    assert dict(got.dtypes) | {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"} == dict(got.dtypes)
+    tokenizer = tokenizers.Tokenizer.from_file(K.place("word_bpe_49k.json"))
+    want, lengths = set(), []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect():
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want.add((r["doc_id"], k, at, len(part), zlib.crc32(part.tobytes())))
+            lengths.append(len(part))
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(held) <= -(-sum(lengths) // 2048) * 1.1

@@ -283,3 +283,11 @@ def test_neighbours_recall_with_a_beam_of_few_percent(spark):
         d[q] = np.inf
         hits += len(set(np.lexsort((np.arange(6600), d))[:10].tolist()) & set(found[q]))
     assert hits >= 0.9 * 10 * 66
+
+
+def test_op10_as_registered(spark):
+    """The query itself: columns, types, and every document of the small table against brute force."""
+    got = J.op10_jaccard_join(spark, SMALL)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)

@@ -72,6 +72,34 @@ def test_jaccard_join_divides_large_regions(spark, monkeypatch, seed):
     assert sorted((tuple(r) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize(("few", "words", "percent"), [(8, 4, 85), (10**9, 4, 85), (10**9, 5, 80), (10**9, 4, 50)])
+def test_jaccard_join_divides_by_second_shingle(spark, monkeypatch, few, words, percent):
+    """Regions of a few members divided by size and second shingle (at 50 percent by pivots alone), no shingle known as frequent."""
+    monkeypatch.setattr(J, "REGION_ROWS", 3)
+    monkeypatch.setattr(J, "FEW_REGIONS", few)
+    monkeypatch.setattr(J, "FREQUENT", 10**9)
+    r = random.Random(few + words)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    short = [(2000 + k, " ".join(["same passage in all of them", *(word() for _ in range(r.randint(0, 6)))])) for k in range(60)]
+    rows = near_copies(7, groups=6, size=9) + CASES + short
+    got = sorted((tuple(x) for x in J.join(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()), key=str)
+    assert got == brute(rows, words, percent)
+
+
+def test_unrelated_texts_under_one_shingle_leave_nothing(spark):
+    """20,000 texts of one size that share one rare shingle: no cell; a pair that shares a second one too is all that meets."""
+    rows = [(i, 20, [7, *range(100 + 10 * i, 104 + 10 * i)]) for i in range(20000)] + [(20000, 21, [7, 100, 5, 6])]
+    nodes = spark.createDataFrame(rows, "doc_id long, n long, prefix array<long>")
+    assert sorted(r["doc_id"] for r in J.cells(nodes, 85).collect()) == [0, 20000]
+
+
+def test_known_shingles_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(J, "KNOWN", 2)
+    texts = ["a b c d"] * 9 + ["b c d e"] * 7 + ["c d e f"] * 5
+    found, counts = J.frequent_shingles(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4)
+    assert sorted(counts.tolist()) == [7, 9] and sorted(found.tolist()) == found.tolist()
+
+
 def hub(seed, size, words=100, edits=3):
     """Copies of one text that all link to it and hardly to each other, the text itself among them."""
     r = random.Random(seed)

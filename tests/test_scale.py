@@ -48,3 +48,9 @@ def test_collaborations_shuffle_no_pairs(spark, monkeypatch):
     alone = {tuple(sorted((r["n1"], r["n2"]))): (r["school"], r["location"]) for r in graph.alike_only(casts, blocks).collect()}
     assert alone == {k: v[2:] for k, v in want.items() if not v[0]}
 
+
+def test_shared_pairs_lie_in_many_tasks(spark):
+    people = spark.range(300).select(F.concat(F.lit("p"), "id").alias("name"), F.lit("x").alias("place"))
+    made = graph.shared_pairs(people, "place", block=30)
+    assert made.count() == 300 * 299 // 2
+    assert made.select(F.spark_partition_id()).distinct().count() > 2

@@ -16,7 +16,7 @@ from filmweave.functions import text as T
 from filmweave.operators import cast, crawl, graph, infobox, lookup, network, predicates, records, sections, tables
 from filmweave.session import prepare
 from filmweave.sources import sinks, store, wiki
-from filmweave.staging import shared_dir, stage
+from filmweave.staging import shared_dir, spread, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -341,7 +341,9 @@ def _casts(spark, d, item: str, before: str, after: str) -> DataFrame:
     items = credit.groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set(F.expr(item))), "").alias("items"))
     body = F.concat(F.lit(f"{{{{Infobox film|tên phim=x}}}}\n== Diễn viên ==\n{before}"), "items", F.lit(f"{after}\n== Khác ==\n* [[Ai]] vai Khác:"))
     pages = items.join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.expr(FILM).alias("title"), body.alias("text"))
-    told = sections.cast_sections(sections.page_sections(infobox.page_facts(pages)))
+    said = sections.page_sections(infobox.page_facts(spread(pages, "title"))).select("title", "infobox", "cast_part", "cast_hop", (F.col("text") != "").alias("full"))
+    # staged, since pages with and without a hop are two reads, and a box is asked often
+    told = sections.cast_sections(stage(said, "cast-pages"))
     # an inner explode would have its array worked out once more, to filter by its size
     return cast.film_casts(told).select(F.col("title").alias("film"), F.explode_outer("actors").alias("a")).where("a is not null").select("film", "a.actor_name", "a.character")
 

@@ -3,9 +3,16 @@
 import itertools
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from filmweave.operators import graph
+from conftest import SMALL
+from filmweave.functions import wikitext
+from filmweave.operators import cast, graph
+from filmweave.plans import queries
+
+film_casts = cast.film_casts
 
 
 def plan(df):
@@ -54,3 +61,36 @@ def test_shared_pairs_lie_in_many_tasks(spark):
     made = graph.shared_pairs(people, "place", block=30)
     assert made.count() == 300 * 299 // 2
     assert made.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_few_texts_are_objects_at_once(monkeypatch):
+    """What a batch holds beside Arrow's buffers is bounded by texts, not by the batch's rows."""
+    at_once, seen = [], []
+
+    class Part:
+        def __init__(self, texts):
+            self.texts = texts
+
+        def __len__(self):
+            return len(self.texts)
+
+        def slice(self, i, n):
+            return Part(self.texts[i : i + n])
+
+        def to_pylist(self):
+            at_once.append(len(self.texts))
+            return self.texts
+
+    texts = [None if i % 7 == 0 else f"{{{{a|{i}|x=[[y|z]]}}}}" for i in range(1000)]
+    told = wikitext.by_slices(Part(texts), lambda t: seen.append(t) or wikitext.templates_of(t), to_arrow_type(wikitext.TEMPLATES))
+    assert max(at_once) <= wikitext.AT_ONCE and len(seen) == sum(t is not None for t in texts)
+    assert told.to_pylist() == [wikitext.templates_of(t) for t in texts]
+    assert wikitext.by_slices(Part([]), wikitext.fold, pa.string()).to_pylist() == []
+
+
+def test_pages_of_casts_are_parsed_once(spark, monkeypatch):
+    """Rows with and without a hop are two reads of one staged table; neither holds the parser."""
+    held = []
+    monkeypatch.setattr(cast, "film_casts", lambda told: held.append(told) or film_casts(told))
+    queries.QUERIES["cast_table_roundtrip"](spark, SMALL)
+    assert "ArrowEvalPython" not in plan(held[0])

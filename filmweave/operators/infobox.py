@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filmweave.functions import text as T, wikitext
+from filmweave.staging import spread
 
 # Words that mark a template as an infobox of either kind, and keys looked up in it.
 PERSON_WORDS = ["nhân vật", "diễn viên", "nghệ sĩ", "person"]
@@ -71,7 +72,7 @@ def directors(box: Column) -> Column:
 
 def clean_infoboxes(pages: DataFrame, key: str = "title", column: str = "infobox") -> DataFrame:
     """(key, column) with every value read for display."""
-    entries = pages.select(key, F.explode(F.map_entries(column)).alias("e")).select(key, F.col("e.key").alias("k"), wikitext.display(F.col("e.value")).alias("v"))
+    entries = spread(pages.select(key, column), key).select(key, F.explode(F.map_entries(column)).alias("e")).select(key, F.col("e.key").alias("k"), wikitext.display(F.col("e.value")).alias("v"))
     return entries.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
 
 

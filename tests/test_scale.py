@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from conftest import SMALL
 from filmweave.functions import wikitext
-from filmweave.operators import cast, graph
+from filmweave.operators import cast, graph, infobox
 from filmweave.plans import queries
 
 film_casts = cast.film_casts
@@ -94,3 +94,9 @@ def test_pages_of_casts_are_parsed_once(spark, monkeypatch):
     monkeypatch.setattr(cast, "film_casts", lambda told: held.append(told) or film_casts(told))
     queries.QUERIES["cast_table_roundtrip"](spark, SMALL)
     assert "ArrowEvalPython" not in plan(held[0])
+
+
+def test_boxes_are_read_in_all_tasks(spark):
+    boxes = spark.range(400).coalesce(1).select(F.col("id").cast("string").alias("title"), F.create_map(F.lit("k"), F.lit("[[a|b]]")).alias("infobox"))
+    shown = plan(infobox.clean_infoboxes(boxes))
+    assert shown.index("ArrowEvalPython") < shown.index("xxhash64")  # dealt below the parser

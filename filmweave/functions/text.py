@@ -54,15 +54,22 @@ def heading(line: Column | str) -> Column:
 
 def span(token: Column | str) -> Column:
     """struct(rowspan, colspan, data) of a cell: digits left of the first pipe count together for either attribute."""
+    return let(strip(token), span_of)
 
-    def read(t: Column, left: Column) -> Column:
+
+def span_of(t: Column) -> Column:
+    """``span`` of a cell that is stripped; one without either word isn't cut."""
+    either = lambda c: c.contains("rowspan") | c.contains("colspan")
+    plain = F.struct(F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), t.alias("data"))
+
+    def read(left: Column) -> Column:
         number = F.coalesce(F.regexp_replace(left, r"[^0-9]", "").try_cast("int"), F.lit(1))
         value = lambda word: F.when(left.contains(word), number).otherwise(1)
         data = strip(F.substring(t, F.length(left) + 2, F.length(t)))
         spanned = F.struct(value("rowspan").alias("rowspan"), value("colspan").alias("colspan"), data.alias("data"))
-        return F.when(left.contains("rowspan") | left.contains("colspan"), spanned).otherwise(F.struct(F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), t.alias("data")))
+        return F.when(either(left), spanned).otherwise(plain)
 
-    return let(strip(token), lambda t: let(F.substring_index(t, "|", 1), lambda left: read(t, left)))
+    return F.when(either(t), let(F.substring_index(t, "|", 1), read)).otherwise(plain)
 
 
 def wikilinks(c: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """Wikitables: headers, the cell grid, and film rows; all in column expressions.
 
-A grid is a fold over a table's lines whose state is the rows laid out so far, the
-row being filled, and the spans still open, so no table leaves the JVM.
+Cells are read row by row; a grid is a fold over the rows whose state is places of
+cells in numbers, not their texts, and the spans still open, so no table leaves the JVM.
 """
 
 from __future__ import annotations
@@ -45,16 +45,18 @@ NO_PIPE, NO_PIPES = rf"(?:{_UNITS})*+", rf"(?:{_UNITS}|\|(?!\|))*+"
 
 def first_markup(text: Column) -> Column:
     """A table cell's reading: target of the first link, else name of the first template, else the text itself."""
+    marked = text.contains("[[") | text.contains("{{") | text.contains("''") | text.contains("<")
     bare = F.when(text.contains("<"), F.regexp_replace(text, r"(?is)<!--.*?-->|<nowiki>.*?</nowiki>", "")).otherwise(text)
     found = lambda t, pattern, mark: F.when(t.contains(mark), F.get(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), 0))
     plain = F.replace(F.replace(text, F.lit("'''"), F.lit("")), F.lit("''"), F.lit(""))
-    return T.strip(F.coalesce(T.let(bare, lambda t: F.coalesce(found(t, LINK, "[["), found(t, TEMPLATE, "{{"))), plain))
+    return T.strip(F.when(~marked, text).otherwise(F.coalesce(T.let(bare, lambda t: F.coalesce(found(t, LINK, "[["), found(t, TEMPLATE, "{{"))), plain)))
 
 
 def split_cells(line: Column) -> Column:
     """Stripped pieces between top-level ``||``."""
-    pieces = F.when(line.contains("||"), F.split(F.regexp_replace(line, rf"\G({NO_PIPES})\|\|", f"$1{CUT}"), CUT)).otherwise(F.array(line))
-    return F.transform(pieces, lambda p: T.strip(p))
+    nodes = line.contains("[[") | line.contains("{{")
+    cut = F.when(nodes, F.regexp_replace(line, rf"\G({NO_PIPES})\|\|", f"$1{CUT}")).otherwise(F.replace(line, F.lit("||"), F.lit(CUT)))
+    return F.when(line.contains("||"), F.transform(F.split(cut, CUT), lambda p: T.strip(p))).otherwise(F.array(T.strip(line)))
 
 
 def first_pipe(text: Column | str) -> Column:
@@ -65,7 +67,8 @@ def first_pipe(text: Column | str) -> Column:
 
 def headers(table: Column) -> Column:
     """struct(names, error): column names; under a spanning header its children take the place of the first one."""
-    lines = F.split(T.strip(F.regexp_replace(table, STYLE, "")), "\n")
+    unstyled = F.when(table.contains("style"), F.regexp_replace(table, STYLE, "")).otherwise(table)
+    lines = F.filter(F.split(unstyled, "\n"), lambda x: x.contains("!"))
     none = F.array().cast("array<string>")
 
     def spanning(rows: Column) -> Column:
@@ -90,7 +93,31 @@ def headers(table: Column) -> Column:
     return T.let(found, lambda h: F.struct(h["names"].alias("names"), F.coalesce(h["error"], few(h)).alias("error")))
 
 
-_RUNNING = "array<struct<c:int,left:int,v:string>>"
+#: Places of cells: the row's number in the high half, the cell's in the low one.
+_HALF = 32
+_RUNNING = "array<struct<c:int,left:int,ref:bigint>>"
+
+
+def row_cells(table: Column) -> Column:
+    """The cells (down, across, v) of each row of the first table of a text; a row opens at a mark, the first also without one."""
+    cell = lambda c: T.let(T.span_of(c), lambda s: F.struct(s["rowspan"].alias("down"), s["colspan"].alias("across"), first_markup(s["data"]).alias("v")))
+    body = lambda x: F.transform(split_cells(F.substring(x, F.lit(2), F.length(x))), cell)
+    places = lambda lines, found: F.filter(F.transform(lines, lambda x, i: F.when(found(x), i)), lambda i: i.isNotNull())
+
+    def until_end(lines: Column) -> Column:
+        end = F.get(places(lines, lambda x: (x == "}") | x.startswith("|}")), 0)
+        return T.let(end, lambda e: F.when(e.isNull(), lines).otherwise(F.slice(lines, F.lit(1), F.coalesce(e, F.lit(0)))))
+
+    def rows(lines: Column) -> Column:
+        marks = places(lines, lambda x: x.startswith("|-"))
+        unmarked = F.coalesce(~F.get(lines, 0).startswith("|-"), F.lit(False))
+        starts = F.when(unmarked, F.concat(F.array(F.lit(-1)), marks)).otherwise(marks)
+        held = lambda at, s, k: F.slice(lines, s + 2, F.coalesce(F.get(at, k + 1), F.size(lines)) - s - 1)
+        return T.let(starts, lambda at: F.transform(at, lambda s, k: F.flatten(F.transform(held(at, s, k), body))))
+
+    stripped = F.transform(F.filter(F.split(table, "\n"), lambda x: x.contains("|") | x.contains("}")), lambda x: T.strip(x))
+    lines = T.let(F.filter(stripped, lambda x: x.startswith("|") | (x == "}")), until_end)
+    return T.let(lines, rows)
 
 
 def grid(table: Column, width: Column) -> Column:
@@ -98,60 +125,68 @@ def grid(table: Column, width: Column) -> Column:
 
     Cells go to free columns from the left; a wide cell covers what follows, what doesn't fit is lost.
     """
-    places = F.sequence(F.lit(0), width - 1)
-    cell = lambda c: T.let(T.span(c), lambda s: F.struct(s["rowspan"].alias("down"), s["colspan"].alias("across"), first_markup(s["data"]).alias("v")))
-    body = lambda x: F.when(~x.startswith("|-"), F.transform(split_cells(T.strip(F.substring(x, F.lit(2), F.length(x)))), cell))
-    state = lambda done, row, running: F.struct(done.alias("done"), row.alias("row"), running.alias("running"))
+    rows = T.let(row_cells(table), lambda r: T.let(F.sequence(F.lit(0), width - 1), lambda places: laid_out(r, width, places)))
+    return F.filter(rows, lambda r: F.exists(r, lambda x: x.isNotNull()))
 
-    def until_end(lines: Column) -> Column:
-        end = F.get(F.filter(F.transform(lines, lambda x, i: F.when((x == "}") | x.startswith("|}"), i)), lambda i: i.isNotNull()), 0)
-        return T.let(end, lambda e: F.when(e.isNull(), lines).otherwise(F.slice(lines, F.lit(1), F.coalesce(e, F.lit(0)))))
 
-    def opened(s: Column) -> Column:
-        fresh = F.transform(places, lambda c: F.get(F.filter(s["running"], lambda r: r["c"] == c), 0)["v"])
-        left = F.filter(F.transform(s["running"], lambda r: F.struct(r["c"].alias("c"), (r["left"] - 1).alias("left"), r["v"].alias("v"))), lambda r: r["left"] > 0)
-        return state(F.when(s["row"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["row"]))), fresh, left)
+def laid_out(rows: Column, width: Column, places: Column) -> Column:
+    """Texts by column of ``rows`` of cells; ``places`` are the numbers of the ``width`` columns."""
+    no_spans = F.array().cast(_RUNNING)
+    span = lambda c, cell: F.struct(c.alias("c"), (cell["down"] - 1).alias("left"), cell["ref"].alias("ref"))
+    filled = lambda row, spans: F.struct(row.alias("row"), spans.alias("spans"))
+
+    def narrow(fresh: Column, cells: Column) -> Column:
+        """Cells of one column each go to the free ones in order."""
 
-    def put(into: Column, cell: Column) -> Column:
-        free = F.get(F.filter(places, lambda c: (c >= into["at"]) & F.get(into["row"], c).isNull()), 0)
+        def put(free: Column) -> Column:
+            row = F.transform(places, lambda c: F.coalesce(F.get(fresh, c), F.get(cells, F.array_position(free, c).cast("int") - 1)["ref"]))
+            spans = F.filter(F.transform(cells, lambda x, j: span(F.get(free, j), x)), lambda x: x["c"].isNotNull() & (x["left"] > 0))
+            return filled(row, F.when(F.exists(cells, lambda x: x["down"] > 1), spans).otherwise(no_spans))
 
-        def at(c: Column) -> Column:
-            row = F.transform(into["row"], lambda x, i: F.when((i >= c) & (i < c + cell["across"]), cell["v"]).otherwise(x))
-            span = F.array(F.struct(c.alias("c"), (cell["down"] - 1).alias("left"), cell["v"].alias("v")))
-            kept = F.when(cell["down"] > 1, F.concat(into["running"], span)).otherwise(into["running"])
-            placed = F.struct(row.alias("row"), (c + cell["across"]).alias("at"), kept.alias("running"))
-            return F.when(c.isNotNull(), placed).otherwise(F.struct(into["row"].alias("row"), width.alias("at"), into["running"].alias("running")))
+        return T.let(F.filter(places, lambda c: F.get(fresh, c).isNull()), put)
 
-        return T.let(free, at)
+    def wide(fresh: Column, cells: Column) -> Column:
+        def put(into: Column, cell: Column) -> Column:
+            state = lambda row, at, spans: F.struct(row.alias("row"), at.alias("at"), spans.alias("spans"))
 
-    def filled(s: Column, cells: Column) -> Column:
-        start = F.struct(s["row"].alias("row"), F.lit(0).alias("at"), s["running"].alias("running"))
-        return T.let(F.aggregate(cells, start, put), lambda x: state(s["done"], x["row"], x["running"]))
+            def at(c: Column) -> Column:
+                row = F.transform(into["row"], lambda x, i: F.when((i >= c) & (i < c + cell["across"]), cell["ref"]).otherwise(x))
+                spans = F.when(cell["down"] > 1, F.concat(into["spans"], F.array(span(c, cell)))).otherwise(into["spans"])
+                return F.when(c.isNotNull(), state(row, c + cell["across"], spans)).otherwise(state(into["row"], width, into["spans"]))
+
+            return T.let(F.get(F.filter(places, lambda c: (c >= into["at"]) & F.get(into["row"], c).isNull()), 0), at)
+
+        start = F.struct(fresh.alias("row"), F.lit(0).alias("at"), no_spans.alias("spans"))
+        return F.aggregate(cells, start, put, lambda x: filled(x["row"], x["spans"]))
 
     def step(s: Column, cells: Column) -> Column:
-        row = T.let(F.when(cells.isNull() | s["row"].isNull(), opened(s)).otherwise(s), lambda o: F.when(cells.isNull(), o).otherwise(filled(o, cells)))
-        return row
+        none = F.size(s["running"]) == 0
+        under = F.transform(places, lambda c: F.get(F.filter(s["running"], lambda r: r["c"] == c), 0)["ref"])
+        left = F.filter(F.transform(s["running"], lambda r: F.struct(r["c"].alias("c"), (r["left"] - 1).alias("left"), r["ref"].alias("ref"))), lambda r: r["left"] > 0)
+        row = T.let(F.when(none, F.array_repeat(F.lit(None).cast("bigint"), width)).otherwise(under), lambda f: F.when(F.exists(cells, lambda x: x["across"] != 1), wide(f, cells)).otherwise(narrow(f, cells)))
+        return T.let(row, lambda x: F.struct(F.concat(s["done"], x["row"]).alias("done"), F.when(none, x["spans"]).otherwise(F.concat(left, x["spans"])).alias("running")))
 
-    lines = T.let(F.transform(F.split(T.strip(table), "\n"), lambda x: T.strip(x)), until_end)
-    marked = F.transform(F.filter(lines, lambda x: x.startswith("|")), body)
-    start = state(F.array().cast("array<array<string>>"), F.lit(None).cast("array<string>"), F.array().cast(_RUNNING))
-    rows = T.let(F.aggregate(marked, start, step), lambda s: F.when(s["row"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["row"]))))
-    return F.filter(rows, lambda r: F.exists(r, lambda x: x.isNotNull()))
+    numbered = F.transform(rows, lambda row, r: F.transform(row, lambda x, i: F.struct(x["down"].alias("down"), x["across"].alias("across"), (F.shiftleft(r.cast("bigint"), _HALF) + i).alias("ref"))))
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), no_spans.alias("running"))
+    text = lambda ref: F.get(F.get(rows, F.shiftright(ref, _HALF).cast("int")), ref.bitwiseAND(F.lit((1 << _HALF) - 1)).cast("int"))["v"]
+    told = lambda done: F.transform(rows, lambda _, r: F.transform(F.slice(done, r * width + 1, width), text))
+    return T.let(F.aggregate(numbered, start, step)["done"], told)
 
 
 def table_rows(parts: DataFrame) -> DataFrame:
     """(title, section_no, section, row_no, headers, cells, second, error): one row per table row of ``parts`` (title,
-    section_no, section, wikitext), in order, with its second column's value.
+    section_no, section, wikitext), in order, with its second column's value. Other columns of ``parts`` come along.
 
     A table that can't be read gives one row with ``error``.
     """
-    read = parts.select("title", "section_no", "section", "wikitext", headers(F.col("wikitext")).alias("_h"))
+    more = [c for c in parts.columns if c not in ("title", "section_no", "section", "wikitext")]
+    read = parts.select("title", "section_no", "section", "wikitext", *more, headers(F.col("wikitext")).alias("_h"))
     fine = F.col("_h.error").isNull()
-    rows = read.select("title", "section_no", "section", "_h", F.posexplode_outer(F.when(fine, grid(F.col("wikitext"), F.size("_h.names")))).alias("row_no", "_row"))
+    rows = read.select("title", "section_no", "section", *more, "_h", F.posexplode_outer(F.when(fine, grid(F.col("wikitext"), F.size("_h.names")))).alias("row_no", "_row"))
     kept = rows.where(~fine | F.col("_row").isNotNull())
     return kept.select(
         "title", "section_no", "section", F.coalesce("row_no", F.lit(0)).alias("row_no"), F.when(fine, F.col("_h.names")).alias("headers"),
-        F.when(fine, F.map_from_arrays("_h.names", "_row")).alias("cells"), F.get("_row", 1).alias("second"), F.col("_h.error").alias("error"),
+        F.when(fine, F.map_from_arrays("_h.names", "_row")).alias("cells"), F.get("_row", 1).alias("second"), F.col("_h.error").alias("error"), *more,
     )
 
 

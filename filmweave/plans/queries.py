@@ -318,7 +318,7 @@ def film_subsections(spark, d):
 def wikitable_roundtrip(spark, d):
     """Orders as tables whose first cell spans all rows; the part is a link, flag and status share a line."""
     line = F.expr(r"concat('| [[part ', l_partkey, '|p]]\n| ', l_returnflag, ' || ''''', l_linestatus, '''''\n')")
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("s")))).alias("x"))
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("s")))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["s"]), "|-\n")
     start = F.expr(r"concat('{| class=\"wikitable\"\n! key !! part !! flag !! status\n|-\n| rowspan=\"', size(x), '\" | ', l_orderkey, '\n')".replace(" !! ", "!!").replace("! key", "!key"))
     parts = rows.select(F.col("l_orderkey").cast("string").alias("title"), F.lit(0).alias("section_no"), F.lit("Phim").alias("section"), F.concat(start, body, F.lit("|}\n| after")).alias("wikitext"))
@@ -509,11 +509,11 @@ def wide_table_roundtrip(spark, d):
     """A table of two header rows: one cell spans all rows, another header spans two columns, and so do cells of every other row."""
     cells = "if(l_linenumber % 2 = 1, concat('| colspan=\"2\" | p', l_partkey), concat('| ', l_linestatus, ' || q', l_partkey))"
     line = F.expr(rf"concat('| ', l_returnflag, '\n', {cells}, '\n')")
-    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("s"), "l_partkey"))).alias("x"))
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("s"), "l_partkey"))).alias("x"))
     head = r"""concat('{| class="wikitable"\n! rowspan="2" | a\n! rowspan="2" | b\n! colspan="2" | z\n|-\n! c\n! d\n|-\n| rowspan="', size(x), '" | o', l_orderkey, '\n')"""
     body = F.array_join(F.transform("x", lambda r: r["s"]), "|-\n")
     text = lines.select(F.col("l_orderkey").cast("string").alias("title"), F.transform("x", lambda r: r["l_linenumber"]).alias("numbers"), F.concat(F.expr(head), body, F.lit("|}")).alias("wikitext"))
-    rows = tables.table_rows(text.select("title", F.lit(0).alias("section_no"), F.lit("Phim").alias("section"), "wikitext")).join(text.select("title", "numbers"), "title")
+    rows = tables.table_rows(text.select("title", F.lit(0).alias("section_no"), F.lit("Phim").alias("section"), "wikitext", "numbers"))
     get = lambda k: F.element_at("cells", k).alias(k)
     return rows.select(F.col("title").cast("long").alias("l_orderkey"), F.get("numbers", F.col("row_no")).alias("l_linenumber"), get("a"), get("b"), get("c"), get("d"))
 

@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from conftest import SMALL
 from filmweave.functions import wikitext
-from filmweave.operators import cast, graph, infobox
+from filmweave.operators import cast, graph, infobox, tables
 from filmweave.plans import queries
 
 film_casts = cast.film_casts
@@ -100,3 +100,19 @@ def test_boxes_are_read_in_all_tasks(spark):
     boxes = spark.range(400).coalesce(1).select(F.col("id").cast("string").alias("title"), F.create_map(F.lit("k"), F.lit("[[a|b]]")).alias("infobox"))
     shown = plan(infobox.clean_infoboxes(boxes))
     assert shown.index("ArrowEvalPython") < shown.index("xxhash64")  # dealt below the parser
+
+
+def test_grids_hold_places_not_texts(spark):
+    """The fold over a table's rows copies its state at every step; texts stay outside of it."""
+    n = 300
+    lines = [f"|-\n| rowspan=\"{n - i}\" | a{i}\n| b{i}" if i == 0 else f"|-\n| b{i} || c{i}" for i in range(n)]
+    text = "{|\n!x!!y!!z\n" + "\n".join(lines) + "\n|}"
+    parts = spark.createDataFrame([("t", 0, "s", text, [1, 2])], "title string, section_no int, section string, wikitext string, numbers array<int>")
+    made = tables.table_rows(parts)
+    assert "array<array<string>>" not in made._jdf.queryExecution().analyzed().toString()
+    got = {r["row_no"]: (r["cells"], r["numbers"]) for r in made.collect()}
+    assert got == {i: ({"x": "a0", "y": f"b{i}", "z": f"c{i}" if i else None}, [1, 2]) for i in range(n)}
+
+
+def test_wide_tables_are_rendered_once(spark):
+    assert "Join" not in plan(queries.QUERIES["wide_table_roundtrip"](spark, SMALL))

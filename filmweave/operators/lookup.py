@@ -48,28 +48,28 @@ def resolve_redirects(hops: DataFrame) -> DataFrame:
 def redirect_cycles(hops: DataFrame) -> DataFrame:
     """(title, cycle, member): redirects (title, target) that never end, by the least title of the cycle they run into.
 
-    ``member`` tells a cycle's own titles from tails that run into it. Steps double on what is open: the titles reached
-    after m steps shrink to the members, for a step that loses none of them permutes them; a cycle's least title is
-    known when all members agree with the next one.
+    ``member`` tells a cycle's own titles from tails that run into it. Titles are numbered in their order, and steps
+    double on the numbers; what ends meanwhile falls out. When a doubling ends nothing, lowers no least number on the
+    way and reaches as many titles as the one before, steps permute what they reach: these are the members, and the
+    least number from there on is the cycle's.
     """
-    step = hops.select("title", F.col("target").alias("at")).where("target is not null")
-    ends = resolve_redirects(hops).where("redirect_status = 'too_deep'").select("title")
-    first = stage(step.join(ends, "title", "left_semi"), "open-redirects")
-    now, size = first.withColumn("least", F.col("title")), -1
+    step = hops.select("title", "target").where("target is not null")
+    # a sort gives partitions in order, so the numbers rise with the titles
+    known = stage(step.orderBy("title").withColumn("id", F.monotonically_increasing_id()), "redirect-numbers")
+    now = stage(known.join(known.select(F.col("title").alias("target"), F.col("id").alias("at")), "target").select("id", "at", F.col("id").alias("least")), "redirect-steps")
+    size = now.count()
     while True:
-        onward = now.select(F.col("title").alias("_t"), F.col("at").alias("_at"), F.col("least").alias("_l"))
-        now = stage(now.join(onward, F.col("at") == F.col("_t")).select("title", F.col("_at").alias("at"), F.least("least", "_l").alias("least")), "cycles")
-        members = now.select(F.col("at").alias("title")).distinct()
-        left = members.count()
-        if left == size:
-            told = now.join(members, "title", "left_semi")
-            after = told.select(F.col("title").alias("_t"), F.col("least").alias("_l"))
-            if first.join(told, "title", "left_semi").join(after, F.col("at") == F.col("_t")).join(told.select("title", "least"), "title").where("least <> _l").isEmpty():
-                break
-        size = left
-    label = told.select(F.col("title").alias("at"), F.col("least").alias("cycle"))
-    inside = members.withColumn("member", F.lit(True))
-    return now.select("title", "at").join(label, "at").join(inside, "title", "left").select("title", "cycle", F.coalesce("member", F.lit(False)).alias("member"))
+        onward = now.select(F.col("id").alias("_i"), F.col("at").alias("_at"), F.col("least").alias("_l"))
+        met = now.join(onward, F.col("at") == F.col("_i"))
+        after = stage(met.select("id", F.col("_at").alias("at"), F.least("least", "_l").alias("least"), F.col("_l").alias("cycle"), (F.col("_l") < F.col("least")).alias("lower")), "redirect-steps")
+        left, lower = after.agg(F.count("*"), F.count_if("lower")).first()
+        members = after.select(F.col("at").alias("id")).distinct()
+        if left == size and not lower and members.count() == now.select("at").distinct().count():
+            break
+        now, size = after.select("id", "at", "least"), left
+    told = after.select("id", "cycle").join(members.withColumn("member", F.lit(True)), "id", "left").join(known.select("id", "title"), "id")
+    names = known.select(F.col("id").alias("cycle"), F.col("title").alias("_name"))
+    return told.join(names, "cycle").select("title", F.col("_name").alias("cycle"), F.coalesce("member", F.lit(False)).alias("member"))
 
 
 def resolved_pages(pages: DataFrame, any_case: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from conftest import SMALL
 from filmweave.functions import wikitext
-from filmweave.operators import cast, graph, infobox, tables
+from filmweave.operators import cast, graph, infobox, lookup, tables
 from filmweave.plans import queries
 
 film_casts = cast.film_casts
@@ -116,3 +116,23 @@ def test_grids_hold_places_not_texts(spark):
 
 def test_wide_tables_are_rendered_once(spark):
     assert "Join" not in plan(queries.QUERIES["wide_table_roundtrip"](spark, SMALL))
+
+
+def test_redirect_cycles_step_on_numbers(spark, monkeypatch):
+    """Titles are shuffled to be numbered, not at every step, and no table is made twice per doubling."""
+    rng = random.Random(3)
+    nodes = [f"n{i}" for i in range(120)]
+    hops = {t: f"n{min(i + 1, 59)}" if i < 60 else rng.choice([*nodes[60:], "end"]) for i, t in enumerate(nodes)}  # a tail of 59 into a ring of one, and a random map
+    want = {}
+    for t in nodes:
+        path = [t]
+        while path[-1] in hops and hops[path[-1]] not in path:
+            path.append(hops[path[-1]])
+        if path[-1] in hops:
+            ring = path[path.index(hops[path[-1]]) :]
+            want[t] = (min(ring), t in ring)
+    staged, stage = [], lookup.stage
+    monkeypatch.setattr(lookup, "stage", lambda df, name: staged.append([f.dataType.simpleString() for f in df.schema]) or stage(df, name))
+    told = lookup.redirect_cycles(spark.createDataFrame([*hops.items(), ("x", None)], "title string, target string"))
+    assert {r["title"]: (r["cycle"], r["member"]) for r in told.collect()} == want and want
+    assert sum("string" in types for types in staged) == 1 and len(staged) <= 11

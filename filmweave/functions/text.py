@@ -43,13 +43,23 @@ def begins(c: Column | str, words: list[str]) -> Column:
     return out
 
 
+def lower_has(c: Column | str, words: list[str]) -> Column:
+    """Whether ``c`` contains one of ``words`` in lower case, which is made once."""
+    return let(F.lower(col(c)), lambda t: any_of(t, words))
+
+
 def heading(line: Column | str) -> Column:
     """struct(level, title) of a heading line, else null: equal runs of ``=`` around a title."""
-    s = strip(line)
     pattern = r"(?s)\A(=+)(.*?)(=+)\z"
-    left, title, right = (F.regexp_extract(s, pattern, i) for i in (1, 2, 3))
-    good = (F.length(left) > 0) & (F.length(left) == F.length(right)) & (strip(title) != "")
-    return F.when(good, F.struct(F.length(left).alias("level"), strip(title).alias("title")))
+
+    def told(left: Column, title: Column, right: Column) -> Column:
+        return F.when((left > 0) & (left == right) & (title != ""), F.struct(left.alias("level"), title.alias("title")))
+
+    def read(s: Column) -> Column:
+        parts = F.struct(F.length(F.regexp_extract(s, pattern, 1)).alias("l"), strip(F.regexp_extract(s, pattern, 2)).alias("t"), F.length(F.regexp_extract(s, pattern, 3)).alias("r"))
+        return F.when(s.startswith("="), let(parts, lambda p: told(p["l"], p["t"], p["r"])))
+
+    return let(strip(line), read)
 
 
 def span(token: Column | str) -> Column:
@@ -126,9 +136,11 @@ def height(params: Column) -> Column:
 
 
 def _unmarked(c: Column) -> Column:
+    """Without tags and links; every one of them has one of two marks."""
+    out = c
     for pattern, to in wikitext.MARKUP:
-        c = F.regexp_replace(c, pattern, to)
-    return c
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(c.contains("<") | c.contains("["), out).otherwise(c)
 
 
 def clean_text(c: Column | str) -> Column:

@@ -22,16 +22,15 @@ def with_templates(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def infobox(templates: Column) -> Column:
     """Non-empty parameters of all templates whose name has an infobox word; later values replace earlier ones."""
-    chosen = F.filter(templates, lambda t: T.any_of(F.lower(t["name"]), PERSON_WORDS + FILM_WORDS))
+    chosen = F.filter(templates, lambda t: T.lower_has(t["name"], PERSON_WORDS + FILM_WORDS))
     pairs = F.flatten(F.transform(chosen, lambda t: F.filter(t["params"], lambda p: p["v"] != "")))
     return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
 
 
 def page_kind(text: Column, templates: Column) -> Column:
     """``film`` or ``person`` by the first template with an infobox word (film words first), '' if none, null without text."""
-    name = lambda t: F.lower(t["name"])
-    first = F.get(F.filter(templates, lambda t: T.any_of(name(t), PERSON_WORDS + FILM_WORDS)), 0)
-    kind = F.when(first.isNull(), "").when(T.any_of(F.lower(first["name"]), FILM_WORDS), "film").otherwise("person")
+    first = F.get(F.filter(templates, lambda t: T.lower_has(t["name"], PERSON_WORDS + FILM_WORDS)), 0)
+    kind = T.let(first, lambda f: F.when(f.isNull(), "").when(T.lower_has(f["name"], FILM_WORDS), "film").otherwise("person"))
     return F.when(F.coalesce(text, F.lit("")) != "", kind)
 
 
@@ -64,7 +63,11 @@ def is_film_box(box: Column) -> Column:
 
 def directors(box: Column) -> Column:
     """struct(director, director_status): link targets of the first director field; null without a field."""
-    field = first_key(lower_keys(box), DIRECTOR_KEYS)
+    field = T.let(lower_keys(box), lambda b: first_key(b, DIRECTOR_KEYS))
+    return T.let(field, _directors_of)
+
+
+def _directors_of(field: Column) -> Column:
     names = F.transform(T.wikilinks(field), T.link_target)
     status = F.when(field.isNull(), "no field").when(F.size(names) == 0, NO_LINK).otherwise("linked")
     return F.struct(F.when(field.isNotNull() & (F.size(names) > 0), names).alias("director"), status.alias("director_status"))

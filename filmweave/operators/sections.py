@@ -46,13 +46,18 @@ def section(lines: Column, heads: Column, first: list[str], last: list[str] = ()
 
     ``lines`` and ``heads`` are ``lines_of`` and ``headings`` of the text, worked out once.
     """
-    second = F.filter(heads, lambda h: h["level"] == 2)
-    chosen = F.get(F.filter(second, lambda h: T.any_of(F.lower(h["title"]), first)), 0)
-    if last:
-        chosen = F.coalesce(chosen, F.try_element_at(F.filter(second, lambda h: T.any_of(F.lower(h["title"]), last)), F.lit(-1)))
-    start = chosen["line"]
-    end = F.coalesce(F.get(F.filter(second, lambda h: h["line"] > start), 0)["line"], F.size(lines))
-    return F.when(start.isNull(), "").otherwise(_cut(lines, start, end))
+
+    def cut(second: Column, start: Column) -> Column:
+        end = F.get(F.filter(second, lambda h: h["line"] > start), 0)["line"]
+        return F.when(start.isNull(), "").otherwise(T.let(F.coalesce(end, F.size(lines)), lambda e: _cut(lines, start, e)))
+
+    def read(second: Column) -> Column:
+        chosen = F.get(F.filter(second, lambda h: T.lower_has(h["title"], first)), 0)
+        if last:
+            chosen = F.coalesce(chosen, F.try_element_at(F.filter(second, lambda h: T.lower_has(h["title"], last)), F.lit(-1)))
+        return T.let(chosen["line"], lambda start: cut(second, start))
+
+    return T.let(F.filter(heads, lambda h: h["level"] == 2), read)
 
 
 def main_link(section_text: Column) -> Column:
@@ -112,16 +117,19 @@ def cast_sections(told: DataFrame, more: Callable[[DataFrame], DataFrame] | None
 
 def subsections(section_text: Column) -> Column:
     """array(struct(title, subsection_wikitext)): the level-3 parts; leading text only if it is a table."""
-    lines = lines_of(section_text)
-    third = F.filter(headings(section_text), lambda h: h["level"] == 3)
     entry = lambda title, body: F.struct(title.alias("title"), body.alias("subsection_wikitext"))
     none = F.expr("cast(array() as array<struct<title: string, subsection_wikitext: string>>)")
     whole = F.when(section_text.contains("{|"), F.array(entry(F.lit("Phim"), T.strip(section_text)))).otherwise(none)
-    before = _cut(lines, F.lit(-1), F.get(third, 0)["line"])
-    lead = F.when(before.startswith("{|"), F.array(entry(F.lit("Phim"), before))).otherwise(none)
-    ends = lambda i: F.coalesce(F.get(third, i + 1)["line"], F.size(lines))
-    parts = F.transform(third, lambda h, i: entry(h["title"], _cut(lines, h["line"], ends(i))))
-    return F.when(F.size(third) == 0, whole).otherwise(F.concat(lead, parts))
+
+    def read(lines: Column, third: Column) -> Column:
+        before = _cut(lines, F.lit(-1), F.get(third, 0)["line"])
+        lead = T.let(before, lambda b: F.when(b.startswith("{|"), F.array(entry(F.lit("Phim"), b))).otherwise(none))
+        ends = lambda i: F.coalesce(F.get(third, i + 1)["line"], F.size(lines))
+        parts = F.transform(third, lambda h, i: entry(h["title"], _cut(lines, h["line"], ends(i))))
+        return F.when(F.size(third) == 0, whole).otherwise(F.concat(lead, parts))
+
+    # lines and headings are found once, not once more per part
+    return T.let(lines_of(section_text), lambda lines: T.let(F.filter(headings_of(lines), lambda h: h["level"] == 3), lambda third: read(lines, third)))
 
 
 def ordered_distinct(items: Column) -> Column:

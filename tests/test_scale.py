@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from conftest import SMALL
 from filmweave.functions import wikitext
-from filmweave.operators import cast, graph, infobox, lookup, tables
+from filmweave.operators import cast, graph, infobox, lookup, sections, tables
 from filmweave.plans import queries
 
 film_casts = cast.film_casts
@@ -136,3 +136,16 @@ def test_redirect_cycles_step_on_numbers(spark, monkeypatch):
     told = lookup.redirect_cycles(spark.createDataFrame([*hops.items(), ("x", None)], "title string, target string"))
     assert {r["title"]: (r["cycle"], r["member"]) for r in told.collect()} == want and want
     assert sum("string" in types for types in staged) == 1 and len(staged) <= 11
+
+
+def test_headings_are_found_once(spark):
+    """What a section asks of its headings, and a cut of its lines, is worked out once, not once more per heading."""
+    text = "\n".join(["{| x", "|}", *(f"=== {i} ===\nbody {i}" for i in range(200))])
+    df = spark.createDataFrame([(text,)], "s string")
+    made = df.select(sections.subsections(F.col("s")).alias("p"))
+    assert [(p["title"], p["subsection_wikitext"]) for p in made.first()["p"]] == [("Phim", "{| x\n|}"), *((str(i), f"body {i}") for i in range(200))]
+    said = lambda df, word: df._jdf.queryExecution().analyzed().toString().count(word)
+    assert said(made, "split(") == 1
+    lines = F.split("s", "\n")
+    told = df.select(sections.section(lines, sections.headings_of(lines), ["a"], ["b"]).alias("x"))
+    assert said(told, "lower(") == 2

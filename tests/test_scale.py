@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -56,6 +57,36 @@ def test_collaborations_shuffle_no_pairs(spark, monkeypatch):
     assert alone == {k: v[2:] for k, v in want.items() if not v[0]}
 
 
+def test_pairs_are_named_where_they_lie(spark, monkeypatch):
+    """Whatever the optimizer may broadcast: no join shuffles pairs, neither to tell what they share nor to name them."""
+    info, nodes, edges, df = crowd(spark)
+    told = lambda made: sorted(map(tuple, made.collect()))
+    want = told(graph.collaborations(nodes, df))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = graph.collaborations(nodes, df)
+        dealt = set(re.findall(r"hashpartitioning\((\w+?)#", plan(made)))
+        assert not dealt & {"_a", "_b", "b"} and told(made) == want
+        monkeypatch.setattr(graph, "BLOCKS_AT_HAND", 1)  # more people than executors may hold: names come one by one
+        assert told(graph.collaborations(nodes, df)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_later_people_by_what_they_share(spark):
+    """Runs of a place, and schools that lie in several places or in none, however a cast is cut."""
+    info, nodes, edges, df = crowd(spark)
+    blocks = graph.seat_blocks(graph.people_of(nodes), 3)
+    seat = {(r["block"] * graph.STRIDE + i): n for r in blocks.collect() for i, n in enumerate(r["names"])}
+    alike = lambda a, b: any(info[a][k] and info[a][k] == info[b][k] for k in info[a])
+    for size in (100, 4):
+        casts = graph.seated_casts(df, blocks, size)
+        met = {w: sorted(tuple(sorted((seat[r["a"]], seat[r["b"]]))) + (r["film"],) for r in graph.meetings(casts, alike=w).collect()) for w in (None, True, False)}
+        assert [p for p in met[None] if alike(*p[:2])] == met[True] and [p for p in met[None] if not alike(*p[:2])] == met[False]
+        assert met[True] and met[False]
+
+
 def test_shared_pairs_lie_in_many_tasks(spark):
     people = spark.range(300).select(F.concat(F.lit("p"), "id").alias("name"), F.lit("x").alias("place"))
     made = graph.shared_pairs(people, "place", block=30)

@@ -74,6 +74,18 @@ def test_pairs_are_named_where_they_lie(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_weights_need_neither_films_nor_characters(spark):
+    """Weighted pairs shuffle no pair either, no film's name with their people, and no character of an edge."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = queries.QUERIES["collab_weight"](spark, SMALL)
+        assert not set(re.findall(r"hashpartitioning\((\w+?)#", plan(made))) & {"_a", "_b", "b"} and "film#" not in plan(made)
+        assert "character" not in queries.credits_graph(spark, SMALL)[3].columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_later_people_by_what_they_share(spark):
     """Runs of a place, and schools that lie in several places or in none, however a cast is cut."""
     info, nodes, edges, df = crowd(spark)
